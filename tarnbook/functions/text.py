@@ -11,7 +11,7 @@ GENERIC_SITE_WORDS = ("LAKE", "RIVER")
 
 def squish(c: Column) -> Column:
     """Trim, and turn every run of white space into one blank."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
 
 
 def title_case(c: Column) -> Column:

@@ -126,15 +126,11 @@ def coverage_report(layer: DataFrame, points: DataFrame, site: Sequence[str], xy
         ("polygons_total", layer.agg(F.count(F.lit(1)).alias("n"))),
         ("polygons_sampled", sampled.agg(F.count(F.lit(1)).alias("n"))),
         ("sites_total", distinct_count(points, site)),
-        ("sites_unlocated", distinct_count(left_anti_sites(points, located, site), site)),
+        ("sites_unlocated", distinct_count(points.select(*site).subtract(located), site)),
     ]
     return stack(*[df.select(F.lit(label).alias("measure"), "n") for label, df in measures])
 
 
-def left_anti_sites(points: DataFrame, located: DataFrame, site: Sequence[str]) -> DataFrame:
-    return points.select(*site).distinct().exceptAll(located)
-
-
 def decade_layers(
     df: DataFrame, species: str, focal: Sequence[str] = (WATCHED.a, WATCHED.b), year: str = "year",
     xy=("easting", "northing"), zone: int = 20,

@@ -20,6 +20,7 @@ from tarnbook.operators.nearest import nearest_join
 from tarnbook.operators.review import apply_decisions, apply_overrides, automatic_decisions
 from tarnbook.operators.tidy import blank_to_null, stack
 from tarnbook.plans.status import WATCHED
+from tarnbook.sources.schemas import OVERRIDES
 
 # A nearest site farther away than this is no match (metres).
 TOLERANCE_M = 200.0
@@ -31,6 +32,12 @@ FALSE_MATCHES = (("BANOOK", "MORRIS"), ("LITTLE CHEZETCOOK FIRE HALL", "LITTLE")
 FALSE_MATCH_STATUS = "review_name_mismatch"
 
 
+def overrides_table(spark) -> DataFrame:
+    """The listed false matches as an override table."""
+    rows = [(record, site, FALSE_MATCH_STATUS) for record, site in FALSE_MATCHES]
+    return spark.createDataFrame(rows, OVERRIDES)
+
+
 def prepare_records(
     utm: DataFrame, lonlat: DataFrame, province: str = "NS", species=(WATCHED.b, WATCHED.a), zone: int = 20
 ) -> DataFrame:
@@ -142,6 +149,15 @@ def resolve_identity(records: DataFrame, database: str = "records", site_columns
     )
 
 
+def matched_detections(matched: DataFrame, database: str = "records", site_columns: Sequence[str] = SITE_COLUMNS) -> DataFrame:
+    """Matched records as detections at their site; they keep their own place."""
+    others = [c for c in ("easting", "northing", "lon", "lat", "x", "y") if c in matched.columns]
+    return matched.select(
+        *[F.col(f"site_{c}".replace("site_site", "site")).alias(c) for c in site_columns],
+        "species_name", "year", F.lit(database).alias("database"), "record_id", *others,
+    )
+
+
 def with_records(main: DataFrame, records: DataFrame, site_columns: Sequence[str] = SITE_COLUMNS) -> DataFrame:
     """Detections of both databases in one table."""
     cols = [*site_columns, "species_name", "year", "database"]

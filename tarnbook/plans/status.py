@@ -138,20 +138,35 @@ def site_status(
     rules: str = "v3",
     source: tuple[str, str, str] | None = None,
 ) -> DataFrame:
-    """One row per site with first and last years and the status; ``area`` is one of the ``site`` columns.
+    """One row per site with first and last years and the status; ``area`` must be one of the ``site`` columns.
 
     ``source`` = (column, first database, second database) adds where the site's rows come from.
     """
-    arrivals = area_first(df, area, species, year, focal, rules)
-    value = F.col(year)
+    if area not in site:
+        raise ValueError(f"{area} must be part of the site's identity")
+    value, is_a, is_b = F.col(year), F.col(species) == focal.a, F.col(species) == focal.b
     aggs = [
         F.max(value).alias("last_sampled_year"),
-        F.min(F.when(F.col(species) == focal.a, value)).alias("first_a"),
-        F.min(F.when(F.col(species) == focal.b, value)).alias("first_b"),
+        F.min(F.when(is_a, value)).alias("first_a"),
+        F.min(F.when(is_b, value)).alias("first_b"),
+        F.bool_or(is_a).alias("__seen_a"),
+        F.bool_or(is_b).alias("__seen_b"),
     ]
     if source:
         aggs.append(source_label(*source).alias("data_source"))
-    sites = left_lookup(df.groupBy(*site).agg(*aggs), arrivals, area)
+    # Detections are read and shuffled once: a site lies in one area, so the area's first year is the
+    # smallest of its sites'.
+    summary = df.groupBy(*site).agg(*aggs)
+    hit = summary.where(F.col("__seen_a") | F.col("__seen_b"))
+    if rules == "v3":
+        hit = hit.where(F.col(area).isNotNull())
+    arrivals = hit.groupBy(area).agg(
+        F.min("first_a").alias("ws_first_a"),
+        F.min("first_b").alias("ws_first_b"),
+        F.bool_or("__seen_a").alias("ws_seen_a"),
+        F.bool_or("__seen_b").alias("ws_seen_b"),
+    )
+    sites = left_lookup(summary.drop("__seen_a", "__seen_b"), arrivals, area)
     if rules == "v1":
         a, b = F.col("first_a").isNotNull(), F.col("first_b").isNotNull()
         after = F.col("last_sampled_year") >= F.col("ws_first_any")
