@@ -10,7 +10,8 @@ from tarnbook.catalog.roles import RECORDS_SQL, SITE_COLUMNS, SITES_SQL, records
 from tarnbook.operators.names import name_match
 from tarnbook.operators.nearest import nearest_join
 from tarnbook.operators.review import review_queue
-from tarnbook.plans.match import dedupe_records, left_unmatched, match, resolve_identity
+from tarnbook.plans.match import dedupe_records, left_unmatched, match, resolve_identity, settle_matches
+from tarnbook.session import cut_lineage
 
 XY = ("x", "y")
 
@@ -19,13 +20,13 @@ def targets(t: Tables) -> DataFrame:
     return sites(t).select("site_id", *SITE_COLUMNS, *XY)
 
 
-def banded(t: Tables, **more) -> DataFrame:
-    return match(records(t), targets(t), "distance_county", XY, SITE_COLUMNS, **more)
+def banded(t: Tables) -> DataFrame:
+    return match(records(t), targets(t), "distance_county", XY, SITE_COLUMNS)
 
 
-def wrong_pairs(t: Tables) -> DataFrame:
+def wrong_pairs(matched: DataFrame) -> DataFrame:
     """Confident pairs of every fourth record, listed as false."""
-    listed = banded(t).where((F.col("match_status") == "confident") & (F.col("record_id") % 4 == 1))
+    listed = matched.where((F.col("match_status") == "confident") & (F.col("record_id") % 4 == 1))
     return listed.select(
         F.col("name").alias("record_name"), "site_name", F.lit("review_name_mismatch").alias("new_status")
     )
@@ -42,7 +43,8 @@ def decisions(t: Tables) -> DataFrame:
 
 
 def decided(t: Tables) -> DataFrame:
-    return banded(t, decisions=decisions(t), overrides=wrong_pairs(t))
+    stored = cut_lineage(banded(t))
+    return settle_matches(stored, wrong_pairs(stored), decisions(t), SITE_COLUMNS)
 
 
 NEAR_CTES = f"""WITH sites AS ({SITES_SQL}), records AS ({RECORDS_SQL}),
@@ -117,7 +119,8 @@ _DECIDED = "record_id, site_id, site_county, site_code, site_name, site_primary_
 
 @query("match_overrides", DECIDED_CTES.replace("coalesce(d, ", "coalesce(NULL, ").replace("coalesce(c, ", "coalesce(NULL, ") + f" SELECT {_DECIDED} FROM decided")
 def _(t):
-    return banded(t, overrides=wrong_pairs(t)).select(*_DECIDED.split(", "))
+    stored = cut_lineage(banded(t))
+    return settle_matches(stored, wrong_pairs(stored), site_columns=SITE_COLUMNS).select(*_DECIDED.split(", "))
 
 
 @query("review_queue", BAND_CTES + " SELECT record_id, name, site_name, match_status FROM banded WHERE match_status <> 'confident'")

@@ -25,24 +25,24 @@ def _pieces(text: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
 
 
-def _all_lengths() -> Column:
-    return F.array(*[F.lit(k) for k in PIECE_LENGTHS])
-
-
-def _longest_pieces(text: Column) -> Column:
-    """The pieces of the greatest length the text has."""
-    longest = F.array_max(F.filter(_all_lengths(), lambda k: k <= F.length(text)))
-    return _pieces(text, F.array(longest))
+def _piece_length(text: Column) -> Column:
+    """The greatest length the text has pieces of."""
+    return F.array_max(F.filter(F.array(*[F.lit(k) for k in PIECE_LENGTHS]), lambda k: k <= F.length(text)))
 
 
 def _inside(parts: DataFrame, wholes: DataFrame) -> DataFrame:
-    """(block, part, whole) where a text of ``parts`` (block, part, piece_of) may lie in one of ``wholes``.
+    """(block, part, whole) where a text of ``parts`` (block, part, piece_of) may lie in one of ``wholes``
+    (block, whole, whole_text).
 
-    ``piece_of`` is text that must occur in the whole literally.
+    ``piece_of`` is text that must occur in the whole literally.  Runs a job that lists the piece lengths in use.
     """
-    lists = wholes.select("block", "whole", F.explode(_pieces(F.col("whole_text"), _all_lengths())).alias("piece"))
+    parts = parts.withColumn("length", _piece_length(F.col("piece_of")))
+    lengths = sorted(r[0] for r in parts.select("length").distinct().collect()) or [1]
+    wanted = parts.select("block", "part", F.explode(_pieces(F.col("piece_of"), F.array("length"))).alias("piece"))
+    every = F.array(*[F.lit(k) for k in lengths])
+    lists = wholes.select("block", "whole", F.explode(_pieces(F.col("whole_text"), every)).alias("piece"))
+    lists = lists.join(wanted.select("block", "piece").distinct(), ["block", "piece"], "left_semi")
     commonness = lists.groupBy("block", "piece").agg(F.count(F.lit(1)).alias("n_wholes"))
-    wanted = parts.select("block", "part", F.explode(_longest_pieces(F.col("piece_of"))).alias("piece"))
     # A piece no whole contains settles the question, so rarity 0 has to be seen, not joined away.
     rated = wanted.join(commonness, ["block", "piece"], "left").withColumn("n_wholes", F.coalesce("n_wholes", F.lit(0)))
     rarest_first = Window.partitionBy("block", "part").orderBy("n_wholes", "piece")

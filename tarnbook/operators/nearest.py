@@ -75,8 +75,10 @@ def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | Non
     depth, keyed = _grid(targets, box)
     beyond = F.lit(float("inf") if max_distance is None else float(max_distance))
     nothing = F.lit(None)
+    # Cell 0 is everything.  It is computed rather than a literal, so that the first step is an equi join too.
+    everything = F.pmod(F.xxhash64("px"), F.lit(1))
     found = probes.select(
-        "px", "py", F.lit(0).cast("long").alias("cell"), F.lit(2).cast("long").alias("n"),
+        "px", "py", everything.alias("cell"), F.lit(2).cast("long").alias("n"),
         F.lit(0.0).alias("gap"), beyond.alias("reach"), nothing.cast(targets.schema["site"].dataType).alias("site"),
     )
     per_point = Window.partitionBy("px", "py")
@@ -85,38 +87,31 @@ def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | Non
         if min(16**level, box.n) <= BROADCAST_ROWS:
             cells = F.broadcast(cells)
         # A cell with a single site is settled: it has no inner cells and is carried along.
-        step = found.join(cells, (F.col("cell") == F.col("c_parent")) & (F.col("n") > 1), "left")
-        outside_x = F.greatest(F.col("c_xmin") - F.col("px"), F.col("px") - F.col("c_xmax"), F.lit(0.0))
-        outside_y = F.greatest(F.col("c_ymin") - F.col("py"), F.col("py") - F.col("c_ymax"), F.lit(0.0))
-        refined = F.col("c_n").isNotNull()
-        step = step.select(
+        step = found.join(cells, F.expr("cell = c_parent AND n > 1"), "left").selectExpr(
             "px", "py",
-            F.when(refined, F.col("c_cell")).otherwise(F.col("cell")).alias("cell"),
-            F.when(refined, F.col("c_n")).otherwise(F.col("n")).alias("n"),
-            F.when(refined, _distance(outside_x, outside_y)).otherwise(F.col("gap")).alias("gap"),
-            F.when(refined, _distance(F.col("c_x") - F.col("px"), F.col("c_y") - F.col("py"))).otherwise(F.col("reach")).alias("reach"),
-            F.when(refined, F.col("c_site")).otherwise(F.col("site")).alias("site"),
+            "coalesce(c_cell, cell) AS cell",
+            "coalesce(c_n, n) AS n",
+            # Closest the cell's box comes to the point, and the distance of a site known to be in it.
+            f"if(c_n IS NULL, gap, {_distance('greatest(c_xmin - px, px - c_xmax, 0D)', 'greatest(c_ymin - py, py - c_ymax, 0D)')}) AS gap",
+            f"if(c_n IS NULL, reach, {_distance('c_x - px', 'c_y - py')}) AS reach",
+            "coalesce(c_site, site) AS site",
         )
-        # No candidate row per point is more than a few cells, whatever the points' or sites' density.
+        # No point keeps more than a few cells, however dense points or sites are.
         step = step.withColumn("bound", F.least(F.min("reach").over(per_point), beyond))
-        found = step.where(F.col("gap") <= F.col("bound")).drop("bound")
+        found = step.where("gap <= bound").drop("bound")
 
-    last = keyed.select(F.col("cell").alias("t_cell"), F.col("x").alias("t_x"), F.col("y").alias("t_y"), F.col("site").alias("t_site"))
+    last = keyed.selectExpr("cell AS t_cell", "x AS t_x", "y AS t_y", "site AS t_site")
     if box.n <= BROADCAST_ROWS:
         last = F.broadcast(last)
-    open_cell = (F.col("cell") == F.col("t_cell")) & (F.col("n") > 1)
-    pairs = found.join(last, open_cell, "left").select(
-        "px", "py",
-        F.coalesce("t_site", "site").alias("site"),
-        F.when(F.col("t_site").isNull(), F.col("reach"))
-        .otherwise(_distance(F.col("t_x") - F.col("px"), F.col("t_y") - F.col("py"))).alias("distance"),
+    pairs = found.join(last, F.expr("cell = t_cell AND n > 1"), "left").selectExpr(
+        "px", "py", "coalesce(t_site, site) AS site", f"if(t_site IS NULL, reach, {_distance('t_x - px', 't_y - py')}) AS distance"
     )
     best = pairs.where(F.col("distance") <= beyond).groupBy("px", "py").agg(F.min(F.struct("distance", "site")).alias("best"))
     return best.select("px", "py", "best.site", "best.distance")
 
 
-def _distance(dx, dy):
-    return F.sqrt(dx * dx + dy * dy)
+def _distance(dx: str, dy: str) -> str:
+    return f"sqrt(({dx}) * ({dx}) + ({dy}) * ({dy}))"
 
 
 def _grid(targets: DataFrame, box) -> tuple[int, DataFrame]:
@@ -140,17 +135,19 @@ def _grid(targets: DataFrame, box) -> tuple[int, DataFrame]:
 
 def _cells(keyed: DataFrame, level: int, depth: int) -> DataFrame:
     """Occupied cells of a level: parent, number of sites, tight box, and one site as a witness."""
-    side = 4**depth
-    shift = 2 * (depth - level)
-    col = F.shiftright(F.expr(f"cell div {side}"), shift)
-    row = F.shiftright(F.col("cell") % side, shift)
-    here = 4**level
-    placed = keyed.select("x", "y", "site", (col * here + row).alias("c_cell"))
+    side, here, shift = 4**depth, 4**level, 2 * (depth - level)
+    placed = keyed.selectExpr(
+        "x", "y", "site", f"shiftright(cell div {side}, {shift}) * {here}L + shiftright(cell % {side}, {shift}) AS c_cell"
+    )
     cells = placed.groupBy("c_cell").agg(
-        F.count(F.lit(1)).alias("c_n"),
-        F.min("x").alias("c_xmin"), F.max("x").alias("c_xmax"), F.min("y").alias("c_ymin"), F.max("y").alias("c_ymax"),
-        F.min_by("x", "site").alias("c_x"), F.min_by("y", "site").alias("c_y"), F.min("site").alias("c_site"),
+        *[
+            F.expr(e)
+            for e in (
+                "count(1) AS c_n", "min(x) AS c_xmin", "max(x) AS c_xmax", "min(y) AS c_ymin", "max(y) AS c_ymax",
+                "min_by(x, site) AS c_x", "min_by(y, site) AS c_y", "min(site) AS c_site",
+            )
+        ]
+    )
+    return cells.withColumn(
+        "c_parent", F.expr(f"shiftright(c_cell div {here}, 2) * {here // 4}L + shiftright(c_cell % {here}, 2)")
     )
-    parent_col = F.shiftright(F.expr(f"c_cell div {here}"), 2)
-    parent_row = F.shiftright(F.col("c_cell") % here, 2)
-    return cells.withColumn("c_parent", parent_col * (here // 4) + parent_row)

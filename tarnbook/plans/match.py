@@ -32,6 +32,11 @@ FALSE_MATCHES = (("BANOOK", "MORRIS"), ("LITTLE CHEZETCOOK FIRE HALL", "LITTLE")
 FALSE_MATCH_STATUS = "review_name_mismatch"
 
 
+def site_column(c: str) -> str:
+    """Name of a site's column on a record: ``name`` is ``site_name``, ``site_code`` stays."""
+    return c if c.startswith("site_") else f"site_{c}"
+
+
 def overrides_table(spark) -> DataFrame:
     """The listed false matches as an override table."""
     rows = [(record, site, FALSE_MATCH_STATUS) for record, site in FALSE_MATCHES]
@@ -74,9 +79,9 @@ def match(
     * ``name_best``: likewise, but only the best name
     * ``distance_county``: every record with its nearest site, a band saying how sure that is, and decisions
     """
-    targets = sites.select("site_id", *[F.col(c).alias(f"site_{c}".replace("site_site", "site")) for c in site_columns], *xy)
+    targets = sites.select("site_id", *[F.col(c).alias(site_column(c)) for c in site_columns], *xy)
     if policy == "distance_county":
-        return match_by_distance(records, targets, xy, decisions, overrides)
+        return settle_matches(match_by_distance(records, targets, xy), overrides, decisions, site_columns)
     named = name_match(
         records, targets, "record_id", "site_id", ("county", "site_county"), ("name", "site_name"),
         {"name_all": "all", "name_best": "best"}[policy], regex,
@@ -92,35 +97,39 @@ def left_unmatched(records: DataFrame, named: DataFrame) -> DataFrame:
     return records.join(named.select("record_id").distinct(), "record_id", "left_anti")
 
 
-def match_by_distance(
-    records: DataFrame,
-    targets: DataFrame,
-    xy: tuple[str, str],
-    decisions: DataFrame | None = None,
-    overrides: DataFrame | None = None,
-) -> DataFrame:
-    """Nearest site, band, automatic decisions, then listed false matches and a person's decisions."""
+def match_by_distance(records: DataFrame, targets: DataFrame, xy: tuple[str, str]) -> DataFrame:
+    """Every record with its nearest site, a band, and the automatic decisions.
+
+    This is where the first job ends: store it, send its review queue to a person, and settle it later.
+    """
     near = nearest_join(records, targets, "site_id", xy)
     relation = county_relation(F.col("county"), F.col("site_county"))
     banded = near.withColumn("county_match", relation).withColumn(
         "match_status", match_band(F.col("distance_m"), F.col("county_match"))
     )
-    decided = automatic_decisions(banded)
+    return automatic_decisions(banded)
+
+
+def settle_matches(
+    matched: DataFrame,
+    overrides: DataFrame | None = None,
+    decisions: DataFrame | None = None,
+    site_columns: Sequence[str] = SITE_COLUMNS,
+) -> DataFrame:
+    """Undo confident matches listed as false, then enter a person's decisions."""
     if overrides is not None:
         listed = overrides.select(
             "record_name", F.col("site_name").alias("wrong_site"), F.lit("confident").alias("band"), "new_status",
             F.lit("not_a_match").alias("decision"),
         )
-        decided = apply_overrides(
-            decided,
+        matched = apply_overrides(
+            matched,
             listed,
             {"name": "record_name", "site_name": "wrong_site", "match_status": "band"},
-            [c for c in targets.columns if c not in xy],
+            ["site_id", *[site_column(c) for c in site_columns]],
             {"match_status": "new_status", "match_decision": "decision", "match_status_confirmed": "decision"},
         )
-    if decisions is not None:
-        decided = apply_decisions(decided, decisions)
-    return decided
+    return matched if decisions is None else apply_decisions(matched, decisions)
 
 
 def dedupe_records(df: DataFrame, keep: str = "latest") -> DataFrame:
@@ -140,7 +149,7 @@ def resolve_identity(records: DataFrame, database: str = "records", site_columns
     confirmed = F.coalesce(F.col("match_status_confirmed") == "match", F.lit(False))
 
     def final(c: str):
-        site = F.when(confirmed, F.col(f"site_{c}".replace("site_site", "site")))
+        site = F.when(confirmed, F.col(site_column(c)))
         return (site.otherwise(F.col(c)) if c in ("name", "county") else site).alias(c)
 
     others = [c for c in ("easting", "northing", "lon", "lat", "x", "y") if c in records.columns]
@@ -153,7 +162,7 @@ def matched_detections(matched: DataFrame, database: str = "records", site_colum
     """Matched records as detections at their site; they keep their own place."""
     others = [c for c in ("easting", "northing", "lon", "lat", "x", "y") if c in matched.columns]
     return matched.select(
-        *[F.col(f"site_{c}".replace("site_site", "site")).alias(c) for c in site_columns],
+        *[F.col(site_column(c)).alias(c) for c in site_columns],
         "species_name", "year", F.lit(database).alias("database"), "record_id", *others,
     )
 

@@ -46,9 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the shared folder once, so that later steps read it instead of recomputing it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store ``df`` as a table in the shared folder, so that later steps read it instead of recomputing it.
+
+    A table is computed once, read by column, and has a known size that later joins are planned by.
+    """
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
