@@ -21,10 +21,9 @@ def title_case(c: Column) -> Column:
 
 def site_name_key(c: Column, words: tuple[str, ...] = GENERIC_SITE_WORDS) -> Column:
     """Comparison key of a site name: upper case without generic words, punctuation and extra blanks."""
-    key = F.upper(c)
-    key = F.regexp_replace(key, r"(?U)\b(?:" + "|".join(words) + r")\b", "")
     # \p{P} is punctuation only; \p{Punct} would also take symbols such as $ and +.
-    return squish(F.regexp_replace(key, r"\p{P}", ""))
+    dropped = r"(?U)\b(?:" + "|".join(words) + r")\b|\p{P}"
+    return squish(F.regexp_replace(F.upper(c), dropped, ""))
 
 
 def area_name_key(c: Column) -> Column:

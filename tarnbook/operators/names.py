@@ -7,12 +7,14 @@ Names are compared once per distinct spelling; rows come back in at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnbook.functions.text import name_as_pattern
+from tarnbook.session import cut_lineage
 
 PIECE_LENGTHS = (1, 2, 4, 8)
+BROADCAST_PIECES = 100_000  # a side with provably no more pieces than this is sent to all tasks
 
 
 def _pieces(text: Column, lengths: Column) -> Column:
@@ -34,23 +36,42 @@ def _inside(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     """(block, part, whole) where a text of ``parts`` (block, part, piece_of) may lie in one of ``wholes``
     (block, whole, whole_text).
 
-    ``piece_of`` is text that must occur in the whole literally.  Runs a job that lists the piece lengths in use.
+    ``piece_of`` is text that must occur in the whole literally.  Runs two small jobs that measure the texts.
     """
-    parts = parts.withColumn("length", _piece_length(F.col("piece_of")))
-    lengths = sorted(r[0] for r in parts.select("length").distinct().collect()) or [1]
-    wanted = parts.select("block", "part", F.explode(_pieces(F.col("piece_of"), F.array("length"))).alias("piece"))
-    every = F.array(*[F.lit(k) for k in lengths])
-    lists = wholes.select("block", "whole", F.explode(_pieces(F.col("whole_text"), every)).alias("piece"))
-    lists = lists.join(wanted.select("block", "piece").distinct(), ["block", "piece"], "left_semi")
+    length = _piece_length(F.col("piece_of"))
+    used, part_rows = parts.agg(F.collect_set(length), F.sum(F.length("piece_of"))).first()
+    if not used:
+        return parts.select("block", "part", F.lit("").alias("whole")).limit(0)
+    used = sorted(used)
+    whole_rows = len(used) * (wholes.agg(F.sum(F.length("whole_text"))).first()[0] or 0)
+
+    def sized(df: DataFrame, rows: int) -> DataFrame:
+        # The number of pieces is known to be at most this; Spark's own estimate would not see them grow.
+        return F.broadcast(df) if rows <= BROADCAST_PIECES else df.hint("merge")
+
+    own = _pieces(F.col("piece_of"), F.array(length))
+    # The outer form keeps Spark from computing the pieces a second time for an inferred filter.
+    wanted = parts.select("block", "part", "piece_of", F.posexplode_outer(own).alias("at", "piece"))
+    lists = wholes.select(
+        "block", "whole", F.explode_outer(_pieces(F.col("whole_text"), F.array(*[F.lit(k) for k in used]))).alias("piece")
+    )
     commonness = lists.groupBy("block", "piece").agg(F.count(F.lit(1)).alias("n_wholes"))
-    # A piece no whole contains settles the question, so rarity 0 has to be seen, not joined away.
-    rated = wanted.join(commonness, ["block", "piece"], "left").withColumn("n_wholes", F.coalesce("n_wholes", F.lit(0)))
-    rarest_first = Window.partitionBy("block", "part").orderBy("n_wholes", "piece")
+    if part_rows <= whole_rows:
+        rated = sized(wanted, part_rows).join(commonness, ["block", "piece"])
+    else:
+        rated = wanted.join(sized(commonness, whole_rows), ["block", "piece"])
+    # Only a part all of whose pieces occur can lie in a whole.  Rarity and position in one number keep the
+    # aggregation in a hash table.
     chosen = (
-        rated.withColumn("__rank", F.row_number().over(rarest_first)).where((F.col("__rank") == 1) & (F.col("n_wholes") > 0))
-        .select("block", "part", "piece")
+        rated.groupBy("block", "part", "piece_of")
+        .agg(F.count(F.lit(1)).alias("n_found"), F.min(F.col("n_wholes") * F.lit(1_000_000_000) + F.col("at")).alias("rarest"))
+        .withColumn("own", own)
+        .where(F.col("n_found") == F.size("own"))
+        .select("block", "part", F.expr("own[CAST(rarest % 1000000000 AS INT)]").alias("piece"))
     )
-    return chosen.join(lists, ["block", "piece"]).select("block", "part", "whole")
+    if part_rows <= whole_rows:
+        return sized(chosen, part_rows).join(lists, ["block", "piece"]).select("block", "part", "whole")
+    return chosen.join(sized(lists, whole_rows), ["block", "piece"]).select("block", "part", "whole")
 
 
 def partial_names(records: DataFrame, sites: DataFrame, regex: bool = False) -> DataFrame:
@@ -58,10 +79,15 @@ def partial_names(records: DataFrame, sites: DataFrame, regex: bool = False) ->
 
     Inputs have columns ``block`` and ``name``.  A site name may contain the record name in any case; a
     record name must contain the site name as it is written.  With ``regex`` the site name is read as a
-    pattern (see :func:`~tarnbook.functions.text.name_as_pattern`).  Blank names match nothing.
+    pattern (see :func:`~tarnbook.functions.text.name_as_pattern`).  Blank names, and patterns
+    without any literal text, match nothing.  Stores the distinct names, which are read several times.
     """
+
     def spellings(df: DataFrame) -> DataFrame:
-        return df.select("block", "name").where(F.col("block").isNotNull() & (F.trim("name") != "")).distinct()
+        named = df.select("block", "name").where(F.col("block").isNotNull() & (F.trim("name") != ""))
+        # Names are short and their pieces many: keep them spread over as many tasks as a shuffle has.
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return cut_lineage(named.repartition(tasks, "block", "name").distinct())
 
     record_names, site_names = spellings(records), spellings(sites)
     upper = F.upper("name")

@@ -51,6 +51,8 @@ def nearest_join(
         max_distance_m,
     ).select(F.col("px").alias("__x"), F.col("py").alias("__y"), F.col("site").alias("__site"), F.col("distance").alias(distance_col))
     located = points.join(hits, (px == F.col("__x")) & (py == F.col("__y")), how).drop("__x", "__y")
+    if payload.columns == [site_id]:
+        return located.withColumnRenamed("__site", site_id)
     target = payload.withColumn("__id", F.col(site_id))
     return located.join(target, F.col("__site") == F.col("__id"), "left").drop("__site", "__id")
 

@@ -10,6 +10,8 @@ their cell on each level in use; the exact test runs on what is left after the b
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from tarnbook.operators.joins import lookup
 
 RING_TYPE = "array<array<struct<x:double,y:double>>>"
 BOX = ("xmin", "ymin", "xmax", "ymax")
+CELL = ("lv", "cx", "cy")
 _SPAN = 4  # a box is at most this many cells of its level wide
 _FINEST = -10  # smallest cell is 4^-10
 
@@ -119,21 +122,22 @@ def _cells(low_x, low_y, high_x, high_y, level: Column) -> Column:
     return F.flatten(
         F.transform(
             span(low_x, high_x),
-            lambda cx: F.transform(span(low_y, high_y), lambda cy: F.struct(level.alias("level"), cx.alias("cx"), cy.alias("cy"))),
+            lambda cx: F.transform(span(low_y, high_y), lambda cy: F.struct(level.alias("lv"), cx.alias("cx"), cy.alias("cy"))),
         )
     )
 
 
 def _index(layer: DataFrame) -> DataFrame:
     """One row per polygon and covered cell."""
-    entries = layer.where(F.size(F.flatten("rings")) > 0).withColumn("__level", _level(layer))
+    entries = layer.where("xmin IS NOT NULL").withColumn("__level", _level(layer))
     cells = _cells(*[F.col(c) for c in BOX], F.col("__level"))
-    return entries.withColumn("__edges", ring_edges(F.col("rings"))).withColumn("__cell", F.explode(cells))
+    split = [F.col(f"__cell.{c}").alias(f"__{c}") for c in CELL]
+    return entries.withColumn("__edges", ring_edges(F.col("rings"))).withColumn("__cell", F.explode(cells)).select("*", *split).drop("__cell", "__level")
 
 
 def _levels(layer: DataFrame) -> list[int]:
     """Grid levels the layer uses: at most a few dozen small numbers."""
-    return sorted(r[0] for r in layer.where(F.size(F.flatten("rings")) > 0).select(_level(layer)).distinct().collect())
+    return sorted(r[0] for r in layer.where("xmin IS NOT NULL").select(_level(layer)).distinct().collect())
 
 
 def _point_hits(points: DataFrame, layer: DataFrame, x: str, y: str) -> DataFrame:
@@ -146,7 +150,7 @@ def _point_hits(points: DataFrame, layer: DataFrame, x: str, y: str) -> DataFram
     def cell(level: int) -> Column:
         size = 4.0**level
         return F.struct(
-            F.lit(level).alias("level"), F.floor(px / size).cast("long").alias("cx"), F.floor(py / size).cast("long").alias("cy")
+            F.lit(level).alias("lv"), F.floor(px / size).cast("long").alias("cx"), F.floor(py / size).cast("long").alias("cy")
         )
 
     placed = points.where(px.isNotNull() & py.isNotNull()).withColumn(
@@ -154,8 +158,9 @@ def _point_hits(points: DataFrame, layer: DataFrame, x: str, y: str) -> DataFram
     )
     in_box = px.between(F.col("xmin"), F.col("xmax")) & py.between(F.col("ymin"), F.col("ymax"))
     index = _index(layer)
-    joined = placed.join(index, (F.col("__point_cell") == F.col("__cell")) & in_box)
-    return joined.where(covers(F.col("__edges"), px, py)).drop("__point_cell", "__cell", "__level", "__edges")
+    same_cell = reduce(lambda a, b: a & b, [F.col(f"__point_cell.{c}") == F.col(f"__{c}") for c in CELL])
+    joined = placed.join(index, same_cell & in_box)
+    return joined.where(covers(F.col("__edges"), px, py)).drop("__point_cell", "__edges", *[f"__{c}" for c in CELL])
 
 
 def spatial_join(

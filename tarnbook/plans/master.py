@@ -67,10 +67,12 @@ def site_master(
     status = site_status(
         detections, keys, "primary_watershed", "species_name", "year", focal, rules, ("database", *databases)
     )
+    # Joins on the site come one after the other, so that one shuffle of the sites serves them all.
     located = left_lookup(status, site_coordinates(sites, catches, records, keys, xy), keys)
+    located = left_lookup(located, site_morphology(sites, morphology, keys), keys)
     for key, name in (("primary_watershed", "ws_status"), ("county", "county_status")):
         located = left_lookup(located, area_status(status, key, rules, focal, name), key)
-    return left_lookup(located, site_morphology(sites, morphology, keys), keys)
+    return located
 
 
 def community_list(

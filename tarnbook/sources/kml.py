@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnbook.session import cut_lineage
+
 ORDER = ("part", "group1", "depth1", "group2", "depth2", "name", "lon", "lat", "id")
 
 # The fragments of the document.
@@ -43,12 +45,13 @@ def _in_cdata(c: Column) -> Column:
 def nested_fragments(
     df: DataFrame, group1: str, group2: str, name: str, desc: str, lon: str, lat: str, row_id: str, title: str
 ) -> DataFrame:
-    """The document as rows ``(*ORDER, fragment)``; groups must not be null."""
-    rows = df.select(
+    """The document as rows ``(*ORDER, fragment)``; groups must not be null.  Runs a job that stores the rows."""
+    # Stored once: the folders are read from it by their columns alone.
+    rows = cut_lineage(df.select(
         F.col(group1).alias("group1"), F.col(group2).alias("group2"), F.col(name).alias("name"),
         F.col(desc).alias("desc"), F.col(lon).alias("lon"), F.col(lat).alias("lat"),
         F.col(row_id).cast("string").alias("id"),
-    )
+    ))
 
     def keyed(source: DataFrame, part: int, depth1: int, depth2: int, fragment: Column) -> DataFrame:
         def own(c: str, kind: str) -> Column:
