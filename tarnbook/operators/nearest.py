@@ -10,6 +10,7 @@ points and sites that share coordinates are searched once.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from tarnbook.session import cut_lineage
 
 LEAF_SITES = 16  # refine until a cell holds no more sites than this
 MAX_LEVELS = 15  # 4^15 columns and rows; what then still shares a cell is compared directly
-BROADCAST_ROWS = 50_000  # a level with provably no more cells than this is sent to all tasks
+BROADCAST_ROWS = 200_000  # a level with no more cells than this is sent to all tasks
 
 
 def nearest_join(
@@ -36,7 +37,7 @@ def nearest_join(
 
     ``site_id`` is unique; the lowest one wins a tie.  With ``max_distance_m`` (inclusive) sites beyond it do
     not count.  Points without a site, or without coordinates, keep nulls (``how="left"``) or go
-    (``how="inner"``).  Runs small jobs on the sites to size the grid.
+    (``how="inner"``).  Runs jobs on the sites that size and store the grid.
     """
     site_xy = site_xy or xy
     payload = sites.drop(*site_xy)
@@ -75,6 +76,8 @@ def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | Non
         return probes.limit(0).select("px", "py", F.lit(None).alias("site"), F.lit(0.0).alias("distance"))
 
     depth, keyed = _grid(targets, box)
+    tree = cut_lineage(reduce(DataFrame.unionByName, [_cells(keyed, k, depth) for k in range(1, depth + 1)]), "level")
+    sizes = dict(tuple(r) for r in tree.groupBy("level").count().collect())  # one row per level
     beyond = F.lit(float("inf") if max_distance is None else float(max_distance))
     nothing = F.lit(None)
     # Cell 0 is everything.  It is computed rather than a literal, so that the first step is an equi join too.
@@ -84,10 +87,9 @@ def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | Non
         F.lit(0.0).alias("gap"), beyond.alias("reach"), nothing.cast(targets.schema["site"].dataType).alias("site"),
     )
     per_point = Window.partitionBy("px", "py")
-    for level in range(1, depth + 1):
-        cells = _cells(keyed, level, depth)
-        if min(16**level, box.n) <= BROADCAST_ROWS:
-            cells = F.broadcast(cells)
+    for level in sorted(sizes):
+        cells = tree.where(F.col("level") == level).drop("level")
+        cells = F.broadcast(cells) if sizes[level] <= BROADCAST_ROWS else cells.hint("merge")
         # A cell with a single site is settled: it has no inner cells and is carried along.
         step = found.join(cells, F.expr("cell = c_parent AND n > 1"), "left").selectExpr(
             "px", "py",
@@ -103,8 +105,7 @@ def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | Non
         found = step.where("gap <= bound").drop("bound")
 
     last = keyed.selectExpr("cell AS t_cell", "x AS t_x", "y AS t_y", "site AS t_site")
-    if box.n <= BROADCAST_ROWS:
-        last = F.broadcast(last)
+    last = F.broadcast(last) if box.n <= BROADCAST_ROWS else last.hint("merge")
     pairs = found.join(last, F.expr("cell = t_cell AND n > 1"), "left").selectExpr(
         "px", "py", "coalesce(t_site, site) AS site", f"if(t_site IS NULL, reach, {_distance('t_x - px', 't_y - py')}) AS distance"
     )
@@ -136,7 +137,11 @@ def _grid(targets: DataFrame, box) -> tuple[int, DataFrame]:
 
 
 def _cells(keyed: DataFrame, level: int, depth: int) -> DataFrame:
-    """Occupied cells of a level: parent, number of sites, tight box, and one site as a witness."""
+    """Occupied cells of a level: parent, number of sites, tight box, and one site as a witness.
+
+    A cell whose parent holds a single site says nothing new and is left out, so that deep levels list only
+    crowded places.
+    """
     side, here, shift = 4**depth, 4**level, 2 * (depth - level)
     placed = keyed.selectExpr(
         "x", "y", "site", f"shiftright(cell div {side}, {shift}) * {here}L + shiftright(cell % {side}, {shift}) AS c_cell"
@@ -150,6 +155,12 @@ def _cells(keyed: DataFrame, level: int, depth: int) -> DataFrame:
             )
         ]
     )
-    return cells.withColumn(
-        "c_parent", F.expr(f"shiftright(c_cell div {here}, 2) * {here // 4}L + shiftright(c_cell % {here}, 2)")
+    parent = F.expr(f"shiftright(c_cell div {here}, 2) * {here // 4}L + shiftright(c_cell % {here}, 2)")
+    siblings = Window.partitionBy("c_parent")  # at most 16 rows
+    return (
+        cells.withColumn("c_parent", parent)
+        .withColumn("together", F.sum("c_n").over(siblings))
+        .where("together > 1" if level > 1 else "true")
+        .drop("together")
+        .withColumn("level", F.lit(level))
     )

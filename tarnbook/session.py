@@ -45,13 +45,13 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Store ``df`` as a table in the shared folder, so that later steps read it instead of recomputing it.
 
     A table is computed once, read by column, and has a known size that later joins are planned by.
     """
     path = scratch_path(df.sparkSession, "stored")
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
