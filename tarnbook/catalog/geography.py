@@ -12,6 +12,7 @@ from tarnbook.catalog.statuses import area_sql, status_ctes, statuses
 from tarnbook.functions.geo import lonlat_to_utm, planar_distance, utm_to_lonlat
 from tarnbook.functions.text import area_name_key
 from tarnbook.operators.groups import mean_point
+from tarnbook.operators.points import as_points, reproject
 from tarnbook.operators.polygons import spatial_join
 from tarnbook.operators.tidy import bbox_filter
 from tarnbook.plans.layers import (
@@ -52,6 +53,12 @@ def _(t):
     return _lonlat(t).select("point_id", F.round(easting, 3).alias("easting"), F.round(northing, 3).alias("northing"))
 
 
+@query("reprojected_points", UTM_SQL)
+def _(t):
+    metres = reproject(as_points(_lonlat(t), "lon", "lat", 4326), "lon", "lat", 4326, 26920)
+    return metres.select("point_id", F.round("lon", 3).alias("easting"), F.round("lat", 3).alias("northing"))
+
+
 @query("utm_round_trip", f"SELECT point_id, round({_LON}, 6) AS lon, round({_LAT}, 6) AS lat, CAST(0 AS DOUBLE) AS error_mm FROM ({POINTS_SQL})")
 def _(t):
     easting, northing = lonlat_to_utm(F.col("lon"), F.col("lat"))

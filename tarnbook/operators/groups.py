@@ -122,21 +122,28 @@ def breaks(df: DataFrame, col: str, step: int = 3) -> DataFrame:
     return top.select(F.explode(F.sequence(F.lit(0), "top", F.lit(step))).alias("break"))
 
 
+COPIES_PER_TASK = 100_000
+
+
 def with_record_id(df: DataFrame, name: str = "record_id") -> DataFrame:
     """An id made from the whole content of a row, with a running number among exact copies.
 
-    It survives a new read, another row order and a review round trip.  Copies are counted and written
-    out again from the count in blocks, so a row with very many copies is spread over tasks.
+    It survives a new read, another row order and a review round trip.  Copies are counted, which needs no
+    more than one row per group and task, and written out again from the count; the copies of a row with very
+    many of them are spread over tasks in blocks.
     """
-    block = 100_000
     content = df.columns
     counted = df.groupBy(*content).agg(F.count(F.lit(1)).alias("__n"))
-    blocks = counted.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / block))))
-    spread = blocks.repartition(*content, "__block")
-    first = F.col("__block") * block + 1
-    numbered = spread.withColumn("__copy", F.explode(F.sequence(first, F.least(first + block - 1, F.col("__n")))))
+    few = counted.where(F.col("__n") <= COPIES_PER_TASK).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    blocks = counted.where(F.col("__n") > COPIES_PER_TASK).withColumn(
+        "__first", F.explode(F.sequence(F.lit(1).cast("long"), "__n", F.lit(COPIES_PER_TASK).cast("long")))
+    )
+    spread = blocks.repartition(*content, "__first")
+    last = F.least(F.col("__first") + (COPIES_PER_TASK - 1), F.col("__n"))
+    many = spread.withColumn("__copy", F.explode(F.sequence("__first", last)))
     digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
-    return numbered.select(F.concat_ws("-", digest, F.col("__copy").cast("string")).alias(name), *content)
+    record_id = F.concat_ws("-", digest, F.col("__copy").cast("string")).alias(name)
+    return few.select(record_id, *content).unionByName(many.select(record_id, *content))
 
 
 def global_rank(df: DataFrame, order_by: Sequence[str], name: str = "rank") -> DataFrame:

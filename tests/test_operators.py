@@ -10,9 +10,11 @@ from tarnbook.functions import dates, geo, numbers, text
 from tarnbook.operators import groups, joins, tidy
 from tarnbook.operators.names import name_match, partial_names
 from tarnbook.operators.nearest import nearest_join
+from tarnbook.operators.points import as_points, crs_of, reproject
 from tarnbook.operators.polygons import spatial_join
-from tarnbook.operators.review import apply_decisions, apply_overrides
+from tarnbook.operators.review import apply_decisions, apply_overrides, review_queue
 from tarnbook.sources.layers import as_layer
+from tarnbook.sources.schemas import DECISIONS
 from tarnbook.sources.tables import read_table, write_table
 
 
@@ -141,6 +143,24 @@ def test_utm_central_meridian(spark):
     assert row.e == 500000.0 and row.n == pytest.approx(4982950.400, abs=1e-3)
 
 
+def test_points_and_coordinate_systems(spark):
+    df = spark.createDataFrame([("500000", "4982950.4"), ("n/a", "1"), (None, "1")], "e string, n string")
+    points = as_points(df, "e", "n", 26920)
+    assert points.count() == 1 and crs_of(points, "e") == 26920
+    geographic = reproject(points, "e", "n")
+    row = geographic.first()
+    assert row.e == pytest.approx(-63) and row.n == pytest.approx(45, abs=1e-7) and crs_of(geographic, "n") == 4326
+    assert reproject(geographic, "e", "n", target=4269).first() == row
+    back = reproject(geographic, "e", "n", target=32620).first()
+    assert back.e == pytest.approx(500000) and back.n == pytest.approx(4982950.4, abs=1e-3)
+    other_zone = reproject(points, "e", "n", target=32621).first()
+    assert other_zone.e < 100_000
+    with pytest.raises(ValueError):
+        reproject(points, "e", "n", target=3857)
+    with pytest.raises(ValueError):
+        reproject(df, "e", "n")
+
+
 # --- tables ------------------------------------------------------------------------------------------
 
 
@@ -319,6 +339,18 @@ def test_overrides_and_decisions(spark):
     assert decided == {1: "match", 2: "match", 3: "match"}
 
 
+def test_review_round_trip_over_files(spark, tmp_path):
+    cases = spark.createDataFrame([("i1", "unlikely"), ("i2", "confident"), ("i3", "unlikely")], "record_id string, match_status string")
+    cases = cases.withColumns({c: F.lit(None).cast("string") for c in ("match_decision", "match_status_confirmed")})
+    write_table(review_queue(cases), str(tmp_path / "out"))
+    queue = read_table(spark, str(tmp_path / "out"), "record_id string, match_status string, match_decision string, match_status_confirmed string")
+    assert sorted(values(queue, "record_id")) == ["i1", "i3"]
+    answer = queue.where("record_id = 'i3'").withColumns({"match_decision": F.lit("manual"), "match_status_confirmed": F.lit("match")})
+    write_table(answer.select("record_id", "match_decision", "match_status_confirmed"), str(tmp_path / "back"))
+    settled = apply_decisions(cases, read_table(spark, str(tmp_path / "back"), DECISIONS))
+    assert {r.record_id: r.match_status_confirmed for r in settled.collect()} == {"i1": None, "i2": None, "i3": "match"}
+
+
 # --- nearest -----------------------------------------------------------------------------------------
 
 
