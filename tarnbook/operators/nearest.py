@@ -75,9 +75,8 @@ def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | Non
     if box.n == 0:
         return probes.limit(0).select("px", "py", F.lit(None).alias("site"), F.lit(0.0).alias("distance"))
 
-    depth, keyed = _grid(targets, box)
-    tree = cut_lineage(reduce(DataFrame.unionByName, [_cells(keyed, k, depth) for k in range(1, depth + 1)]), "level")
-    sizes = dict(tuple(r) for r in tree.groupBy("level").count().collect())  # one row per level
+    keyed = _placed(targets, box)
+    tree, depth = _tree(keyed, box)
     beyond = F.lit(float("inf") if max_distance is None else float(max_distance))
     nothing = F.lit(None)
     # Cell 0 is everything.  It is computed rather than a literal, so that the first step is an equi join too.
@@ -87,9 +86,8 @@ def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | Non
         F.lit(0.0).alias("gap"), beyond.alias("reach"), nothing.cast(targets.schema["site"].dataType).alias("site"),
     )
     per_point = Window.partitionBy("px", "py")
-    for level in sorted(sizes):
-        cells = tree.where(F.col("level") == level).drop("level")
-        cells = F.broadcast(cells) if sizes[level] <= BROADCAST_ROWS else cells.hint("merge")
+    for cells, n_cells in tree:
+        cells = F.broadcast(cells) if n_cells <= BROADCAST_ROWS else cells.hint("merge")
         # A cell with a single site is settled: it has no inner cells and is carried along.
         step = found.join(cells, F.expr("cell = c_parent AND n > 1"), "left").selectExpr(
             "px", "py",
@@ -104,7 +102,7 @@ def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | Non
         step = step.withColumn("bound", F.least(F.min("reach").over(per_point), beyond))
         found = step.where("gap <= bound").drop("bound")
 
-    last = keyed.selectExpr("cell AS t_cell", "x AS t_x", "y AS t_y", "site AS t_site")
+    last = keyed.selectExpr(f"{_cell(depth)} AS t_cell", "x AS t_x", "y AS t_y", "site AS t_site")
     last = F.broadcast(last) if box.n <= BROADCAST_ROWS else last.hint("merge")
     pairs = found.join(last, F.expr("cell = t_cell AND n > 1"), "left").selectExpr(
         "px", "py", "coalesce(t_site, site) AS site", f"if(t_site IS NULL, reach, {_distance('t_x - px', 't_y - py')}) AS distance"
@@ -117,36 +115,46 @@ def _distance(dx: str, dy: str) -> str:
     return f"sqrt(({dx}) * ({dx}) + ({dy}) * ({dy}))"
 
 
-def _grid(targets: DataFrame, box) -> tuple[int, DataFrame]:
-    """Number of levels, and the sites with their cell on the last one."""
-    depth = max(1, math.ceil(math.log(max(box.n / LEAF_SITES, 1), 16)))
-    while True:
-        side = 4**depth
-        scale = side / box.span if box.span > 0 else 0.0
-        col, row = (
-            F.least(F.floor((F.col(c) - low) * scale).cast("long"), F.lit(side - 1)) for c, low in (("x", box.x), ("y", box.y))
-        )
-        keyed = targets.withColumn("cell", col * side + row)
-        if depth >= MAX_LEVELS or box.span == 0:
-            return depth, keyed
-        crowd = keyed.groupBy("cell").count().agg(F.max("count")).first()[0]
-        if crowd <= LEAF_SITES:
-            return depth, keyed
-        # One level holds 16 times as many cells; a crowd needs at least this many more.
-        depth = min(MAX_LEVELS, depth + max(1, math.floor(math.log(crowd / LEAF_SITES, 16))))
+def _placed(targets: DataFrame, box) -> DataFrame:
+    """Sites with their column and row on the finest level; coarser ones follow by shifting."""
+    side = 4**MAX_LEVELS
+    scale = side / box.span if box.span > 0 else 0.0
+    return targets.withColumns(
+        {name: F.least(F.floor((F.col(c) - low) * scale), F.lit(side - 1)) for name, c, low in (("col", "x", box.x), ("row", "y", box.y))}
+    )
+
 
+def _cell(level: int) -> str:
+    shift = 2 * (MAX_LEVELS - level)
+    return f"shiftright(col, {shift}) * {4**level}L + shiftright(row, {shift})"
 
-def _cells(keyed: DataFrame, level: int, depth: int) -> DataFrame:
+
+def _tree(keyed: DataFrame, box) -> tuple[list[tuple[DataFrame, int]], int]:
+    """Stored cells and their number, level by level, down to where no cell is crowded; and the last level."""
+    levels, depth = [], 0
+    step = 1 + max(1, math.ceil(math.log(max(box.n / LEAF_SITES, 1), 16)))
+    while True:
+        reach = min(MAX_LEVELS, depth + step)
+        stored = cut_lineage(reduce(DataFrame.unionByName, [_cells(keyed, k) for k in range(depth + 1, reach + 1)]), "level")
+        # One row per level.
+        found = {r.level: r for r in stored.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("c_n").alias("crowd")).collect()}
+        levels += [(stored.where(F.col("level") == k).drop("level"), found[k].n) for k in sorted(found)]
+        depth, step = reach, 3
+        if depth == MAX_LEVELS or depth not in found or found[depth].crowd <= LEAF_SITES:
+            return levels, depth
+        # Only sites that still share a cell are refined further.
+        crowded = levels[-1][0].where("c_n > 1").select(F.col("c_cell").alias("crowded"))
+        keyed = keyed.join(crowded, F.expr(f"{_cell(depth)} = crowded"), "left_semi")
+
+
+def _cells(keyed: DataFrame, level: int) -> DataFrame:
     """Occupied cells of a level: parent, number of sites, tight box, and one site as a witness.
 
     A cell whose parent holds a single site says nothing new and is left out, so that deep levels list only
     crowded places.
     """
-    side, here, shift = 4**depth, 4**level, 2 * (depth - level)
-    placed = keyed.selectExpr(
-        "x", "y", "site", f"shiftright(cell div {side}, {shift}) * {here}L + shiftright(cell % {side}, {shift}) AS c_cell"
-    )
-    cells = placed.groupBy("c_cell").agg(
+    here = 4**level
+    cells = keyed.selectExpr("x", "y", "site", f"{_cell(level)} AS c_cell").groupBy("c_cell").agg(
         *[
             F.expr(e)
             for e in (
