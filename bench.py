@@ -17,10 +17,9 @@ from pyspark.sql import SparkSession
 from tarnbook.catalog import QUERIES
 
 HEADLINE = (
-    "site_status_v3 site_status_v1 watershed_status county_status status_crosstab detections_with_status "
-    "first_detection_decade richness_joined_back enriched_by_visit duplicate_groups latest_per_identity first_non_null "
-    "record_ids side_by_side site_name_key utm_round_trip nearest_site nearest_record_of_site review_decisions "
-    "name_match_best name_then_distance points_in_polygons coverage_report site_master community_list "
+    "site_status_v3 watershed_status detections_with_status first_detection_decade richness_joined_back "
+    "enriched_by_visit duplicate_groups latest_per_identity first_non_null record_ids side_by_side site_name_key "
+    "utm_round_trip nearest_site name_match_best points_in_polygons coverage_report site_master community_list "
     "site_species_year nested_export"
 ).split()
 
