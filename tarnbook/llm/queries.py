@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbook.llm import simhash
+from tarnbook.llm import rlz, simhash, suffix
 from tarnbook.llm.text import documents
 from tarnbook.session import tune
 
@@ -32,3 +32,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.removal_report(rlz.duplicate_factors(documents(spark, sf_dir)))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_report(suffix.duplicate_spans(documents(spark, sf_dir), keep="none"))
