@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbook.llm import rlz, simhash, suffix
+from tarnbook.llm import fingerprint, rlz, simhash, suffix
 from tarnbook.llm.text import documents
 from tarnbook.session import tune
 
@@ -26,6 +26,11 @@ def query(name: str):
     return register
 
 
+@query("op1_fingerprints")
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(documents(spark, sf_dir))
+
+
 @query("op2_simhash")
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
