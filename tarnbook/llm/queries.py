@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbook.llm import fingerprint, rlz, simhash, suffix
+from tarnbook.llm import fingerprint, mixing, rlz, simhash, suffix
 from tarnbook.llm.text import documents
 from tarnbook.session import tune
 
@@ -39,6 +39,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_mixing")
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.removal_report(rlz.duplicate_factors(documents(spark, sf_dir)))
