@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbook.llm import fingerprint, langid, mixing, rlz, simhash, suffix
+from tarnbook.llm import fingerprint, langid, mixing, quality, rlz, simhash, suffix
 from tarnbook.llm.text import documents
 from tarnbook.session import tune
 
@@ -49,6 +49,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.removal_report(rlz.duplicate_factors(documents(spark, sf_dir)))
 
 
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query("op9_language")
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(documents(spark, sf_dir))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tarnbook.llm.text import Chunk, arrow_rows, chunks, prefix_hashes, range_hashes, window_hashes
 from tarnbook.session import cut_lineage
 
-HOT_WINDOWS = 1 << 19
+HOT_WINDOWS = 1 << 15
 FIRST_SEED, SECOND_SEED = 11, 12
 
 SEGMENT = "doc_id long, thash long, key long, h1 long, h2 long, n int, start int, again boolean"
