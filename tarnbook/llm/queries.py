@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbook.llm import fingerprint, langid, mixing, quality, rlz, simhash, suffix, urls
+from tarnbook.llm import decontaminate, fingerprint, langid, mixing, quality, rlz, simhash, suffix, urls
 from tarnbook.llm.text import documents
 from tarnbook.session import tune
 
@@ -59,6 +59,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query("op9_language")
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(documents(spark, sf_dir))
