@@ -233,13 +233,32 @@ def _by_rows(bodies: DataFrame, unit: str, width: int, keep: str) -> DataFrame:
 
     windows = cut_lineage(bodies.mapInArrow(run, schema))
     place = F.struct("doc_id", "thash", "pos")
-    content = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")).where("copies > 1")
+    # Stored, so that the join has two plain shuffles and a very common window can be split.
+    content = cut_lineage(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")).where("copies > 1"))
     joined = windows.join(content, ["w1", "w2"])
     if keep == "first":
         joined = joined.where(place != F.col("first"))
     elif keep == "smaller":
         joined = joined.where(F.col("doc_id") > F.col("first.doc_id"))
-    return joined.groupBy(*CLASS).agg(F.sort_array(F.collect_list("low")).alias("low")).select(*CLASS, "low", F.col("low").alias("high"))
+    lists = joined.groupBy(*CLASS).agg(F.sort_array(F.collect_list("low")).alias("low"))
+    return lists.mapInArrow(_merged, FOUND)
+
+
+def _merged(batches):
+    """Lists of places as lists of ranges."""
+    for batch in batches:
+        lists = batch.column(4)
+        offsets = lists.offsets.to_numpy()
+        flat = lists.flatten().to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        new = np.ones(len(flat), dtype=bool)
+        new[1:] = np.diff(flat) != 1
+        new[offsets[:-1][offsets[:-1] < len(flat)]] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(flat)) - 1
+        bounds = pa.array(np.searchsorted(first, offsets).astype(np.int32))
+        ranges = [pa.ListArray.from_arrays(bounds, pa.array(flat[x].astype(np.int32))) for x in (first, last)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *ranges], names=["key", "h1", "h2", "n", "low", "high"])
 
 
 def ranges(docs: DataFrame, unit: str, width: int, gram: int, keep: str, judge: Callable, most: int = 1 << 20) -> DataFrame:
