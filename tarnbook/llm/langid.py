@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tarnbook.llm.text import _byte_values, arrow_rows, chunks, fold_of, prefix_hashes, range_hashes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLE_PER_LANGUAGE = 1500
+SAMPLE_PER_LANGUAGE = 1000
 EM_ROUNDS = 4
 LONGEST_PIECE = 16
 LONGEST_WORD = 32  # bytes; longer words are scored in parts of this length
@@ -77,7 +77,7 @@ class Lattice:
         width = np.concatenate([f[1] for f in found])
         ids = np.concatenate([f[2] for f in found])
         level = np.concatenate([f[3] for f in found])
-        # Sixteen lengths and the byte pieces: within a group no two edges end at one node.
+        # Sixteen lengths and the byte pieces: within a group no two edges begin or end at one node.
         group = level * 32 + width * 2 + (ids < 256)
         order = np.argsort(group, kind="stable")
         self.source, self.target, self.ids = source[order], (source + width)[order], ids[order]
@@ -99,7 +99,7 @@ class Lattice:
         beta = np.zeros((self.nodes, theta.shape[1]))
         beta[self.last] = 1.0
         for a, b in zip(self.cuts[-2::-1], self.cuts[:0:-1]):
-            np.add.at(beta, self.source[a:b], beta[self.target[a:b]] * theta[self.ids[a:b]])
+            beta[self.source[a:b]] += beta[self.target[a:b]] * theta[self.ids[a:b]]
         return beta
 
     def log_probability(self, theta: np.ndarray) -> np.ndarray:
@@ -178,16 +178,16 @@ def _has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``.
+def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language predicted and its score, in columns of the two ``names``.
 
     A text's probability in a language is the product over its words of the summed probability of all their
     segmentations; the score is the posterior of the likeliest language.  Texts that are null or have no letter, and all
-    texts if no language is known, are ``und`` with score 0.  Columns of the two names are replaced.
+    texts if no language is known, are ``und`` with score 0.  Columns of the two names, if there are any, are replaced.
     """
     arrow_rows(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    kept = [c for c in docs.columns if c not in names]
+    schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
     languages, theta, prior, vocabulary = model.languages, model.theta, model.prior, model.vocabulary
     where = kept.index(text)
 
@@ -225,7 +225,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", id_col: str = "d
                 share = weight.max(axis=1) / weight.sum(axis=1)
                 labels += [languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters)]
                 scores += [s if ok else 0.0 for s, ok in zip(share.tolist(), letters)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *names])
 
     return docs.select(*kept).mapInArrow(run, schema)
 

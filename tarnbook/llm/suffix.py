@@ -68,12 +68,16 @@ def _judge(width: int, keep: str):
 
 
 def duplicate_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = WIDTH, keep: str = "first", gram: int | None = None) -> DataFrame:
-    """``doc_id, thash, text, spans``: every row with the starts of its ``width``-byte strings that are repeated.
+    """``doc_id, thash, text, spans`` (and ``row``): every row with the starts of its ``width``-byte strings that are repeated.
 
-    ``keep`` is ``first`` (later copies go, by id and place) or ``none`` (all copies go).  ``docs`` may have other
-    columns, which are left out; a null text is empty.  Matches never cross texts.
+    ``keep`` is ``first`` (later copies go, by id and place) or ``none`` (all copies go).  A null text is empty; matches never
+    cross texts.  Ids may be null or repeat: rows with one id and one text have the same spans, those that repeat a
+    text count as copies of each other only with ``none``.  All other columns come back in the struct ``row``.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("thash"), F.col(text).alias("text"))
+    rest = [F.col(c) for c in docs.columns if c != text]
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("thash"), F.col(text).alias("text"), F.struct(*rest).alias("row")
+    )
     return with_ranges(rows, ranges(rows, "bytes", width, gram or max(1, width // 4), keep, _judge(width, keep)))
 
 
@@ -111,3 +115,26 @@ def removal_report(spans: DataFrame, width: int = WIDTH) -> DataFrame:
             )
 
     return spans.select("doc_id", "text", "spans").mapInArrow(run, schema)
+
+
+def kept_texts(spans: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``row, text`` of every row of :func:`duplicate_spans`, without the bytes its spans cover.
+
+    A character of several bytes that is cut at a span's edge goes with the span.
+    """
+    schema = spans.select("row", "text").schema
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for i in range(batch.num_rows):
+                raw = batch.column(1)[i]
+                low, high = _spans_of(batch.column(2), i)
+                if not raw.is_valid or not len(low):
+                    texts.append(raw.as_py())
+                    continue
+                data = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
+                texts.append(data[~covered(len(data), low, high, width)].tobytes().decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+
+    return spans.select("row", "text", "spans").mapInArrow(run, schema)
