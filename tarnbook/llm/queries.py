@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbook.llm import decontaminate, fingerprint, langid, mixing, quality, rlz, simhash, suffix, urls
+from tarnbook.llm import decontaminate, fingerprint, langid, mixing, ngram, quality, rlz, simhash, suffix, urls
 from tarnbook.llm.text import documents
 from tarnbook.session import tune
 
@@ -44,6 +44,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.scored(documents(spark, sf_dir))
+
+
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.removal_report(rlz.duplicate_factors(documents(spark, sf_dir)))
