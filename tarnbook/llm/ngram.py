@@ -25,7 +25,7 @@ from tarnbook.session import cut_lineage
 
 FREQUENT = 1 << 22
 TOKENS_PER_OWNER = 2_000_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 END = U64(0x1F83D9ABFB41BD6B)
 START = U64(0x5BE0CD19137E2179)
 EM_ROUNDS = 40
@@ -174,13 +174,17 @@ def _blocks(words, owners: int):
                 key, text, owner = key[order], text[order], owner[order]
                 cuts = np.searchsorted(owner, np.arange(owners + 1))
                 at = slice(*chunk.rows)
-                docs = _squeeze(np.concatenate([ids[0][at], ids[1][at], ids[2][at].astype(np.int64) + 2 * null[at].astype(np.int64)]))
-                small = np.uint16 if len(chunk.bounds) <= 1 << 16 else np.uint32
-                rows = [(o, x, y) for o, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if x < y]
+                which = [ids[0][at], ids[1][at], ids[2][at].astype(np.int64) + 2 * null[at].astype(np.int64)]
+                rows = []
+                for o in np.flatnonzero(np.diff(cuts)).tolist():
+                    mine = slice(cuts[o], cuts[o + 1])
+                    # Only the documents that have a token here are named.
+                    present, doc = np.unique(text[mine], return_inverse=True)
+                    names = np.concatenate([np.diff(which[0][present], prepend=0), which[1][present], which[2][present]])
+                    small = np.uint16 if len(present) < 1 << 16 else np.uint32
+                    rows.append((o, _squeeze(names), _squeeze(doc.astype(small)), _squeeze(np.diff(key[mine], prepend=0))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([o for o, _, _ in rows], pa.int32()), pa.array([docs] * len(rows), pa.binary()),
-                     pa.array([_squeeze(text[x:y].astype(small)) for _, x, y in rows], pa.binary()),
-                     pa.array([_squeeze(np.diff(key[x:y], prepend=0)) for _, x, y in rows], pa.binary())],
+                    [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]],
                     names=["owner", "docs", "doc", "key"],
                 )
 
@@ -190,7 +194,7 @@ def _blocks(words, owners: int):
 def _docs_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, text hashes, training flags and null flags of a block's documents."""
     ids, hashes, flags = _loose(raw, np.int64).reshape(3, -1)
-    return ids, hashes, flags % 2 == 1, flags >= 2
+    return np.cumsum(ids), hashes, flags % 2 == 1, flags >= 2
 
 
 def _doc_index(raw: bytes, docs: int) -> np.ndarray:
@@ -332,8 +336,11 @@ def scored(docs: DataFrame, text: str = "text", id_col: str = "doc_id", folds: i
     spark = docs.sparkSession
     arrow_rows(spark, 2000)
     fold = fold_of(id_col, folds)
+    # Where ids don't tell rows apart, a hash of the text goes with them.
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("d")).first()
+    content = F.lit(0).cast("long") if ids["n"] == ids["d"] else F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("thash"),
+        F.col(id_col).cast("long").alias("doc_id"), content.alias("thash"),
         F.coalesce(fold != held_out, F.lit(False)).alias("train"), F.col(text).alias("text"),
     )
     counts = cut_lineage(word_counts(rows))
