@@ -116,11 +116,18 @@ def _(t):
 )
 def _(t):
     path = scratch_path(t.spark, "layer")
-    layer(t).drop("xmin", "ymin", "xmax", "ymax").write.parquet(path)
+    # Shapes with heights and measures, as a survey stores them.
+    raised = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(12.5).alias("z"), F.col("layer_id").alias("m"))))
+    layer(t).drop("xmin", "ymin", "xmax", "ymax").withColumn("rings", raised).write.parquet(path)
     read = read_layer(t.spark, path)
     return read.select("layer_id", "xmin", "ymin", "xmax", "ymax", F.size(F.flatten("rings")).alias("corners"))
 
 
+@query("layer_by_attribute", f"SELECT layer_id, layer_name, lx AS xmin, ly AS ymin FROM ({LAYER_SQL}) WHERE layer_name LIKE '%7'")
+def _(t):
+    return layer(t).where(F.col("layer_name").endswith("7")).select("layer_id", "layer_name", "xmin", "ymin")
+
+
 @query("bbox_layer", f"SELECT * FROM ({POINTS_SQL}) WHERE x BETWEEN 100 AND 5000.5 AND y BETWEEN 2500 AND 9000")
 def _(t):
     return bbox_filter(points(t), "x", "y", 100, 5000.5, 2500, 9000)
@@ -141,17 +148,43 @@ def _(t):
     return focal_layer(rows, "species_name", (FOCAL.a, FOCAL.b), window, ("x", "y"))
 
 
+# The way back, likewise.
+def _lonlat_ctes(source: str) -> str:
+    """WITH clauses up to ``l``: longitude and latitude of the rows (point_id, easting, northing) of a query."""
+    return f"""WITH k AS (SELECT *, 1 / (2 * 298.257222101 - 1) AS n FROM ({source})),
+a AS (SELECT point_id, easting, northing, n/2 - 2*n*n/3 + 37*pow(n,3)/96 - pow(n,4)/360 AS b1, n*n/48 + pow(n,3)/15 - 437*pow(n,4)/1440 AS b2,
+  17*pow(n,3)/480 - 37*pow(n,4)/840 AS b3, 4397*pow(n,4)/161280 AS b4,
+  2*n - 2*n*n/3 - 2*pow(n,3) + 116*pow(n,4)/45 AS d1, 7*n*n/3 - 8*pow(n,3)/5 - 227*pow(n,4)/45 AS d2,
+  56*pow(n,3)/15 - 136*pow(n,4)/35 AS d3, 4279*pow(n,4)/630 AS d4,
+  northing / r AS xi, (easting - 500000) / r AS eta
+  FROM (SELECT *, 0.9996 * 6378137 / (1 + n) * (1 + n*n/4 + pow(n,4)/64) AS r FROM k)),
+b AS (SELECT *, xi - b1*sin(2*xi)*cosh(2*eta) - b2*sin(4*xi)*cosh(4*eta) - b3*sin(6*xi)*cosh(6*eta) - b4*sin(8*xi)*cosh(8*eta) AS p,
+  eta - b1*cos(2*xi)*sinh(2*eta) - b2*cos(4*xi)*sinh(4*eta) - b3*cos(6*xi)*sinh(6*eta) - b4*cos(8*xi)*sinh(8*eta) AS q FROM a),
+c AS (SELECT *, asin(sin(p) / cosh(q)) AS chi FROM b),
+l AS (SELECT point_id, easting, northing, -63 + degrees(atan2(sinh(q), cos(p))) AS longitude,
+  degrees(chi + d1*sin(2*chi) + d2*sin(4*chi) + d3*sin(6*chi) + d4*sin(8*chi)) AS latitude FROM c)"""
+
+
+LONLAT_SQL = f"""{_lonlat_ctes(f'SELECT point_id, 300000 + x * 30 AS easting, 4800000 + y * 30 AS northing FROM ({POINTS_SQL}) WHERE point_id % 5 <> 0')}
+SELECT point_id, round(longitude, 8) AS longitude, round(latitude, 8) AS latitude, CAST(point_id % 9 AS INT) AS resample_count FROM l
+WHERE longitude BETWEEN -66.7 AND -63 AND latitude BETWEEN 43.2 AND 45"""
+
+
+_FOCAL_PLACES = f"""SELECT name, species_name, year, 300000 + x AS easting, 4800000 + y AS northing,
+  CAST(floor(year / 10) * 10 AS INT) AS decade_num FROM ({CATCHES_SQL}) WHERE species_name IN ('Brand#1', 'Brand#2')"""
+
+
 @query(
     "decade_layers",
-    f"""WITH d AS (SELECT name, species_name, year, CAST(floor(year / 10) * 10 AS INT) AS decade_num FROM ({CATCHES_SQL})
-  WHERE species_name IN ('Brand#1', 'Brand#2'))
-SELECT *, decade_num || 's' AS decade, dense_rank() OVER (ORDER BY decade_num) AS decade_rank, true AS in_zone FROM d""",
+    f"""{_lonlat_ctes(f'SELECT DISTINCT 0 AS point_id, easting, northing FROM ({_FOCAL_PLACES})')}
+SELECT d.*, decade_num || 's' AS decade, dense_rank() OVER (ORDER BY decade_num) AS decade_rank,
+  round(longitude, 8) AS longitude, round(latitude, 8) AS latitude
+FROM ({_FOCAL_PLACES}) d JOIN l ON d.easting = l.easting AND d.northing = l.northing""",
 )
 def _(t):
     rows = catches(t).select("name", "species_name", "year", (300000 + F.col("x")).alias("easting"), (4800000 + F.col("y")).alias("northing"))
     placed = decade_layers(rows, "species_name", (FOCAL.a, FOCAL.b))
-    in_zone = F.col("longitude").between(-66, -60) & F.col("latitude").between(43, 47)
-    return placed.withColumn("in_zone", in_zone).drop("longitude", "latitude", "easting", "northing")
+    return placed.withColumns({c: F.round(c, 8) for c in ("longitude", "latitude")})
 
 
 @query("mean_points", f"SELECT category, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM ({POINTS_SQL}) GROUP BY 1")
@@ -159,23 +192,6 @@ def _(t):
     return mean_point(points(t), ["category"], "x", "y").select("category", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-# The way back, likewise.
-LONLAT_SQL = f"""WITH k AS (SELECT *, 1 / (2 * 298.257222101 - 1) AS n FROM ({POINTS_SQL}) WHERE point_id % 5 <> 0),
-a AS (SELECT point_id, n/2 - 2*n*n/3 + 37*pow(n,3)/96 - pow(n,4)/360 AS b1, n*n/48 + pow(n,3)/15 - 437*pow(n,4)/1440 AS b2,
-  17*pow(n,3)/480 - 37*pow(n,4)/840 AS b3, 4397*pow(n,4)/161280 AS b4,
-  2*n - 2*n*n/3 - 2*pow(n,3) + 116*pow(n,4)/45 AS d1, 7*n*n/3 - 8*pow(n,3)/5 - 227*pow(n,4)/45 AS d2,
-  56*pow(n,3)/15 - 136*pow(n,4)/35 AS d3, 4279*pow(n,4)/630 AS d4,
-  (4800000 + y * 30) / r AS xi, (300000 + x * 30 - 500000) / r AS eta
-  FROM (SELECT *, 0.9996 * 6378137 / (1 + n) * (1 + n*n/4 + pow(n,4)/64) AS r FROM k)),
-b AS (SELECT *, xi - b1*sin(2*xi)*cosh(2*eta) - b2*sin(4*xi)*cosh(4*eta) - b3*sin(6*xi)*cosh(6*eta) - b4*sin(8*xi)*cosh(8*eta) AS p,
-  eta - b1*cos(2*xi)*sinh(2*eta) - b2*cos(4*xi)*sinh(4*eta) - b3*cos(6*xi)*sinh(6*eta) - b4*cos(8*xi)*sinh(8*eta) AS q FROM a),
-c AS (SELECT *, asin(sin(p) / cosh(q)) AS chi FROM b),
-l AS (SELECT point_id, -63 + degrees(atan2(sinh(q), cos(p))) AS longitude,
-  degrees(chi + d1*sin(2*chi) + d2*sin(4*chi) + d3*sin(6*chi) + d4*sin(8*chi)) AS latitude FROM c)
-SELECT point_id, round(longitude, 8) AS longitude, round(latitude, 8) AS latitude, CAST(point_id % 9 AS INT) AS resample_count FROM l
-WHERE longitude BETWEEN -66.7 AND -63 AND latitude BETWEEN 43.2 AND 45"""
-
-
 @query("effort_layer", LONLAT_SQL)
 def _(t):
     missing = F.col("point_id") % 5 == 0

@@ -38,7 +38,8 @@ def status_ctes(rules: str, detections_sql: str = CATCHES_SQL, extra: str = "")
         never = {s: f"(ws_first_{s} IS NULL AND NOT coalesce(ws_seen_{s}, false))" for s in "ab"}
     species = ", ".join(
         f"CASE WHEN first_{s} IS NOT NULL THEN 'Present' WHEN {never[s]} OR last_sampled_year >= ws_first_{s} "
-        f"THEN 'Absent' ELSE 'Data insufficient' END AS status_{s}"
+        f"THEN 'Absent' ELSE 'Data insufficient' END AS status_{s}, "
+        f"CASE WHEN first_{s} IS NULL THEN {never[s]} OR coalesce(last_sampled_year >= ws_first_{s}, false) END AS absence_{s}_believable"
         for s in "ab"
     )
     if rules == "v1":
@@ -81,7 +82,7 @@ def area_sql(key: str, name: str, rules: str = "v3") -> str:
 
 
 V1_COLUMNS = f"{SITE_SQL}, last_sampled_year, first_a, first_b, ws_first_a, ws_first_b, ws_first_any, sampled_post_invasion, site_status"
-V3_COLUMNS = f"{SITE_SQL}, last_sampled_year, first_a, first_b, ws_first_a, ws_first_b, status_a, status_b, site_status"
+V3_COLUMNS = f"{SITE_SQL}, last_sampled_year, first_a, first_b, ws_first_a, ws_first_b, absence_a_believable, absence_b_believable, status_a, status_b, site_status"
 
 
 @query("site_status_v1", status_ctes("v1") + f" SELECT {V1_COLUMNS} FROM status")
@@ -91,12 +92,12 @@ def _(t):
 
 @query("site_status_v2", status_ctes("v2") + f" SELECT {V3_COLUMNS} FROM status")
 def _(t):
-    return statuses(t, "v2").drop("absence_a_believable", "absence_b_believable")
+    return statuses(t, "v2")
 
 
 @query("site_status_v3", status_ctes("v3") + f" SELECT {V3_COLUMNS} FROM status")
 def site_status_v3(t):
-    return statuses(t, "v3").drop("absence_a_believable", "absence_b_believable")
+    return statuses(t, "v3")
 
 
 @query("watershed_status", status_ctes("v3") + area_sql("primary_watershed", "ws_status"))
@@ -127,11 +128,12 @@ def _(t):
 @query(
     "watershed_first_wide",
     f"""SELECT primary_watershed, min(year) FILTER (species_name = '{A}') AS ws_first_a,
-  min(year) FILTER (species_name = '{B}') AS ws_first_b FROM ({CATCHES_SQL})
+  min(year) FILTER (species_name = '{B}') AS ws_first_b, bool_or(species_name = '{A}') AS ws_seen_a,
+  bool_or(species_name = '{B}') AS ws_seen_b FROM ({CATCHES_SQL})
   WHERE species_name IN ('{A}', '{B}') GROUP BY 1""",
 )
 def _(t):
-    return area_first(detections(t), "primary_watershed", "species_name", "year", FOCAL).drop("ws_seen_a", "ws_seen_b")
+    return area_first(detections(t), "primary_watershed", "species_name", "year", FOCAL)
 
 
 @query(

@@ -19,6 +19,7 @@ from tarnbook.operators.groups import (
     name_diff,
     side_by_side,
     source_label,
+    top_n,
     top_row,
     with_record_id,
 )
@@ -145,31 +146,32 @@ def _(t):
     )
 
 
-def _names(t, kind):
-    return t.part.where(F.col("p_type") == kind).select(F.concat_ws("-", "p_name", "p_size").alias("name"))
+def _names(t, parity):
+    """Every part is in one of two lists, by the parity of its size."""
+    return t.part.where(F.col("p_size") % 2 == parity).select(F.concat_ws("-", "p_name", "p_type").alias("name"))
 
 
-_NAMES_SQL = "SELECT DISTINCT p_name || '-' || p_size AS name FROM part WHERE p_type = '{}'"
+_NAMES_SQL = "SELECT DISTINCT p_name || '-' || p_type AS name FROM part WHERE p_size % 2 = {}"
 
 
 @query(
     "name_diff",
-    f"""WITH a AS ({_NAMES_SQL.format('STANDARD')}), b AS ({_NAMES_SQL.format('ECONOMY')})
+    f"""WITH a AS ({_NAMES_SQL.format(0)}), b AS ({_NAMES_SQL.format(1)})
 SELECT name, 'right' AS missing_in FROM a WHERE name NOT IN (SELECT name FROM b)
 UNION ALL SELECT name, 'left' FROM b WHERE name NOT IN (SELECT name FROM a)""",
 )
 def _(t):
-    return name_diff(_names(t, "STANDARD"), _names(t, "ECONOMY"), "name")
+    return name_diff(_names(t, 0), _names(t, 1), "name")
 
 
 @query(
     "side_by_side",
-    f"""WITH a AS (SELECT name AS have, row_number() OVER (ORDER BY name) AS line FROM ({_NAMES_SQL.format('STANDARD')})),
-b AS (SELECT name AS want, row_number() OVER (ORDER BY name) AS line FROM ({_NAMES_SQL.format('ECONOMY')}))
+    f"""WITH a AS (SELECT name AS have, row_number() OVER (ORDER BY name) AS line FROM ({_NAMES_SQL.format(0)})),
+b AS (SELECT name AS want, row_number() OVER (ORDER BY name) AS line FROM ({_NAMES_SQL.format(1)}))
 SELECT coalesce(a.line, b.line) AS line, have, want FROM a FULL JOIN b ON a.line = b.line""",
 )
 def _(t):
-    return side_by_side(_names(t, "STANDARD"), _names(t, "ECONOMY"), "name")
+    return side_by_side(_names(t, 0), _names(t, 1), "name")
 
 
 @query(
@@ -319,25 +321,26 @@ def _(t):
 @query(
     "column_profile",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS n_null, CAST(min({c}) AS DOUBLE) AS minimum, "
+        f"SELECT round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS n_null, CAST(min({c}) AS DOUBLE) AS minimum, "
         f"round(avg({c}), 4) AS mean, CAST(max({c}) AS DOUBLE) AS maximum FROM ({SITES_SQL})"
         for c in ("surface_area_ha", "volume_m3", "max_depth_m")
     ),
 )
 def _(t):
-    return column_profile(sites(t), ["surface_area_ha", "volume_m3", "max_depth_m"]).withColumn("mean", F.round("mean", 4))
+    profile = column_profile(sites(t), ["surface_area_ha", "volume_m3", "max_depth_m"], (0.25, 0.5, 0.75), exact=True)
+    return profile.withColumns({c: F.round(c, 4) for c in ("mean", "q25", "q50", "q75")})
 
 
 @query(
     "record_ids",
     """SELECT l_returnflag, l_linestatus, l_quantity, CAST(row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_quantity) AS VARCHAR) AS copy,
-  64 AS digest_length FROM lineitem""",
+  sha256('{"l_returnflag":"' || l_returnflag || '","l_linestatus":"' || l_linestatus || '","l_quantity":' || l_quantity || '}') AS digest FROM lineitem""",
 )
 def _(t):
     marked = with_record_id(t.lineitem.select("l_returnflag", "l_linestatus", "l_quantity"))
     parts = F.split("record_id", "-")
     return marked.select(
-        "l_returnflag", "l_linestatus", "l_quantity", parts[1].alias("copy"), F.length(parts[0]).alias("digest_length")
+        "l_returnflag", "l_linestatus", "l_quantity", parts[1].alias("copy"), parts[0].alias("digest")
     )
 
 
@@ -392,3 +395,24 @@ def _(t):
     path = scratch_path(t.spark, "delimited")
     write_table(out, path)
     return read_table(t.spark, path, "key long, name string, segment string, balance double")
+
+
+@query(
+    "delimited_by_header",
+    """SELECT c_custkey AS site_code, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name, c_mktsegment AS county, c_acctbal AS surface_area_ha FROM customer""",
+)
+def _(t):
+    key = F.col("c_custkey")
+    # Dotted and capital names, other columns, another order than the declared one.
+    out = t.customer.select(
+        F.col("c_nationkey").alias("X"), F.col("c_acctbal").alias("Surface.Area..ha."), F.when(key % 3 != 0, F.col("c_name")).alias("Name"),
+        F.lit("unused").alias("Notes: any"), key.alias("Site.Code"), F.col("c_mktsegment").alias("COUNTY"),
+    )
+    path = scratch_path(t.spark, "delimited")
+    write_table(out, path)
+    return read_table(t.spark, path, "county string, site_code long, name string, surface_area_ha double")
+
+
+@query("top_n", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def _(t):
+    return top_n(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 25)

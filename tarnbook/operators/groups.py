@@ -69,6 +69,11 @@ def top_row(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]
 one_row = top_row
 
 
+def top_n(df: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
+    """The first ``n`` rows in an order that should end in a unique column; each task passes on no more than ``n``."""
+    return df.orderBy(*[_column(c) for c in order_by]).limit(n)
+
+
 def joined_values(df: DataFrame, keys: Sequence[str], col: str, sep: str = "+", name: str | None = None) -> DataFrame:
     """Sorted distinct values of a column as one text per group."""
     return df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(col)), sep).alias(name or col))
@@ -88,10 +93,11 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str] | None = N
     return pivoted.count().fillna(0)
 
 
-def column_profile(df: DataFrame, cols: Sequence[str], quantiles: Sequence[float] = ()) -> DataFrame:
+def column_profile(df: DataFrame, cols: Sequence[str], quantiles: Sequence[float] = (), exact: bool = False) -> DataFrame:
     """One row per numeric column: rows, nulls, minimum, mean, maximum and, if asked for, quantiles.
 
-    All columns are profiled in one pass.  Quantiles are Spark's approximate ones.
+    All columns are profiled in one pass.  Quantiles are Spark's approximate ones, which need a bounded summary per task;
+    ``exact`` ones are interpolated and need the counts of all distinct values.
     """
     stats = []
     for c in cols:
@@ -104,7 +110,7 @@ def column_profile(df: DataFrame, cols: Sequence[str], quantiles: Sequence[float
                 F.min(v).alias("minimum"),
                 F.avg(v).alias("mean"),
                 F.max(v).alias("maximum"),
-                *[F.percentile_approx(v, q, 10000).alias(f"q{round(q * 100)}") for q in quantiles],
+                *[(F.percentile(v, q) if exact else F.percentile_approx(v, q, 10000)).alias(f"q{round(q * 100)}") for q in quantiles],
             )
         )
     return df.agg(F.array(*stats).alias("stats")).select(F.inline("stats"))

@@ -3,14 +3,16 @@
 The sites are summed up in a grid of nested cells (16 to a cell and level).  A point starts with the whole
 extent and, level by level, replaces each cell it still considers by the occupied cells inside; cells that
 cannot hold anything closer than a site already seen are dropped.  Each step is an equi join on the cell, so
-neither all pairs nor all pairs of a crowded spot are ever formed: a crowd of sites is just refined further,
-points and sites that share coordinates are searched once.
+neither all pairs nor all pairs of a crowded spot are ever formed: a cell that is still crowded gets a grid of
+its own, laid over the tight box of its sites, and so on without an end given in advance.  A few far away sites
+thus cost one more grid and nothing else.  Points and sites that share coordinates are searched once.
 """
 
 from __future__ import annotations
 
 import math
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from tarnbook.operators.joins import left_lookup
 from tarnbook.session import cut_lineage
 
 LEAF_SITES = 16  # refine until a cell holds no more sites than this
-MAX_LEVELS = 15  # 4^15 columns and rows; what then still shares a cell is compared directly
+FIRST_LEVELS = 12  # most levels of the grid over the whole extent
+MORE_LEVELS = 3  # levels of the grid over a cell that is still crowded
 BROADCAST_ROWS = 200_000  # a level with no more cells than this is sent to all tasks
 
 
@@ -75,8 +78,7 @@ def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | Non
     if box.n == 0:
         return probes.limit(0).select("px", "py", F.lit(None).alias("site"), F.lit(0.0).alias("distance"))
 
-    keyed = _placed(targets, box)
-    tree, depth = _tree(keyed, box)
+    tree = _tree(targets, box)
     beyond = F.lit(float("inf") if max_distance is None else float(max_distance))
     nothing = F.lit(None)
     # Cell 0 is everything.  It is computed rather than a literal, so that the first step is an equi join too.
@@ -86,7 +88,7 @@ def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | Non
         F.lit(0.0).alias("gap"), beyond.alias("reach"), nothing.cast(targets.schema["site"].dataType).alias("site"),
     )
     per_point = Window.partitionBy("px", "py")
-    for cells, n_cells in tree:
+    for cells, n_cells in tree.levels:
         cells = F.broadcast(cells) if n_cells <= BROADCAST_ROWS else cells.hint("merge")
         # A cell with a single site is settled: it has no inner cells and is carried along.
         step = found.join(cells, F.expr("cell = c_parent AND n > 1"), "left").selectExpr(
@@ -102,7 +104,7 @@ def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | Non
         step = step.withColumn("bound", F.least(F.min("reach").over(per_point), beyond))
         found = step.where("gap <= bound").drop("bound")
 
-    last = keyed.selectExpr(f"{_cell(depth)} AS t_cell", "x AS t_x", "y AS t_y", "site AS t_site")
+    last = tree.leaves.selectExpr("leaf AS t_cell", "x AS t_x", "y AS t_y", "site AS t_site")
     last = F.broadcast(last) if box.n <= BROADCAST_ROWS else last.hint("merge")
     pairs = found.join(last, F.expr("cell = t_cell AND n > 1"), "left").selectExpr(
         "px", "py", "coalesce(t_site, site) AS site", f"if(t_site IS NULL, reach, {_distance('t_x - px', 't_y - py')}) AS distance"
@@ -115,46 +117,65 @@ def _distance(dx: str, dy: str) -> str:
     return f"sqrt(({dx}) * ({dx}) + ({dy}) * ({dy}))"
 
 
-def _placed(targets: DataFrame, box) -> DataFrame:
-    """Sites with their column and row on the finest level; coarser ones follow by shifting."""
-    side = 4**MAX_LEVELS
-    scale = side / box.span if box.span > 0 else 0.0
-    return targets.withColumns(
-        {name: F.least(F.floor((F.col(c) - low) * scale), F.lit(side - 1)) for name, c, low in (("col", "x", box.x), ("row", "y", box.y))}
+class Tree(NamedTuple):
+    """Stored cells and their number, level by level, and every site's cell on the last level it has."""
+
+    levels: list[tuple[DataFrame, int]]
+    leaves: DataFrame
+
+
+def _placed(sites: DataFrame, levels: int) -> DataFrame:
+    """Sites with their column and row in the grid of their root, a box with a corner (x0, y0) and a side (span)."""
+    side = 4**levels
+    return sites.withColumns(
+        {
+            name: F.when(F.col("span") > 0, F.least(F.floor((F.col(c) - F.col(low)) / F.col("span") * side), F.lit(side - 1))).otherwise(F.lit(0).cast("long"))
+            for name, c, low in (("col", "x", "x0"), ("row", "y", "y0"))
+        }
     )
 
 
-def _cell(level: int) -> str:
-    shift = 2 * (MAX_LEVELS - level)
-    return f"shiftright(col, {shift}) * {4**level}L + shiftright(row, {shift})"
+def _cell(level: int, levels: int) -> str:
+    """A cell's number: of the root itself on level 0, else made from the root and the place in its grid."""
+    if level == 0:
+        return "root"
+    shift = 2 * (levels - level)
+    return f"xxhash64(root, {level}, shiftright(col, {shift}), shiftright(row, {shift}))"
 
 
-def _tree(keyed: DataFrame, box) -> tuple[list[tuple[DataFrame, int]], int]:
-    """Stored cells and their number, level by level, down to where no cell is crowded; and the last level."""
-    levels, depth = [], 0
-    step = 1 + max(1, math.ceil(math.log(max(box.n / LEAF_SITES, 1), 16)))
+def _tree(targets: DataFrame, box) -> Tree:
+    levels = min(FIRST_LEVELS, 1 + max(1, math.ceil(math.log(max(box.n / LEAF_SITES, 1), 16))))
+    roots = targets.withColumns({"root": F.lit(0).cast("long"), "x0": F.lit(box.x), "y0": F.lit(box.y), "span": F.lit(float(box.span))})
+    found, leaves = [], []
     while True:
-        reach = min(MAX_LEVELS, depth + step)
-        stored = cut_lineage(reduce(DataFrame.unionByName, [_cells(keyed, k) for k in range(depth + 1, reach + 1)]), "level")
+        keyed = _placed(roots, levels)
+        stored = cut_lineage(reduce(DataFrame.unionByName, [_cells(keyed, k, levels) for k in range(1, levels + 1)]), "level")
         # One row per level.
-        found = {r.level: r for r in stored.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("c_n").alias("crowd")).collect()}
-        levels += [(stored.where(F.col("level") == k).drop("level"), found[k].n) for k in sorted(found)]
-        depth, step = reach, 3
-        if depth == MAX_LEVELS or depth not in found or found[depth].crowd <= LEAF_SITES:
-            return levels, depth
-        # Only sites that still share a cell are refined further.
-        crowded = levels[-1][0].where("c_n > 1").select(F.col("c_cell").alias("crowded"))
-        keyed = keyed.join(crowded, F.expr(f"{_cell(depth)} = crowded"), "left_semi")
+        seen = {r.level: r for r in stored.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("c_n").alias("crowd")).collect()}
+        found += [(stored.where(F.col("level") == k).drop("level"), seen[k].n) for k in sorted(seen)]
+        placed = keyed.selectExpr("x", "y", "site", f"{_cell(levels, levels)} AS leaf")
+        if levels not in seen or seen[levels].crowd <= LEAF_SITES:
+            return Tree(found, reduce(DataFrame.unionByName, [*leaves, placed]))
+        # Cells that are still crowded are roots of their own.
+        crowded = stored.where((F.col("level") == levels) & (F.col("c_n") > LEAF_SITES)).selectExpr(
+            "c_cell AS crowded", "c_xmin", "c_ymin", "greatest(c_xmax - c_xmin, c_ymax - c_ymin) AS width"
+        )
+        leaves.append(placed.join(crowded, F.col("leaf") == F.col("crowded"), "left_anti"))
+        roots = cut_lineage(
+            placed.join(crowded, F.col("leaf") == F.col("crowded")).selectExpr(
+                "x", "y", "site", "crowded AS root", "c_xmin AS x0", "c_ymin AS y0", "width AS span"
+            )
+        )
+        levels = MORE_LEVELS
 
 
-def _cells(keyed: DataFrame, level: int) -> DataFrame:
+def _cells(keyed: DataFrame, level: int, levels: int) -> DataFrame:
     """Occupied cells of a level: parent, number of sites, tight box, and one site as a witness.
 
     A cell whose parent holds a single site says nothing new and is left out, so that deep levels list only
     crowded places.
     """
-    here = 4**level
-    cells = keyed.selectExpr("x", "y", "site", f"{_cell(level)} AS c_cell").groupBy("c_cell").agg(
+    cells = keyed.selectExpr("x", "y", "site", f"{_cell(level - 1, levels)} AS c_parent", f"{_cell(level, levels)} AS c_cell").groupBy("c_parent", "c_cell").agg(
         *[
             F.expr(e)
             for e in (
@@ -163,11 +184,9 @@ def _cells(keyed: DataFrame, level: int) -> DataFrame:
             )
         ]
     )
-    parent = F.expr(f"shiftright(c_cell div {here}, 2) * {here // 4}L + shiftright(c_cell % {here}, 2)")
     siblings = Window.partitionBy("c_parent")  # at most 16 rows
     return (
-        cells.withColumn("c_parent", parent)
-        .withColumn("together", F.sum("c_n").over(siblings))
+        cells.withColumn("together", F.sum("c_n").over(siblings))
         .where("together > 1" if level > 1 else "true")
         .drop("together")
         .withColumn("level", F.lit(level))

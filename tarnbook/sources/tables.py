@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnbook.functions.numbers import to_number
-from tarnbook.operators.tidy import blank_to_null
-
-
-def read_table(spark: SparkSession, path: str, schema: str | T.StructType, na: str = "NA", blank: str = "null") -> DataFrame:
-    """Read a delimited file with a header into a declared schema.
-
-    ``na`` is the text of a missing value.  Blank text becomes null, or stays (``blank="keep"``).  A number
-    that cannot be read becomes null rather than stopping the job.
+from tarnbook.operators.tidy import blank_to_null, canonical_columns
+
+
+def read_table(
+    spark: SparkSession,
+    path: str,
+    schema: str | T.StructType,
+    na: str = "NA",
+    blank: str = "null",
+    names: Mapping[str, str] | None = None,
+    sep: str = ",",
+) -> DataFrame:
+    """Read the declared columns of a delimited file by the names in its header.
+
+    Names are compared in snake case (``Site.Code`` is ``site_code``); ``names`` (header to declared) wins where it has an
+    entry.  Columns may stand in any order, others are left out; a declared column that is missing, or that two columns
+    would become, is an error.  ``na`` is the text of a missing value.  Blank text becomes null, or stays
+    (``blank="keep"``).  A number that cannot be read becomes null rather than stopping the job.
     """
     declared = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in declared])
-    reader = spark.read.schema(raw).option("header", True).option("nullValue", na)
+    reader = spark.read.option("header", True).option("nullValue", na).option("sep", sep)
     if blank == "keep":
         reader = reader.option("emptyValue", "")
-    df = reader.csv(path)
+    raw = canonical_columns(reader.csv(path), names)
+    count = Counter(raw.columns)
+    for what, bad in (("missing", [f.name for f in declared if not count[f.name]]), ("twice", [f.name for f in declared if count[f.name] > 1])):
+        if bad:
+            raise ValueError(f"{what} in {path}: {bad}; its columns are {raw.columns}")
+    df = raw.select(*declared.names)
     if blank != "keep":
         df = blank_to_null(df)
     return df.select(
