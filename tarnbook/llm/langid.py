@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnbook.llm.text import _byte_values, arrow_rows, chunks, fold_of, prefix_hashes, range_hashes
+from tarnbook.session import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_PER_LANGUAGE = 1000
 EM_ROUNDS = 4
+FEW_LANGUAGES = 10_000
+MOST_KNOWN = 1 << 19
 LONGEST_PIECE = 16
 LONGEST_WORD = 32  # bytes; longer words are scored in parts of this length
 SMOOTHING = 0.01
@@ -158,7 +161,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     pieces = read_vocabulary(vocabulary)
     known = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chosen = known.join(sizes, "lang").where(F.shiftrightunsigned(F.xxhash64("id", F.lit(9)), 11) * F.lit(2.0**-53) < F.lit(float(sample)) / F.col("n"))
+    sizes = cut_lineage(sizes)
+    # Languages are labels, so there are few; if not, the join is a plain one.
+    few = sizes.count() <= FEW_LANGUAGES
+    chosen = known.join(F.broadcast(sizes) if few else sizes, "lang").where(F.shiftrightunsigned(F.xxhash64("id", F.lit(9)), 11) * F.lit(2.0**-53) < F.lit(float(sample)) / F.col("n"))
     words = chosen.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''")
     counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -174,6 +180,31 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     return Model(languages, theta, np.log(share / share.sum()) if len(share) else share, pieces)
 
 
+class Known:
+    """Log probabilities of the words met so far, by hash; it starts anew when it has ``MOST_KNOWN`` words."""
+
+    def __init__(self, languages: int):
+        self.hashes, self.values = np.zeros(0, dtype=np.uint64), np.zeros((0, languages))
+
+    def look_up(self, hashes: np.ndarray, compute) -> np.ndarray:
+        """Values of distinct hashes; ``compute(places)`` gives those of the places that are not known yet."""
+        at = np.searchsorted(self.hashes, hashes)
+        found = np.zeros(len(hashes), dtype=bool)
+        inside = at < len(self.hashes)
+        found[inside] = self.hashes[at[inside]] == hashes[inside]
+        values = np.empty((len(hashes), self.values.shape[1]))
+        values[found] = self.values[at[found]]
+        new = np.flatnonzero(~found)
+        if len(new):
+            values[new] = compute(new)
+            if len(self.hashes) > MOST_KNOWN:
+                self.__init__(self.values.shape[1])
+            merged = np.concatenate([self.hashes, hashes[new]])
+            order = np.argsort(merged)
+            self.hashes, self.values = merged[order], np.concatenate([self.values, values[new]])[order]
+        return values
+
+
 def _has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
@@ -191,35 +222,39 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
     languages, theta, prior, vocabulary = model.languages, model.theta, model.prior, model.vocabulary
     where = kept.index(text)
 
-    def scored(chunk, pieces) -> tuple[np.ndarray, list[bool]]:
+    def scored(chunk, pieces, known) -> tuple[np.ndarray, list[bool]]:
         starts, ends, first = chunk.words
         total = np.tile(prior, (len(chunk.bounds) - 1, 1))
         raw = chunk.data.tobytes()
         bounds = chunk.bounds.tolist()
         letters = [_has_letter(raw[a : min(a + 64, b)]) or _has_letter(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
         if len(starts):
-            _, one, back = np.unique(chunk.word_hashes(), return_index=True, return_inverse=True)
-            parts, owner = [], []
-            for i, (s, e) in enumerate(zip(starts[one].tolist(), ends[one].tolist())):
-                for part in _parts(raw[s:e]):
-                    parts.append(part)
-                    owner.append(i)
-            value = Lattice(parts, pieces).log_probability(theta)
-            by_word = np.add.reduceat(value, np.searchsorted(owner, np.arange(len(one))), axis=0)
+            hashes, one, back = np.unique(chunk.word_hashes(), return_index=True, return_inverse=True)
+
+            def compute(places: np.ndarray) -> np.ndarray:
+                parts, owner = [], []
+                for i, (s, e) in enumerate(zip(starts[one[places]].tolist(), ends[one[places]].tolist())):
+                    for part in _parts(raw[s:e]):
+                        parts.append(part)
+                        owner.append(i)
+                value = Lattice(parts, pieces).log_probability(theta)
+                return np.add.reduceat(value, np.searchsorted(owner, np.arange(len(places))), axis=0)
+
+            by_word = known.look_up(hashes, compute)
             sums = np.vstack([np.zeros(len(languages)), np.cumsum(by_word[back], axis=0)])
             total += sums[first[1:]] - sums[first[:-1]]
         return total, letters
 
     def run(batches):
-        pieces = Pieces(vocabulary)
+        pieces, known = Pieces(vocabulary), Known(len(languages))
         for batch in batches:
             labels, scores = [], []
-            for chunk in chunks(batch.column(where), 1 << 21):
+            for chunk in chunks(batch.column(where)):
                 if not languages:
                     labels += [UNDETERMINED] * (len(chunk.bounds) - 1)
                     scores += [0.0] * (len(chunk.bounds) - 1)
                     continue
-                total, letters = scored(chunk, pieces)
+                total, letters = scored(chunk, pieces, known)
                 best = total.argmax(axis=1)
                 weight = np.exp(total - total.max(axis=1, keepdims=True))
                 share = weight.max(axis=1) / weight.sum(axis=1)

@@ -6,6 +6,7 @@ that memory depends on the chunk and the longest text, not on the batch.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -14,6 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Large arrays are mapped, and given back to the system when they are freed: a worker that Spark uses again for other
+# tasks should not go on holding the most it ever needed.  (Parameter -3 is the size from which memory is mapped.)
+if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
+    _libc.mallopt(-3, 1 << 20)
+
 CHUNK_BYTES = 1 << 20
 BATCH_ROWS = 1000
 U64 = np.uint64
