@@ -8,17 +8,15 @@ from tarnbook.catalog.matching import NAME_CTES, NEAREST_REST_SQL, READY_CTES, X
 from tarnbook.catalog.registry import query
 from tarnbook.catalog.roles import CATCHES_SQL, DATABASES, FOCAL, SITE, SITE_COLUMNS, catches, records, sites
 from tarnbook.catalog.statuses import area_sql, status_ctes
-from tarnbook.functions.dates import to_day
-from tarnbook.operators.joins import left_lookup
 from tarnbook.plans.master import (
-    community_list, nested_export, site_coordinates, site_master, site_morphology, site_species_year,
+    MORPHOLOGY, STATUS, community_list, nested_export, site_coordinates, site_master, site_morphology, site_species_year, write_nested_export,
 )
 from tarnbook.plans.match import match, matched_detections, with_records
-from tarnbook.plans.status import area_status, site_status
-from tarnbook.session import cut_lineage
+from tarnbook.plans.status import area_status, enrich_catches, site_status
+from tarnbook.session import cut_lineage, scratch_path
 from tarnbook.sources.kml import FOOTER, HEADER, INNER_CLOSE, INNER_OPEN, OUTER_CLOSE, OUTER_OPEN, TITLE
 
-MORPHOLOGY = ["volume_m3", "max_depth_m"]
+_MEASURES = ", ".join(f"arg_min({c}, site_id) FILTER ({c} IS NOT NULL) AS {c}" for c in MORPHOLOGY)
 SITE_SQL = ", ".join(SITE)
 SAME_SITE = " AND ".join(f"{{a}}.{c} IS NOT DISTINCT FROM {{b}}.{c}" for c in SITE)
 
@@ -48,16 +46,15 @@ MASTER_CTES = (
 ws AS ({area_sql('primary_watershed', 'ws_status')}), counties AS ({area_sql('county', 'county_status')}),
 places AS (SELECT {SITE_SQL}, avg(x) AS x, avg(y) AS y FROM (SELECT DISTINCT {SITE_SQL}, x, y FROM sites) GROUP BY ALL),
 fallback AS (SELECT * FROM ready QUALIFY row_number() OVER (PARTITION BY {SITE_SQL} ORDER BY record_id) = 1),
-shape AS (SELECT {SITE_SQL}, arg_min(volume_m3, site_id) FILTER (volume_m3 IS NOT NULL) AS volume_m3,
-  arg_min(max_depth_m, site_id) FILTER (max_depth_m IS NOT NULL) AS max_depth_m FROM sites GROUP BY ALL),
-master AS (SELECT s.*, round(coalesce(p.x, f.x), 6) AS x, round(coalesce(p.y, f.y), 6) AS y, ws_status, county_status, volume_m3, max_depth_m
+shape AS (SELECT {SITE_SQL}, {_MEASURES} FROM sites GROUP BY ALL),
+master AS (SELECT s.*, round(coalesce(p.x, f.x), 6) AS x, round(coalesce(p.y, f.y), 6) AS y, ws_status, county_status, {', '.join(MORPHOLOGY)}
   FROM status s LEFT JOIN places p ON {SAME_SITE.format(a='s', b='p')} LEFT JOIN fallback f ON {SAME_SITE.format(a='s', b='f')}
   LEFT JOIN shape h ON {SAME_SITE.format(a='s', b='h')}
   LEFT JOIN ws ON s.primary_watershed IS NOT DISTINCT FROM ws.primary_watershed
   LEFT JOIN counties c ON s.county IS NOT DISTINCT FROM c.county)"""
 )
 
-_MASTER = f"{SITE_SQL}, last_sampled_year, first_a, first_b, data_source, ws_first_a, ws_first_b, status_a, status_b, site_status, x, y, ws_status, county_status, volume_m3, max_depth_m"
+_MASTER = f"{SITE_SQL}, last_sampled_year, first_a, first_b, data_source, ws_first_a, ws_first_b, absence_a_believable, absence_b_believable, status_a, status_b, site_status, x, y, ws_status, county_status, {', '.join(MORPHOLOGY)}"
 
 
 @query("site_master", MASTER_CTES + f" SELECT {_MASTER} FROM master")
@@ -73,27 +70,29 @@ def _(t):
 
 @query(
     "site_morphology",
-    f"{READY_CTES} SELECT {SITE_SQL}, arg_min(volume_m3, site_id) FILTER (volume_m3 IS NOT NULL) AS volume_m3, "
-    f"arg_min(max_depth_m, site_id) FILTER (max_depth_m IS NOT NULL) AS max_depth_m FROM sites GROUP BY ALL",
+    f"{READY_CTES} SELECT {SITE_SQL}, {_MEASURES} FROM sites GROUP BY ALL",
 )
 def _(t):
     return site_morphology(sites(t), MORPHOLOGY, SITE)
 
 
-_COMMUNITY = f"{SITE_SQL}, species_name, year, database, date, data_source, status_a, status_b, site_status, ws_status"
+_COMMUNITY = f"{SITE_SQL}, watershed_code, species_name, year, database, captured_date_raw, date, visit_area_ha, {', '.join((*STATUS, *MORPHOLOGY))}"
 
 
 @query(
     "community_list",
-    f"""{MASTER_CTES} SELECT c.county, c.site_code, c.name, c.primary_watershed, c.species_name, c.year, c.database,
-  strftime(strptime(captured_date_raw, '%-d %b %Y'), '%Y-%m-%d') AS date, data_source, status_a, status_b, site_status, ws_status
-FROM all_catches c LEFT JOIN master m ON {SAME_SITE.format(a='c', b='m')}
-UNION ALL SELECT {SITE_SQL}, species_name, year, database, year || '-01-01', NULL, NULL, NULL, NULL, NULL FROM ready""",
+    f"""{MASTER_CTES} SELECT c.county, c.site_code, c.name, c.primary_watershed, c.watershed_code, c.species_name, c.year, c.database, c.captured_date_raw,
+  strftime(strptime(captured_date_raw, '%-d %b %Y'), '%Y-%m-%d') AS date, v.visit_area_ha, {', '.join('m.' + c for c in (*STATUS, *MORPHOLOGY))}
+FROM all_catches c LEFT JOIN (SELECT {SITE_SQL}, watershed_code, assessment_date_raw, surface_area_ha AS visit_area_ha FROM sites) v
+  ON {SAME_SITE.format(a='c', b='v')} AND c.watershed_code IS NOT DISTINCT FROM v.watershed_code AND captured_date_raw = assessment_date_raw
+LEFT JOIN master m ON {SAME_SITE.format(a='c', b='m')}
+UNION ALL SELECT {SITE_SQL}, watershed_code, species_name, year, database, NULL, year || '-01-01', NULL, {', '.join('NULL' for _ in (*STATUS, *MORPHOLOGY))} FROM ready""",
 )
 def _(t):
     second = cut_lineage(ready(t))
-    dated = catches(t).withColumn("date", to_day(F.col("captured_date_raw")))
-    listed = community_list(dated.drop(*XY), _master(t, second), second.drop(*XY), SITE)
+    visits = sites(t).withColumnRenamed("surface_area_ha", "visit_area_ha")
+    enriched = enrich_catches(catches(t).drop(*XY), visits, SITE_COLUMNS, cols=("visit_area_ha",))
+    listed = community_list(enriched, _master(t, second), second.drop(*XY), SITE)
     return listed.withColumn("date", F.col("date").cast("string")).select(*_COMMUNITY.split(", "))
 
 
@@ -146,36 +145,43 @@ def _around(template: str, value: str) -> str:
 
 _PLACEMARK_SQL = """'        <Placemark>
           <name><![CDATA[' || name || ']]></name>
-          <description><![CDATA[County: ' || county || '<br>Site Code: ' || coalesce(CAST(site_code AS VARCHAR), 'NA') || '<br>Last Sampled: '
+          <description><![CDATA[County: ' || shown_county || '<br>Site Code: ' || coalesce(CAST(site_code AS VARCHAR), 'NA') || '<br>Last Sampled: '
   || coalesce(CAST(last_sampled_year AS VARCHAR), 'NA') || ']]></description>
           <Point>
-            <coordinates>' || x || ',' || y || ',0</coordinates>
+            <coordinates>' || lon || ',' || lat || ',0</coordinates>
           </Point>
         </Placemark>'"""
 
+# The map shows the finished master: sites of both databases, records that fit no site included.
 KML_SQL = (
-    status_ctes("v3")
+    MASTER_CTES
     + f""",
-places AS (SELECT county AS c, site_code AS s, name AS n, primary_watershed AS w, round(avg(x), 2) AS x, round(avg(y), 2) AS y
-  FROM (SELECT DISTINCT {SITE_SQL}, x, y FROM detections) GROUP BY ALL),
-shown AS (SELECT * FROM status JOIN places ON county = c AND site_code = s AND name = n AND primary_watershed = w)
-SELECT 0 AS part, NULL AS group1, 0 AS depth1, NULL AS group2, 0 AS depth2, NULL AS name, NULL::DOUBLE AS lon, NULL::DOUBLE AS lat, NULL AS id, {_text(HEADER + chr(10) + TITLE % 'Site status')} AS fragment
-UNION ALL SELECT DISTINCT 1, county, 0, NULL, 0, NULL, NULL, NULL, NULL, {_around(OUTER_OPEN, 'county')} FROM shown
-UNION ALL SELECT DISTINCT 1, county, 1, site_status, 0, NULL, NULL, NULL, NULL, {_around(INNER_OPEN, 'site_status')} FROM shown
-UNION ALL SELECT 1, county, 1, site_status, 1, name, x, y, county || '|' || name || '|' || site_code || '|' || primary_watershed, {_PLACEMARK_SQL} FROM shown
-UNION ALL SELECT DISTINCT 1, county, 1, site_status, 2, NULL, NULL, NULL, NULL, {_text(INNER_CLOSE)} FROM shown
-UNION ALL SELECT DISTINCT 1, county, 2, NULL, 0, NULL, NULL, NULL, NULL, {_text(OUTER_CLOSE)} FROM shown
-UNION ALL SELECT 2, NULL, 0, NULL, 0, NULL, NULL, NULL, NULL, {_text(FOOTER)}"""
+shown AS (SELECT *, coalesce(county, 'Unknown_County') AS shown_county, round(x, 2) AS lon, round(y, 2) AS lat FROM master WHERE x IS NOT NULL AND y IS NOT NULL),
+document AS (SELECT 0 AS part, NULL AS group1, 0 AS depth1, NULL AS group2, 0 AS depth2, NULL AS name, NULL::DOUBLE AS lon, NULL::DOUBLE AS lat, NULL AS id, {_text(HEADER + chr(10) + TITLE % 'Site status')} AS fragment
+UNION ALL SELECT DISTINCT 1, shown_county, 0, NULL, 0, NULL, NULL, NULL, NULL, {_around(OUTER_OPEN, 'shown_county')} FROM shown
+UNION ALL SELECT DISTINCT 1, shown_county, 1, site_status, 0, NULL, NULL, NULL, NULL, {_around(INNER_OPEN, 'site_status')} FROM shown
+UNION ALL SELECT 1, shown_county, 1, site_status, 1, name, lon, lat, concat_ws('|', county, name, site_code, primary_watershed), {_PLACEMARK_SQL} FROM shown
+UNION ALL SELECT DISTINCT 1, shown_county, 1, site_status, 2, NULL, NULL, NULL, NULL, {_text(INNER_CLOSE)} FROM shown
+UNION ALL SELECT DISTINCT 1, shown_county, 2, NULL, 0, NULL, NULL, NULL, NULL, {_text(OUTER_CLOSE)} FROM shown
+UNION ALL SELECT 2, NULL, 0, NULL, 0, NULL, NULL, NULL, NULL, {_text(FOOTER)})"""
 )
+_MAP_KEYS = ["county", "name", "site_code", "primary_watershed"]
+
+
+def _shown(t):
+    return _master(t, cut_lineage(ready(t))).withColumns({c: F.round(c, 2) for c in XY})
+
+
+@query("nested_export", f"{KML_SQL} SELECT * FROM document")
+def _(t):
+    return nested_export(_shown(t), XY, _MAP_KEYS)
 
 
-@query("nested_export", KML_SQL)
+@query("map_document", f"{KML_SQL} SELECT line, count(*) AS n FROM (SELECT unnest(string_split(fragment, chr(10))) AS line FROM document) GROUP BY 1")
 def _(t):
-    seen = catches(t)
-    status = site_status(seen, SITE, "primary_watershed", "species_name", "year", FOCAL)
-    placed = site_coordinates(sites(t).where("false"), seen, None, SITE, XY)
-    located = left_lookup(status, placed, SITE).withColumns({c: F.round(c, 2) for c in XY})
-    return nested_export(located, XY, ["county", "name", "site_code", "primary_watershed"])
+    path = scratch_path(t.spark, "map")
+    write_nested_export(_shown(t), path, XY, _MAP_KEYS)
+    return t.spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

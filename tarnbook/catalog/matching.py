@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnbook.catalog.registry import Tables, query
-from tarnbook.catalog.roles import RECORDS_SQL, SITE_COLUMNS, SITES_SQL, records, sites
+from tarnbook.catalog.roles import FOCAL, RECORDS_SQL, SITE_COLUMNS, SITES_SQL, records, sites
 from tarnbook.operators.names import name_match
 from tarnbook.operators.nearest import nearest_join
 from tarnbook.operators.review import review_queue
-from tarnbook.plans.match import dedupe_records, left_unmatched, match, resolve_identity, settle_matches
+from tarnbook.plans.match import dedupe_records, left_unmatched, match, prepare_records, resolve_identity, settle_matches
 from tarnbook.session import cut_lineage
 
 XY = ("x", "y")
@@ -39,7 +39,9 @@ def decisions(t: Tables) -> DataFrame:
         (key * 2).alias("record_id"), F.lit("manual").alias("match_decision"),
         F.when(key % 5 < 3, "match").otherwise("not_a_match").alias("match_status_confirmed"),
     )
-    return made
+    # Every fourth case was looked at twice, with two minds; the later decision counts.
+    again = made.where(F.col("record_id") % 4 == 2).withColumn("match_status_confirmed", F.lit("not_a_match"))
+    return made.unionByName(again)
 
 
 def decided(t: Tables) -> DataFrame:
@@ -61,7 +63,7 @@ banded AS (SELECT *, CASE WHEN distance_m <= 200 AND county_match = 'same' THEN
 
 DECIDED_CTES = BAND_CTES + """,
 wrong AS (SELECT DISTINCT name AS wrong_name, site_name AS wrong_site FROM banded WHERE match_status = 'confident' AND record_id % 4 = 1),
-person AS (SELECT s_suppkey * 2 AS id, 'manual' AS d, CASE WHEN s_suppkey % 5 < 3 THEN 'match' ELSE 'not_a_match' END AS c FROM supplier WHERE s_suppkey % 5 <> 0),
+person AS (SELECT s_suppkey * 2 AS id, 'manual' AS d, CASE WHEN s_suppkey % 5 < 3 AND s_suppkey * 2 % 4 <> 2 THEN 'match' ELSE 'not_a_match' END AS c FROM supplier WHERE s_suppkey % 5 <> 0),
 overridden AS (SELECT b.*, wrong_name IS NOT NULL AS hit FROM banded b LEFT JOIN wrong ON name = wrong_name AND site_name = wrong_site AND match_status = 'confident'),
 decided AS (SELECT record_id, species_name, name, county, year, x, y, distance_m, county_match,
   CASE WHEN NOT hit THEN site_id END AS site_id, CASE WHEN NOT hit THEN site_county END AS site_county, CASE WHEN NOT hit THEN site_code END AS site_code,
@@ -170,9 +172,19 @@ def _(t):
     return _names(t, "best")
 
 
-@query("name_match_pattern", NAME_CTES + " SELECT record_id, site_id FROM hits")
+# Half of the site names have a free character, half a group.
+PATTERN_CTES = f"""WITH sites AS (SELECT *, CASE WHEN site_code % 2 = 0 THEN replace(name, '#', '.') ELSE replace(name, 'Customer', '(Customer)') END AS pattern FROM ({SITES_SQL})),
+records AS ({RECORDS_SQL}),
+hits AS (SELECT DISTINCT r.record_id, s.site_id FROM records r JOIN sites s ON r.county = s.county
+  AND (contains(upper(s.pattern), upper(r.name)) OR regexp_matches(r.name, s.pattern)))"""
+
+
+@query("name_match_pattern", PATTERN_CTES + " SELECT record_id, site_id FROM hits")
 def _(t):
-    return _names(t, "all", regex=True)
+    r = records(t).select("record_id", "county", "name")
+    pattern = F.when(F.col("site_code") % 2 == 0, F.replace("name", F.lit("#"), F.lit("."))).otherwise(F.replace("name", F.lit("Customer"), F.lit("(Customer)")))
+    s = sites(t).select("site_id", F.col("county").alias("site_county"), pattern.alias("site_name"))
+    return name_match(r, s, "record_id", "site_id", policy="all", regex=True)
 
 
 @query("unmatched_by_name", NAME_CTES + " SELECT record_id, name FROM records WHERE record_id NOT IN (SELECT record_id FROM hits)")
@@ -193,3 +205,53 @@ def _(t):
 def _(t):
     found = match(records(t), targets(t), "name_best", XY, SITE_COLUMNS)
     return found.select("record_id", "site_id", "matched_by", F.round("distance_m", 6).alias("distance_m"))
+
+
+_RAW_UTM = """SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'NB' ELSE 'NS' END AS province, s_name || ' Lake' AS location, lower(r_name) AS country,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'unknown' ELSE CAST(1990 + s_suppkey % 20 AS VARCHAR) END AS year, CAST(300000.5 + s_suppkey AS DOUBLE) AS easting, CAST(4800000.5 + s_suppkey AS DOUBLE) AS northing,
+  '20' AS utm_zone FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+_RAW_LONLAT = """SELECT c_name || ' River' AS system, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE r_name END AS county, CAST(2000 + c_custkey % 9 AS VARCHAR) AS year, '20' AS zone,
+  43.0 + c_custkey % 100 / 32 AS lat, -66.0 + c_custkey % 50 / 16 AS lon FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+def _record_sql(raw: str, cols: dict[str, str], species: str, name: str, county: str, place: str) -> str:
+    """Ids from the raw columns as JSON, and a running number among exact copies."""
+    parts = " || ',' || ".join(f"'\"{c}\":' || " + (f"'\"' || {c} || '\"'" if kind == "text" else c) for c, kind in cols.items())
+    key = f"trim(regexp_replace(regexp_replace(regexp_replace(upper({name}), '\\b(?:LAKE|RIVER)\\b', '', 'g'), '\\p{{P}}', '', 'g'), '\\s+', ' ', 'g'))"
+    return f"""SELECT sha256('{{' || {parts} || '}}') || '-' || row_number() OVER (PARTITION BY {', '.join(cols)}) AS record_id, '{species}' AS species_name,
+  {key} AS name, nullif(array_to_string(list_transform(string_split(lower({county}), ' '), lambda w: upper(w[1]) || w[2:]), ' '), '') AS county, try_cast(year AS INT) AS year, {place} FROM ({raw})"""
+
+
+@query(
+    "prepared_records",
+    _record_sql(
+        f"SELECT * FROM ({_RAW_UTM}) WHERE province = 'NS'",
+        {"province": "text", "location": "text", "country": "text", "year": "text", "easting": "number", "northing": "number", "utm_zone": "text"},
+        FOCAL.b, "location", "country", "easting, northing, NULL::DOUBLE AS lon, NULL::DOUBLE AS lat",
+    )
+    + " UNION ALL "
+    + _record_sql(
+        _RAW_LONLAT, {"system": "text", "county": "text", "year": "text", "zone": "text", "lat": "number", "lon": "number"},
+        FOCAL.a, "system", "county", "NULL, NULL, lon, lat",
+    ),
+)
+def _(t):
+    key, region = F.col("s_suppkey"), F.col("r_name")
+    regions = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    utm = t.supplier.join(regions, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.when(key % 5 == 0, "NB").otherwise("NS").alias("province"), F.concat_ws(" ", "s_name", F.lit("Lake")).alias("location"), F.lower(region).alias("country"),
+        F.when(key % 4 == 0, "unknown").otherwise((1990 + key % 20).cast("string")).alias("year"),
+        (300000.5 + key).alias("easting"), (4800000.5 + key).alias("northing"), F.lit("20").alias("utm_zone"),
+    )
+    code = F.col("c_custkey")
+    lonlat = t.customer.join(regions, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.concat_ws(" ", "c_name", F.lit("River")).alias("system"), F.when(code % 3 == 0, "").otherwise(region).alias("county"),
+        (2000 + code % 9).cast("string").alias("year"), F.lit("20").alias("zone"), (43.0 + code % 100 / 32).alias("lat"), (-66.0 + code % 50 / 16).alias("lon"),
+    )
+    found = prepare_records(utm, lonlat, species=(FOCAL.b, FOCAL.a))
+    # The coordinates each part came with; the projected ones are compared in the queries on projection.
+    own = F.col("species_name") == FOCAL.b
+    return found.select(
+        "record_id", "species_name", "name", "county", "year", *[F.when(own, F.col(c)).alias(c) for c in ("easting", "northing")],
+        *[F.when(~own, F.col(c)).alias(c) for c in ("lon", "lat")],
+    )

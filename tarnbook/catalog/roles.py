@@ -42,6 +42,9 @@ def sites(t: Tables) -> DataFrame:
             F.col("o_totalprice").alias("surface_area_ha"),
             F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("volume_m3"),
             F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey") % 97).alias("max_depth_m"),
+            F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey") % 31).alias("mean_depth_m"),
+            F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice") / 2).alias("area_under_6m_ha"),
+            F.when(F.col("o_orderkey") % 6 != 0, F.col("o_custkey") % 13).alias("shoreline_dev"),
             (F.col("c_acctbal") + (digit * 3 + F.col("o_orderkey") % 2)).alias("x"),
             (_place_y("c_custkey") + digit * 5).alias("y"),
         )
@@ -55,6 +58,9 @@ SELECT o_orderkey AS site_id, r_name AS county, c_custkey AS site_code, c_name |
        o_totalprice AS surface_area_ha,
        CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS volume_m3,
        CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 97 END AS max_depth_m,
+       CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey % 31 END AS mean_depth_m,
+       CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice / 2 END AS area_under_6m_ha,
+       CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey % 13 END AS shoreline_dev,
        c_acctbal + (CAST(substr(o_orderpriority, 1, 1) AS INT) * 3 + o_orderkey % 2) AS x,
        CAST(c_custkey * 7919 % 10000 AS DOUBLE) + CAST(substr(o_orderpriority, 1, 1) AS INT) * 5 AS y
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey

@@ -97,8 +97,8 @@ def overlay(df: DataFrame, other: DataFrame, keys: Keys, cols: Sequence[str], wh
 
 
 def apply_crosswalk(df: DataFrame, col: str, crosswalk: DataFrame, from_col="from_name", to_col="to_name") -> DataFrame:
-    """Rename values of a column by a table of names; names without an entry stay."""
-    entries = crosswalk.select(F.col(from_col).alias("__from"), F.col(to_col).alias("__to"))
+    """Rename values of a column by a table of names; names without an entry stay.  Of two entries for a name the smaller counts."""
+    entries = crosswalk.groupBy(F.col(from_col).alias("__from")).agg(F.min(to_col).alias("__to"))
     return (
         left_lookup(df, entries, {col: "__from"}).withColumn(col, F.coalesce("__to", col)).drop("__to")
     )

@@ -145,7 +145,8 @@ def _cell(level: int, levels: int) -> str:
 
 def _tree(targets: DataFrame, box) -> Tree:
     levels = min(FIRST_LEVELS, 1 + max(1, math.ceil(math.log(max(box.n / LEAF_SITES, 1), 16))))
-    roots = targets.withColumns({"root": F.lit(0).cast("long"), "x0": F.lit(box.x), "y0": F.lit(box.y), "span": F.lit(float(box.span))})
+    # Computed rather than a literal, like the cell the points start in.
+    roots = targets.withColumns({"root": F.pmod(F.xxhash64("x"), F.lit(1)), "x0": F.lit(box.x), "y0": F.lit(box.y), "span": F.lit(float(box.span))})
     found, leaves = [], []
     while True:
         keyed = _placed(roots, levels)

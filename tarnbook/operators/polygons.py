@@ -95,14 +95,6 @@ def _edges_meet(a: Column, b: Column) -> Column:
     )
 
 
-def shapes_meet(a: Column, b: Column) -> Column:
-    """Whether two shapes, given by their edges, share a point."""
-    crossing = F.exists(a, lambda e: F.exists(b, lambda f: _edges_meet(e, f)))
-    a_in_b = covers(b, a[0]["x1"], a[0]["y1"])
-    b_in_a = covers(a, b[0]["x1"], b[0]["y1"])
-    return crossing | a_in_b | b_in_a
-
-
 def _cell_size(level: Column) -> Column:
     return F.pow(F.lit(4.0), level)
 
@@ -195,27 +187,40 @@ def spatial_join(
 
 
 def _touching(layer: DataFrame, boundary: DataFrame) -> DataFrame:
-    # Both sides are entered on the boundary's levels; a shape much larger than the boundary's cells is
-    # compared on the coarser of the two levels, so each pair meets on exactly one level.
-    a = layer.select("layer_id", *BOX, ring_edges(F.col("rings")).alias("__a"), _level(layer).alias("__la"))
-    b = boundary.select(
-        *[F.col(c).alias(f"b_{c}") for c in BOX], ring_edges(F.col("rings")).alias("__b"), _level(boundary).alias("__lb")
-    )
-    levels = sorted(set(_levels(layer)) | set(_levels(boundary)))
-    every = F.array(*[F.lit(v) for v in levels])
-
-    def entered(df: DataFrame, own: str, box: list[str]) -> DataFrame:
-        coarser = F.explode(F.filter(every, lambda v: v >= F.col(own)))
-        on_level = df.withColumn("__lv", coarser)
-        return on_level.withColumn("__cell", F.explode(_cells(*[F.col(c) for c in box], F.col("__lv"))))
-
-    a = entered(a, "__la", list(BOX)).withColumnsRenamed({"__cell": "__cell_a", "__lv": "__va"})
-    b = entered(b, "__lb", [f"b_{c}" for c in BOX]).withColumnsRenamed({"__cell": "__cell_b", "__lv": "__vb"})
-    boxes_meet = (
-        (F.col("xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("xmax"))
-        & (F.col("ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("ymax"))
+    """Shapes that share a point with a shape of the boundary.
+
+    Either two edges meet, or one shape lies inside the other: then each of its rings does, or (several parts, holes) one of
+    them, so one vertex of every ring is looked up in the other layer.  Edges are entered in grid cells of their own
+    size and meet by an equi join; no row holds more than one edge of each side.
+    """
+    a, b = _edges(layer.select("layer_id", "rings"), "a"), _edges(boundary.select("layer_id", "rings"), "b")
+    levels = sorted({r[0] for side in (a, b) for r in side.select("lv").distinct().collect()})
+    pairs = _entered(a, "a", levels).join(_entered(b, "b", levels), ["cell"]).where(
+        (F.col("own") == F.greatest("a_lv", "b_lv")) & (F.col("b_own") == F.col("own"))
     )
-    own_level = F.col("__va") == F.greatest("__la", "__lb")
-    pairs = a.join(b, (F.col("__cell_a") == F.col("__cell_b")) & own_level & boxes_meet)
-    ids = pairs.where(shapes_meet(F.col("__a"), F.col("__b"))).select("layer_id")
-    return lookup(layer, ids, "layer_id", "left_semi")
+    crossing = pairs.where(_edges_meet(F.col("a_e"), F.col("b_e"))).select(F.col("a_id").alias("layer_id"))
+    inside = _point_hits(_corners(layer, "__id"), boundary.select("layer_id", "rings", *BOX), "x", "y").select(F.col("__id").alias("layer_id"))
+    around = _point_hits(_corners(boundary, "__id"), layer.select("layer_id", "rings", *BOX), "x", "y").select("layer_id")
+    return lookup(layer, crossing.unionByName(inside).unionByName(around).distinct(), "layer_id", "left_semi")
+
+
+def _corners(layer: DataFrame, name: str) -> DataFrame:
+    """One vertex of every ring."""
+    first = layer.select(F.col("layer_id").alias(name), F.explode("rings").alias("ring")).where(F.size("ring") > 0)
+    return first.select(name, F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"))
+
+
+def _edges(layer: DataFrame, side: str) -> DataFrame:
+    """A row for every edge, with the grid level that fits its size."""
+    edges = layer.select(F.col("layer_id").alias(f"{side}_id"), F.explode(ring_edges(F.col("rings"))).alias("e"))
+    low, high = (f(F.col(f"e.{c}1"), F.col(f"e.{c}2")).alias(n) for f, c, n in ((F.least, "x", "xmin"), (F.greatest, "x", "xmax")))
+    boxed = edges.select("*", low, F.least("e.y1", "e.y2").alias("ymin"), high, F.greatest("e.y1", "e.y2").alias("ymax"))
+    return boxed.withColumn("lv", _level(boxed))
+
+
+def _entered(edges: DataFrame, side: str, levels: list[int]) -> DataFrame:
+    """Edges in the cells of their box, on their own level and all coarser ones in use."""
+    every = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
+    on_level = edges.withColumn("own", F.explode(F.filter(every, lambda v: v >= F.col("lv"))))
+    cells = on_level.withColumn("cell", F.explode(_cells(*[F.col(c) for c in BOX], F.col("own"))))
+    return cells.select("cell", F.col("own").alias("own" if side == "a" else "b_own"), f"{side}_id", F.col("lv").alias(f"{side}_lv"), F.col("e").alias(f"{side}_e"))

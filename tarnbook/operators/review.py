@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbook.operators.joins import Keys, left_lookup
+from tarnbook.operators.joins import Keys, key_pairs, left_lookup, lookup
 
 AUTOMATIC_BAND = "confident"
 
@@ -28,25 +28,45 @@ def review_queue(df: DataFrame, band: str = "match_status") -> DataFrame:
     return df.where(F.col(band) != AUTOMATIC_BAND)
 
 
-def apply_decisions(df: DataFrame, decisions: DataFrame, record_id: str = "record_id") -> DataFrame:
-    """Enter decisions by record id; decisions for unknown records are ignored, undecided cases stay."""
-    cols = ["match_decision", "match_status_confirmed"]
-    made = decisions.select(F.col(record_id), *[F.col(c).alias(f"__{c}") for c in cols])
+DECISION = ("match_decision", "match_status_confirmed")
+
+
+def apply_decisions(df: DataFrame, decisions: DataFrame, record_id: str = "record_id", order_by: Sequence[str] = DECISION) -> DataFrame:
+    """Enter decisions by record id; decisions for unknown records are ignored, undecided cases stay.
+
+    Of several decisions for one record the last one in the order of ``order_by`` counts (a time of decision, say).
+    """
+    cols = list(DECISION)
+    made = decisions.groupBy(record_id).agg(F.max_by(F.struct(*cols), F.struct(*order_by)).alias("__made"))
+    made = made.select(record_id, *[F.col(f"__made.{c}").alias(f"__{c}") for c in cols])
     joined = left_lookup(df, made, record_id)
     return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in cols}).drop(*[f"__{c}" for c in cols])
 
 
+def orphan_decisions(df: DataFrame, decisions: DataFrame, record_id: str = "record_id") -> DataFrame:
+    """Decisions whose record is not there (any more); their number belongs in the report of a job."""
+    return lookup(decisions, df, record_id, "left_anti")
+
+
 def apply_overrides(
-    df: DataFrame, overrides: DataFrame, keys: Keys, null_cols: Sequence[str], set_cols: Mapping[str, str]
+    df: DataFrame,
+    overrides: DataFrame,
+    keys: Keys,
+    null_cols: Sequence[str],
+    set_cols: Mapping[str, str],
+    order_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Where a row is listed in ``overrides``: null some columns and set others.
 
-    ``set_cols`` maps a column to the one of ``overrides`` that holds its new value.
+    ``set_cols`` maps a column to the one of ``overrides`` that holds its new value.  Of several overrides with one key the
+    first in the order of ``order_by`` (the new values, if not given) counts.
     """
-    pairs = {keys: keys} if isinstance(keys, str) else keys if isinstance(keys, Mapping) else {k: k for k in keys}
-    listed = overrides.select(
-        *pairs.values(), *[F.col(v).alias(f"__set_{k}") for k, v in set_cols.items()], F.lit(True).alias("__listed")
-    ).dropDuplicates(list(pairs.values()))
+    pairs = key_pairs(keys)
+    values = list(dict.fromkeys(set_cols.values()))
+    first = F.min_by(F.struct(*values), F.struct(*(order_by or values))).alias("__first")
+    listed = overrides.groupBy(*pairs.values()).agg(first).select(
+        *pairs.values(), *[F.col(f"__first.{v}").alias(f"__set_{k}") for k, v in set_cols.items()], F.lit(True).alias("__listed")
+    )
     joined = left_lookup(df, listed, pairs)
     hit = F.coalesce("__listed", F.lit(False))
     changes = {c: F.when(~hit, F.col(c)) for c in null_cols}

@@ -15,6 +15,7 @@ from tarnbook.plans.status import WATCHED, Focal, area_status, site_status
 from tarnbook.sources.kml import export_nested_kml, nested_fragments
 
 SITE = ("county", "name", "site_code", "primary_watershed")
+STATUS = ("data_source", "last_sampled_year", "status_a", "status_b", "site_status", "ws_first_a", "ws_first_b", "ws_status")
 MORPHOLOGY = ("volume_m3", "surface_area_ha", "max_depth_m", "mean_depth_m", "area_under_6m_ha", "shoreline_dev")
 
 
@@ -80,12 +81,13 @@ def community_list(
     master: DataFrame,
     records: DataFrame,
     keys: Sequence[str] = SITE,
-    status_cols: Sequence[str] = ("data_source", "last_sampled_year", "status_a", "status_b", "site_status", "ws_first_a", "ws_first_b", "ws_status"),
+    status_cols: Sequence[str] = (*STATUS, *MORPHOLOGY),
     records_too: bool = False,
 ) -> DataFrame:
-    """Every catch with its site's status, and the records dated 1 January of their year.
+    """Every catch with its site's status and morphology, and the records dated 1 January of their year.
 
-    Records come without a status, unless ``records_too``.
+    ``catches`` are those enriched by visit (:func:`~tarnbook.plans.status.enrich_catches`): a catch on two visits is listed
+    twice.  Records come without a status, unless ``records_too``.
     """
     lookup_table = master.select(*keys, *status_cols)
     main = left_lookup(catches, lookup_table, keys)

@@ -6,9 +6,9 @@ Records have ``record_id, species_name, name, county, year`` and plane coordinat
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnbook.functions.geo import county_relation, lonlat_to_utm, match_band, utm_to_lonlat
@@ -20,6 +20,7 @@ from tarnbook.operators.nearest import nearest_join
 from tarnbook.operators.review import apply_decisions, apply_overrides, automatic_decisions
 from tarnbook.operators.tidy import blank_to_null, stack
 from tarnbook.plans.status import WATCHED
+from tarnbook.session import cut_lineage
 from tarnbook.sources.schemas import OVERRIDES
 
 # A nearest site farther away than this is no match (metres).
@@ -44,22 +45,33 @@ def overrides_table(spark) -> DataFrame:
 
 
 def prepare_records(
-    utm: DataFrame, lonlat: DataFrame, province: str = "NS", species=(WATCHED.b, WATCHED.a), zone: int = 20
+    utm: DataFrame,
+    lonlat: DataFrame,
+    province: str = "NS",
+    species=(WATCHED.b, WATCHED.a),
+    zone: int = 20,
+    clean: Callable[[Column], Column] = site_name_key,
 ) -> DataFrame:
-    """Bring the two parts of the second database to one shape, with ids made from their content."""
+    """Bring the two parts of the second database to one shape.
+
+    Ids are made from the columns as they were read, before anything is computed, so that they are the same on every
+    machine and a review finds its records again.  ``clean`` brings names to the form they are compared in: the key of a
+    site's name, or ``F.upper`` as earlier policies did.
+    """
     lon, lat = utm_to_lonlat(F.col("easting"), F.col("northing"), zone)
-    first = utm.where(F.col("province") == province).select(
-        F.lit(species[0]).alias("species_name"), site_name_key(F.col("location")).alias("name"),
+    utm, lonlat = with_record_id(utm.where(F.col("province") == province)), with_record_id(lonlat)
+    first = utm.select(
+        "record_id", F.lit(species[0]).alias("species_name"), clean(F.col("location")).alias("name"),
         title_case(F.col("country")).alias("county"), to_number(F.col("year")).cast("int").alias("year"),
         lon.alias("lon"), lat.alias("lat"), "easting", "northing",
     )
     easting, northing = lonlat_to_utm(F.col("lon"), F.col("lat"), zone)
     second = lonlat.select(
-        F.lit(species[1]).alias("species_name"), site_name_key(F.col("system")).alias("name"),
+        "record_id", F.lit(species[1]).alias("species_name"), clean(F.col("system")).alias("name"),
         title_case(F.col("county")).alias("county"), to_number(F.col("year")).cast("int").alias("year"),
         "lon", "lat", easting.alias("easting"), northing.alias("northing"),
     )
-    return with_record_id(blank_to_null(stack(first, second), ["county"]))
+    return blank_to_null(stack(first, second), ["county"])
 
 
 def match(
@@ -82,12 +94,12 @@ def match(
     targets = sites.select("site_id", *[F.col(c).alias(site_column(c)) for c in site_columns], *xy)
     if policy == "distance_county":
         return settle_matches(match_by_distance(records, targets, xy), overrides, decisions, site_columns)
-    named = name_match(
+    named = cut_lineage(name_match(
         records, targets, "record_id", "site_id", ("county", "site_county"), ("name", "site_name"),
         {"name_all": "all", "name_best": "best"}[policy], regex,
-    )
+    ))
     by_name = records.join(named, "record_id").join(targets.drop(*xy), "site_id")
-    rest = left_unmatched(records, named)
+    rest = cut_lineage(left_unmatched(records, named))
     by_place = nearest_join(rest, targets, "site_id", xy, max_distance_m=tolerance_m, how="inner")
     return stack(by_name.withColumn("matched_by", F.lit("name")), by_place.withColumn("matched_by", F.lit("distance")))
 

@@ -244,12 +244,16 @@ def enrich_catches(
     visit: str = "assessment_date_raw",
     cols: Sequence[str] = ("surface_area_ha",),
     fmt: str = "d MMM yyyy",
+    undated_too: bool = False,
 ) -> DataFrame:
     """Add what the site table recorded on the same visit, a date and a year.
 
-    Two visits on one date give two rows, as they should.
+    Two visits on one date give two rows, as they should.  A catch without a date is on no visit, unless ``undated_too``
+    lets it meet every visit of its site that has no date either.
     """
     visits = sites.select(*keys, visit, *cols)
+    if not undated_too:
+        visits = visits.where(F.col(visit).isNotNull())
     pairs: Mapping[str, str] = {**{k: k for k in keys}, captured: visit}
     joined = left_lookup(catches, visits, pairs)
     dated = joined.withColumn("date", to_day(F.col(captured), fmt)).withColumn("year", F.year("date"))

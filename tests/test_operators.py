@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnbook.functions import dates, geo, numbers, text
-from tarnbook.operators import groups, joins, tidy
+from tarnbook.operators import groups, joins, nearest, review, tidy
 from tarnbook.operators.names import name_match, partial_names
 from tarnbook.operators.nearest import nearest_join
 from tarnbook.operators.points import as_points, crs_of, reproject
@@ -529,3 +529,58 @@ def test_shapes_touching_a_boundary(spark):
     assert kept((-1e5, -1e5), (1e5, -1e5), (1e5, 1e5), (-1e5, 1e5)) == {"square", "next", "u", "ringed", "huge"}
     assert kept((-4500, 0), (-4400, 0), (-4400, 1), (-4500, 1)) == {"huge"}
     assert kept((-10, 4), (70, 4), (70, 6), (-10, 6)) == {"square", "next", "u"}  # a bar, no corner inside
+
+
+def test_nearest_with_a_far_coordinate(spark):
+    """A junk coordinate costs another grid, and no crowd is left."""
+    draw = random.Random(5)
+    places = [(i, draw.uniform(0, 1000), draw.uniform(0, 1000)) for i in range(3000)] + [(3000, 1e12, 1e12)]
+    sites = spark.createDataFrame(places, "site int, x double, y double")
+    box = sites.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x")).alias("span")).first()
+    tree = nearest._tree(sites, box)
+    assert tree.leaves.count() == 3001
+    assert tree.leaves.groupBy("leaf").count().agg(F.max("count")).first()[0] <= nearest.LEAF_SITES
+    probes = [(draw.uniform(-10, 1010), draw.uniform(-10, 1010)) for _ in range(50)] + [(1e12, 0.0)]
+    got = nearest.nearest_sites(spark.createDataFrame(probes, "px double, py double"), sites).collect()
+    for r in got:
+        assert r.site == min(places, key=lambda p: ((p[1] - r.px) ** 2 + (p[2] - r.py) ** 2, p[0]))[0]
+    assert len(got) == len(probes)
+
+
+def test_read_table_by_header(spark, tmp_path):
+    path = tmp_path / "sites.csv"
+    path.write_text("X,Name,County,Area..ha.\n1,GRAND,Queens,5.5\n2,NA,,x\n")
+    rows = read_table(spark, str(path), "county string, name string, area_ha double").collect()
+    assert [tuple(r) for r in rows] == [("Queens", "GRAND", 5.5), (None, None, None)]
+    assert [r.size for r in read_table(spark, str(path), "size double", names={"Area..ha.": "size"}).collect()] == [5.5, None]
+    with pytest.raises(ValueError, match="missing"):
+        read_table(spark, str(path), "county string, depth double")
+    path.write_text("Name,NAME.\na,b\n")
+    with pytest.raises(ValueError, match="twice"):
+        read_table(spark, str(path), "name string")
+
+
+def test_doubled_decisions_and_overrides(spark):
+    cases = spark.createDataFrame([("a", None, None), ("b", None, None)], "record_id string, match_decision string, match_status_confirmed string")
+    made = spark.createDataFrame([("a", "manual", "match", 1), ("a", "manual", "not_a_match", 2), ("z", "manual", "match", 3)], "record_id string, match_decision string, match_status_confirmed string, decided_at int")
+    rows = review.apply_decisions(cases, made, order_by=["decided_at"]).collect()
+    assert sorted((r.record_id, r.match_status_confirmed) for r in rows) == [("a", "not_a_match"), ("b", None)]
+    assert [r.record_id for r in review.orphan_decisions(cases, made).collect()] == ["z"]
+    listed = spark.createDataFrame([("a", "second"), ("a", "first")], "record_id string, new string")
+    changed = review.apply_overrides(cases, listed, "record_id", [], {"match_decision": "new"}).collect()
+    assert sorted((r.record_id, r.match_decision) for r in changed) == [("a", "first"), ("b", None)]
+
+
+def test_parts_of_a_shape_touch_a_boundary(spark):
+    """Every part counts, whichever is written first; so does a boundary inside a shape, and one inside its hole."""
+    def square(x, y, size):
+        return [(x, y), (x + size, y), (x + size, y + size), (x, y + size)]
+
+    far, near = square(900.0, 900.0, 5.0), square(10.0, 10.0, 2.0)
+    around, holed = [square(-50.0, -50.0, 500.0)], [square(-50.0, -50.0, 500.0), square(-20.0, -20.0, 300.0)]
+    shapes = [(1, [far, near]), (2, [near, far]), (3, [far]), (4, around), (5, holed)]
+    layer = as_layer(spark.createDataFrame(shapes, "layer_id int, rings array<array<struct<x:double,y:double>>>"))
+    boundary = as_layer(spark.createDataFrame([(9, [square(0.0, 0.0, 100.0)])], layer.select("layer_id", "rings").schema))
+    met = spatial_join(layer, boundary, "semi")
+    assert sorted(values(met, "layer_id")) == [1, 2, 4]
+    assert "NestedLoop" not in plan(met) and "Cartesian" not in plan(met)
