@@ -120,11 +120,11 @@ def _cells(low_x, low_y, high_x, high_y, level: Column) -> Column:
 
 
 def _index(layer: DataFrame) -> DataFrame:
-    """One row per polygon and covered cell."""
-    entries = layer.where("xmin IS NOT NULL").withColumn("__level", _level(layer))
+    """One small row per polygon and covered cell: the cell, the polygon's id and its box."""
+    entries = layer.where("xmin IS NOT NULL").select(F.col("layer_id").alias("__layer"), *BOX, _level(layer).alias("__level"))
     cells = _cells(*[F.col(c) for c in BOX], F.col("__level"))
     split = [F.col(f"__cell.{c}").alias(f"__{c}") for c in CELL]
-    return entries.withColumn("__edges", ring_edges(F.col("rings"))).withColumn("__cell", F.explode(cells)).select("*", *split).drop("__cell", "__level")
+    return entries.withColumn("__cell", F.explode(cells)).select("__layer", *[F.col(c).alias(f"__{c}") for c in BOX], *split)
 
 
 def _levels(layer: DataFrame) -> list[int]:
@@ -148,11 +148,14 @@ def _point_hits(points: DataFrame, layer: DataFrame, x: str, y: str) -> DataFram
     placed = points.where(px.isNotNull() & py.isNotNull()).withColumn(
         "__point_cell", F.explode(F.array(*[cell(v) for v in levels]))
     )
-    in_box = px.between(F.col("xmin"), F.col("xmax")) & py.between(F.col("ymin"), F.col("ymax"))
+    in_box = px.between(F.col("__xmin"), F.col("__xmax")) & py.between(F.col("__ymin"), F.col("__ymax"))
     index = _index(layer)
     same_cell = reduce(lambda a, b: a & b, [F.col(f"__point_cell.{c}") == F.col(f"__{c}") for c in CELL])
-    joined = placed.join(index, same_cell & in_box)
-    return joined.where(covers(F.col("__edges"), px, py)).drop("__point_cell", "__edges", *[f"__{c}" for c in CELL])
+    near = placed.join(index, same_cell & in_box).select(*points.columns, "__layer")
+    # A polygon's shape is fetched once its box holds the point; it isn't copied into the cells.
+    shapes = layer.withColumn("__edges", ring_edges(F.col("rings")))
+    joined = near.join(shapes, F.col("__layer") == F.col("layer_id"))
+    return joined.where(covers(F.col("__edges"), px, py)).drop("__layer", "__edges")
 
 
 def spatial_join(

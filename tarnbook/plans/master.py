@@ -12,6 +12,7 @@ from tarnbook.operators.groups import first_non_null, top_row
 from tarnbook.operators.joins import left_lookup
 from tarnbook.operators.tidy import relocate
 from tarnbook.plans.status import WATCHED, Focal, area_status, site_status
+from tarnbook.session import cut_lineage
 from tarnbook.sources.kml import export_nested_kml, nested_fragments
 
 SITE = ("county", "name", "site_code", "primary_watershed")
@@ -64,10 +65,13 @@ def site_master(
     rules: str = "v3",
     databases: tuple[str, str] = ("main", "records"),
 ) -> DataFrame:
-    """Status, source, coordinates, status of watershed and county, and morphology of every site."""
-    status = site_status(
+    """Status, source, coordinates, status of watershed and county, and morphology of every site.
+
+    The site summary is small and stored; the statuses of the areas are made from it, and detections are read once.
+    """
+    status = cut_lineage(site_status(
         detections, keys, "primary_watershed", "species_name", "year", focal, rules, ("database", *databases)
-    )
+    ))
     # Joins on the site come one after the other, so that one shuffle of the sites serves them all.
     located = left_lookup(status, site_coordinates(sites, catches, records, keys, xy), keys)
     located = left_lookup(located, site_morphology(sites, morphology, keys), keys)
@@ -112,22 +116,26 @@ def site_species_year(
 
     Catches get the place of the site's first visit, records their own.  ``catches`` carry a unique ``row_id``.
     """
-    place = top_row(sites.select(*keys, *xy, "site_id"), keys, ["site_id"]).drop("site_id")
-    main = left_lookup(catches.drop(*xy), place, keys).withColumn("__order", F.lit(0))
-    second = matched.withColumn("__order", F.lit(1)).withColumnRenamed("record_id", "row_id")
-    second = second.withColumn("row_id", F.col("row_id").cast("string"))
-    stacked = main.withColumn("row_id", F.col("row_id").cast("string")).unionByName(second, allowMissingColumns=True)
+    main = catches.drop(*xy).withColumn("__order", F.lit(0)).withColumn("row_id", F.col("row_id").cast("string"))
+    second = matched.withColumn("__order", F.lit(1)).withColumn("row_id", F.col("record_id").cast("string")).drop("record_id")
+    stacked = main.unionByName(second, allowMissingColumns=True)
 
     group = [*keys, "species_name", "year"]
-    carried = [c for c in stacked.columns if c not in group and c not in ("database", "__order", "row_id", *drop)]
+    carried = [c for c in stacked.columns if c not in group and c not in ("database", "row_id", *drop)]
     rows = stacked.groupBy(*group).agg(
         F.array_join(F.array_sort(F.collect_set("database")), "+").alias("database"),
         F.min_by(F.struct(*carried), F.struct("__order", "row_id")).alias("__first"),
     ).select(*group, "database", "__first.*")
-    with_site = left_lookup(rows, status.select(*keys, "status_a", "status_b", "site_status"), keys)
+
+    # What is known of a site is put together on the small site table, so that the rows above are joined once.
+    site = cut_lineage(status.select(*keys, "status_a", "status_b", "site_status"))
+    known = site
     for key, name in (("primary_watershed", "ws_status"), ("county", "county_status")):
-        with_site = left_lookup(with_site, area_status(status, key, rules, focal, name), key)
-    return relocate(with_site, ["database"], after="county_status")
+        known = left_lookup(known, area_status(site, key, rules, focal, name), key)
+    place = top_row(sites.select(*keys, *xy, "site_id"), keys, ["site_id"]).select(*keys, *[F.col(c).alias(f"__{c}") for c in xy])
+    joined = left_lookup(rows, left_lookup(known, place, keys), keys)
+    placed = joined.withColumns({c: F.when(F.col("__order") == 0, F.col(f"__{c}")).otherwise(F.col(c)) for c in xy})
+    return relocate(placed.drop("__order", *[f"__{c}" for c in xy]), ["database"], after="county_status")
 
 
 def _map_rows(master: DataFrame, xy: tuple[str, str], keys: Sequence[str]) -> DataFrame:
