@@ -14,6 +14,7 @@ from tarnbook.operators.tidy import relocate
 from tarnbook.plans.status import WATCHED, Focal, area_status, site_status
 from tarnbook.session import cut_lineage
 from tarnbook.sources.kml import export_nested_kml, nested_fragments
+from tarnbook.sources.schemas import CATCH_NOTES
 
 SITE = ("county", "name", "site_code", "primary_watershed")
 STATUS = ("data_source", "last_sampled_year", "status_a", "status_b", "site_status", "ws_first_a", "ws_first_b", "ws_status")
@@ -85,14 +86,17 @@ def community_list(
     master: DataFrame,
     records: DataFrame,
     keys: Sequence[str] = SITE,
-    status_cols: Sequence[str] = (*STATUS, *MORPHOLOGY),
+    status_cols: Sequence[str] | None = None,
     records_too: bool = False,
 ) -> DataFrame:
     """Every catch with its site's status and morphology, and the records dated 1 January of their year.
 
     ``catches`` are those enriched by visit (:func:`~tarnbook.plans.status.enrich_catches`): a catch on two visits is listed
-    twice.  Records come without a status, unless ``records_too``.
+    twice.  ``status_cols`` are the master's columns to put on a catch: if not given, the status and all measures it has.
+    Records come without a status, unless ``records_too``.
     """
+    if status_cols is None:
+        status_cols = [*STATUS, *[c for c in MORPHOLOGY if c in master.columns]]
     lookup_table = master.select(*keys, *status_cols)
     main = left_lookup(catches, lookup_table, keys)
     second = records.withColumn("date", first_of_january(F.col("year")))
@@ -110,11 +114,12 @@ def site_species_year(
     xy: tuple[str, str] = ("lon", "lat"),
     focal: Focal = WATCHED,
     rules: str = "v2",
-    drop: Sequence[str] = (),
+    drop: Sequence[str] = CATCH_NOTES,
 ) -> DataFrame:
     """The earlier master: one row per site, species and year with the databases it comes from.
 
-    Catches get the place of the site's first visit, records their own.  ``catches`` carry a unique ``row_id``.
+    Catches get the place of the site's first visit, records their own.  ``catches`` carry a unique ``row_id``; columns in ``drop``
+    (those no analysis uses) are left out.
     """
     main = catches.drop(*xy).withColumn("__order", F.lit(0)).withColumn("row_id", F.col("row_id").cast("string"))
     second = matched.withColumn("__order", F.lit(1)).withColumn("row_id", F.col("record_id").cast("string")).drop("record_id")

@@ -55,6 +55,21 @@ def cut_lineage(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{os.urandom(8).hex()}")
+    """A new path below the shared folder; :func:`remove_scratch` knows it."""
+    path = os.path.join(shared_folder(spark), f"{name}-{os.urandom(8).hex()}")
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Remove what this application stored so far; for the end of a job, when all its results are written.  Gives the number of paths."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+    return len(paths)

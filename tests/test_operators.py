@@ -1,7 +1,9 @@
 """Operators on small fixtures, with the traps of missing values, row order and text."""
 
 import math
+import os
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from tarnbook.operators.nearest import nearest_join
 from tarnbook.operators.points import as_points, crs_of, reproject
 from tarnbook.operators.polygons import spatial_join
 from tarnbook.operators.review import apply_decisions, apply_overrides, review_queue
+from tarnbook.session import cut_lineage, remove_scratch, scratch_path, shared_folder
 from tarnbook.sources.layers import as_layer
 from tarnbook.sources.schemas import DECISIONS
 from tarnbook.sources.tables import read_table, write_table
@@ -584,3 +587,31 @@ def test_parts_of_a_shape_touch_a_boundary(spark):
     met = spatial_join(layer, boundary, "semi")
     assert sorted(values(met, "layer_id")) == [1, 2, 4]
     assert "NestedLoop" not in plan(met) and "Cartesian" not in plan(met)
+
+
+def test_stored_tables_can_be_removed(spark):
+    before = remove_scratch(spark)
+    stored = cut_lineage(spark.range(5))
+    path = scratch_path(spark, "other")
+    spark.range(2).write.parquet(path)
+    assert before >= 0 and stored.count() == 5 and os.path.isdir(path)
+    assert remove_scratch(spark) == 2
+    assert not os.path.exists(path) and not os.path.exists(stored.inputFiles()[0].removeprefix("file:"))
+
+
+def test_shared_folder_comes_from_the_cluster():
+    """The configured folder is used and set; on a cluster without one the job stops instead of using a local folder."""
+    def session(configured, master, current=None):
+        chosen = [current]
+        context = SimpleNamespace(
+            master=master, getConf=lambda: {"spark.checkpoint.dir": configured}, getCheckpointDir=lambda: chosen[0],
+            setCheckpointDir=lambda path: chosen.__setitem__(0, path),
+        )
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: configured), sparkContext=context), chosen
+
+    spark, chosen = session("hdfs://shared/jobs", "spark://host:7077")
+    assert shared_folder(spark) == "hdfs://shared/jobs" == chosen[0]
+    spark, _ = session(None, "spark://host:7077", "hdfs://shared/set-by-the-job")
+    assert shared_folder(spark) == "hdfs://shared/set-by-the-job"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session(None, "spark://host:7077")[0])
