@@ -88,7 +88,9 @@ def trie_links(prints: DataFrame, budget: int = 3) -> DataFrame:
     the differing bits of its two prefixes and goes when they exceed the budget.  The budget is tightened by the
     pigeonhole principle: of ``m = (budget + 1) / 2`` (rounded up to a power of two) blocks of bits one has at most
     one difference, so the fingerprints are entered m times, turned to have each block in front, and the traversal
-    allows one difference within the front block and ``budget`` in all.  Within the front block partner nodes are
+    allows one difference within the front block.  More than that, of the m turns there is one in which the first k
+    blocks have at most k / m of all differences, for every k (begin behind the blocks that have most more than their
+    share); so the budget grows block by block, up to all of it at the end.  Within the front block partner nodes are
     found by an equi-join on the prefix with at most one bit changed, below it by joining the children of a pair.
     A pair found in several turns comes out once.  No node is a hot key: a node has at most as many partners as
     prefixes within the budget.
@@ -135,7 +137,7 @@ def trie_links(prints: DataFrame, budget: int = 3) -> DataFrame:
         pairs = (
             pairs.join(left, ["turn", "p"]).join(right, ["turn", "q"])
             .select("turn", F.col("p2").alias("p"), F.col("q2").alias("q"), (F.col("diff") + more).alias("diff"))
-            .where((F.col("diff") <= budget) & ((F.col("p") <= F.col("q")) | (F.shiftrightunsigned("p", STEP) != F.shiftrightunsigned("q", STEP))))
+            .where((F.col("diff") <= budget * (-(-(depth + STEP) // front)) // blocks) & ((F.col("p") <= F.col("q")) | (F.shiftrightunsigned("p", STEP) != F.shiftrightunsigned("q", STEP))))
         )
         depth += STEP
         if depth % 16 == 0 or depth == BITS:
