@@ -13,26 +13,24 @@ from pyspark.sql import functions as F
 from tarnbook.llm.text import U64, arrow_rows, chunks, mix
 
 SIMILARITY = 0.8
-REPEATS = 6
-SAMPLED = 4
-SMALLEST = 4
 BLOCK_ITEMS = 20_000
 SIEVE = 1 << 16
+WORD_SIEVE = 1 << 11
 
 
 class Walk:
-    """One repetition for windows of one size: which places of the embedding are sampled, and the walk's random bits.
+    """The embedding of windows of one size: which places of it make the key, and the walk's random bits.
 
     The embedding of a window writes, in every step, the word the walk stands on, and then goes one word on or stays, by a
     random bit of the step and the word.  Two windows at a small edit distance fall into step again after an edit, so
-    their embeddings differ in few places.  Past its last word a window's embedding is blank.
+    their embeddings differ in few places.  Past its last word a window's embedding is blank.  The windows are so small that
+    all places are taken: equal windows have equal keys, and few others do.
     """
 
-    def __init__(self, size: int, repeat: int, sampled: int = SAMPLED):
-        draw = np.random.default_rng([size, repeat])
-        rest = draw.choice(np.arange(2, 2 * size), min(sampled - 1, 2 * size - 2), replace=False)
-        self.size, self.places = size, [repeat % 2, *sorted(rest.tolist())]
-        self.salts = [U64(int(x)) for x in draw.integers(1, 1 << 63, 2 * size // 64 + 1)]
+    def __init__(self, size: int):
+        draw = np.random.default_rng([size, 0])
+        self.size, self.places = size, list(range(3 * size))
+        self.salts = [U64(int(x)) for x in draw.integers(1, 1 << 63, 3 * size // 64 + 1)]
 
     def bits(self, words: np.ndarray) -> list[np.ndarray]:
         return [mix(words ^ salt) for salt in self.salts]
@@ -57,44 +55,62 @@ class Walk:
         return start, key
 
 
-def window_size(n: int) -> int:
-    """The power of two at or below the item's length; short items are one window."""
-    return n if n < SMALLEST else 1 << (n.bit_length() - 1)
+def most_edits(n: int, similarity: float) -> int:
+    """The edits (in words) at which an item of ``n`` words is still held."""
+    return int((1 - similarity) * n + 1e-9)
 
 
-def offsets(n: int) -> list[int]:
-    """Where the windows of an item of ``n`` words begin: every half window, and the last one that fits."""
-    size = window_size(n)
-    return sorted({*range(0, n - size + 1, max(1, size // 2)), n - size})
+def window_size(n: int, edits: int) -> int:
+    """The words of a window, of which an item of ``n`` words has one more than it may have edits."""
+    return n // (edits + 1)
+
+
+def offsets(n: int, edits: int) -> list[int]:
+    """Where the windows of an item begin.  They are apart, so an edit falls into one at most and one is left as it was."""
+    return [i * n // (edits + 1) for i in range(edits + 1)]
 
 
 class Index:
-    """Keys of all windows of all items, for each window size and repetition."""
+    """Keys of all windows of all items, for each window size."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], repeats: int):
+    def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float):
         self.items = items
+        #: For each item, which low bits its words have.
+        self.has = np.zeros((len(items), WORD_SIEVE), dtype=bool)
+        for i, (_, words) in enumerate(items):
+            self.has[i, words & U64(WORD_SIEVE - 1)] = True
         by_size = defaultdict(list)
         for i, (_, words) in enumerate(items):
-            for offset in offsets(len(words)) if len(words) else []:
-                by_size[window_size(len(words))].append((i, offset))
+            edits = most_edits(len(words), similarity)
+            for offset in offsets(len(words), edits) if len(words) else []:
+                by_size[window_size(len(words), edits)].append((i, offset))
         self.tables = []
         text = np.concatenate([w for _, w in items]) if items else np.zeros(0, dtype=U64)
         base = np.append(0, np.cumsum([len(w) for _, w in items])).astype(np.int64)
         for size, places in sorted(by_size.items()):
             start = np.array([base[i] + o for i, o in places], dtype=np.int64)
-            for repeat in range(repeats):
-                walk = Walk(size, repeat)
-                levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-                def note(level, key, levels=levels):
-                    sieve = np.zeros(SIEVE, dtype=bool)
-                    sieve[key & U64(SIEVE - 1)] = True
-                    levels.append((sieve, np.unique(key)))
-                    return np.ones(len(key), dtype=bool)
-
-                _, key = walk.keys(text, start, note)
-                order = np.argsort(key, kind="stable")
-                self.tables.append((walk, levels, key[order], [places[o] for o in order]))
+            walk = Walk(size)
+            levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def note(level, key, levels=levels):
+                sieve = np.zeros(SIEVE, dtype=bool)
+                sieve[key & U64(SIEVE - 1)] = True
+                levels.append((sieve, np.unique(key)))
+                return np.ones(len(key), dtype=bool)
+
+            _, key = walk.keys(text, start, note)
+            order = np.argsort(key, kind="stable")
+            self.tables.append((walk, levels, key[order], [places[o] for o in order]))
+
+    def likely(self, i: int, words: np.ndarray, starts: list[int], edits: int, low: int, high: int) -> list[int]:
+        """The starts around which the text has as many words of the item as are left after the edits; no others can hold it."""
+        n = len(self.items[i][1])
+        begin, end = max(low, starts[0] - edits), min(high, starts[-1] + n + edits)
+        before = np.zeros(end - begin + 1, dtype=np.int64)
+        np.cumsum(self.has[i][words[begin:end] & U64(WORD_SIEVE - 1)], out=before[1:])
+        at = np.array(starts)
+        shared = before[np.minimum(at + n + edits, high) - begin] - before[np.maximum(at - edits, low) - begin]
+        return at[shared >= n - edits].tolist()
 
     def candidates(self, words: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
         """Text, item and place of the item's first word, for all windows of the chunk's texts that share a key with one."""
@@ -138,6 +154,18 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def runs_of(starts: list[int], n: int, edits: int, low: int, high: int) -> list[tuple[int, int]]:
+    """The parts of a text (from ``low`` to ``high``) that can hold an item whose first word is near one of the starts."""
+    out: list[tuple[int, int]] = []
+    for start in starts:
+        a, b = max(low, start - edits), min(high, start + n + edits)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _words(texts: list[str | None]) -> list[np.ndarray]:
     out = []
     for chunk in chunks(pc.utf8_lower(pa.array(texts, pa.string()))):
@@ -146,16 +174,19 @@ def _words(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", similarity: float = SIMILARITY, repeats: int = REPEATS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, item_id, distance, similarity``: every pair of a document and an item it holds a near copy of.
 
     Words are runs of anything but space and the characters 9 to 13, lower-cased.  A document holds an item if a run of
-    its words is at an edit distance of at most ``(1 - similarity)`` times the item's words.  Candidates are found with
-    windows of the items' sizes at every word of every text, by equal keys in any of ``repeats`` repetitions; each is then
-    verified exactly, so a pair reported is right, and the repetitions set the recall.  Items are the stated query set: they are
-    taken in blocks of about ``BLOCK_ITEMS``, each compared with all texts.  Items without words match nothing; null texts
+    its words is at an edit distance of at most ``(1 - similarity)`` times the item's words.  An item has one more window
+    than that many edits, apart from each other, so wherever it is held a window stands unchanged; equal windows have equal
+    keys, so no pair is missed.  Every run of a text around a window of equal key is compared exactly, so a pair reported is
+    right and its distance the smallest.  Items are the stated query set: they are taken in blocks of about ``BLOCK_ITEMS``,
+    each compared with all texts.  Items without words match nothing; null texts
     are empty; rows that repeat an id count as one document.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be over 0 and at most 1")
     arrow_rows(docs.sparkSession)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, distance int, similarity double"
@@ -165,33 +196,36 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "
     found = None
     for block in range(blocks):
         rows = query.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        part = texts.mapInArrow(_matcher([r["item_id"] for r in rows], [r["text"] for r in rows], similarity, repeats), schema)
+        part = texts.mapInArrow(_matcher([r["item_id"] for r in rows], [r["text"] for r in rows], similarity), schema)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("similarity").alias("similarity"))
 
 
-def _matcher(ids: list, texts: list[str | None], similarity: float, repeats: int):
+def _matcher(ids: list, texts: list[str | None], similarity: float):
     def run(batches):
         items = [(i, w) for i, w in zip(ids, _words(texts)) if len(w)]
-        index = Index(items, repeats)
+        index = Index(items, similarity)
         for batch in batches:
             docs, names, distances = [], [], []
             for chunk in chunks(pc.utf8_lower(batch.column(1))):
                 words, first = chunk.word_hashes(), chunk.words[2]
                 best: dict[tuple[int, int], int] = {}
+                starts = defaultdict(list)
                 for row, i, start in sorted(index.candidates(words, first)):
+                    starts[row, i].append(start)
+                for (row, i), places in starts.items():
                     item = items[i][1]
-                    most = int((1 - similarity) * len(item) + 1e-9)
-                    if best.get((row, i)) == 0:
-                        continue
+                    most = most_edits(len(item), similarity)
                     low, high = int(first[row]), int(first[row + 1])
-                    start = max(start, low)
-                    if start + len(item) <= high and np.array_equal(words[start : start + len(item)], item):
-                        distance = 0
-                    else:
-                        distance = edit_distance_within(item, words[max(low, start - most) : min(high, start + len(item) + most)])[0]
+                    if any(low <= s <= high - len(item) and np.array_equal(words[s : s + len(item)], item) for s in places):
+                        best[row, i] = 0
+                        continue
+                    places = index.likely(i, words, places, most, low, high)
+                    if not places:
+                        continue
+                    distance = min(edit_distance_within(item, words[a:b])[0] for a, b in runs_of(places, len(item), most, low, high))
                     if distance <= most:
-                        best[row, i] = min(distance, best.get((row, i), distance))
+                        best[row, i] = distance
                 for (row, i), distance in best.items():
                     docs.append(row + chunk.rows[0])
                     names.append(i)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -346,6 +347,35 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in clean.collect()} == {i for i, *_ in texts} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("n", [3, 9, 15, 16, 31, 32, 59, 64, 100, 255, 400])
+def test_decontamination_finds_all_within_the_bound(spark, n):
+    """Items at the largest number of edits allowed, of each kind, are all found; with one more none is."""
+    draw = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(draw.choices(vocabulary, k=n))) for i in range(10)]
+
+    def edited(words, edits, kind):
+        words = list(words)
+        for e, at in enumerate(sorted(draw.sample(range(n), edits), reverse=True)):
+            put = [f"edit{draw.random()}"]
+            how = kind if kind < 3 else e % 3
+            words[at : at + (how != 1)] = [] if how == 2 else put
+        return words
+
+    texts = []
+    for i, item in items:
+        for kind in range(4):
+            around = [draw.choices(vocabulary, k=30) for _ in range(2)]
+            texts.append((4 * i + kind, " ".join(around[0] + edited(item.split(), n // 5, kind) + around[1]), "en", "s"))
+        texts.append((1000 + i, " ".join(draw.choices(vocabulary, k=30) + edited(item.split(), n // 5 + 1, 0)), "en", "s"))
+    found = decontaminate.leaks(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    code = collections.defaultdict(itertools.count().__next__)
+    coded = {x: np.array([code[w] for w in x.split()]) for _, x, *_ in items + texts}
+    want = {(d, i, decontaminate.edit_distance_within(coded[item], coded[text])[0]) for i, item in items for d, text, *_ in texts}
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in found} == {(d, i, k) for d, i, k in want if k <= n // 5}
+    assert {(r["doc_id"], r["item_id"]) for r in found} >= {(4 * i + kind, i) for i, _ in items for kind in range(4)}
+
+
 def test_edit_distance():
     def plain(item, text):
         best = list(range(len(item) + 1))
