@@ -33,11 +33,19 @@ def sample_value(term: str, weight: Column, salt: int) -> Column:
 
 
 def sampled_cells(terms: DataFrame, keys: list[str], bins: int, samples: int) -> DataFrame:
-    """``keys, bin, cell``: for each bin with terms, the hash of its samples, four hex digits each (never ``0000``)."""
-    counted = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    bin_of = F.pmod(F.xxhash64("term", F.lit(7)), F.lit(bins)).cast("int")
-    values = [sample_value("term", F.col("weight"), 100 * (s + 1)).alias(f"v{s}") for s in range(samples)]
-    least = counted.select(*keys, bin_of.alias("bin"), *values).groupBy(*keys, "bin").agg(*[F.min(f"v{s}").alias(f"v{s}") for s in range(samples)])
+    """``keys, bin, cell``: for each bin with terms, the hash of its samples, four hex digits each (never ``0000``).
+
+    The bin of a term's k-th occurrence depends on the term and k alone, so a heavy term has a part of its weight in many bins, and
+    the parts that two texts have in common add up to the weight they have in common.
+    """
+    counted = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    dealt = counted.select(*keys, "term", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+    dealt = dealt.select(*keys, "term", F.pmod(F.xxhash64("term", "k", F.lit(7)), F.lit(bins)).cast("int").alias("bin"))
+    parts = dealt.groupBy(*keys, "bin", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    # A term is sampled anew in every bin.
+    parts = parts.select(*keys, "bin", F.xxhash64("term", "bin").alias("part"), "weight")
+    values = [sample_value("part", F.col("weight"), 100 * (s + 1)).alias(f"v{s}") for s in range(samples)]
+    least = parts.select(*keys, "bin", *values).groupBy(*keys, "bin").agg(*[F.min(f"v{s}").alias(f"v{s}") for s in range(samples)])
     digits = [F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(f"v{s}", "bin"), F.lit(65535)) + 1)), 4, "0") for s in range(samples)]
     return least.select(*keys, "bin", F.concat(*digits).alias("cell"))
 
@@ -51,9 +59,10 @@ def signatures(terms: DataFrame, keys: list[str], bins: int = BINS, samples: int
     """``keys, signature``: one text per key, four hex digits for each of ``bins * samples`` samples.
 
     ``terms`` has a row for every occurrence of a term (``term``, a long) under its keys; the weight of a term is its number
-    of occurrences.  Each term belongs to one of ``bins`` bins by its hash, and each bin holds ``samples`` independent
-    samples of its own terms (bin-wise consistent weighted sampling), so a term is sampled ``samples`` times, not
-    ``bins * samples`` times.  A bin without terms is written ``0000``.
+    of occurrences.  Every occurrence belongs to one of ``bins`` bins, and each bin holds ``samples`` independent samples of
+    its own terms, weighted by their occurrences in it (bin-wise consistent weighted sampling).  As occurrences are dealt evenly,
+    each bin's similarity has the generalised Jaccard similarity of the whole texts as its mean, however the weights
+    are spread.  A bin without terms is written ``0000``.
     """
     packed = sampled_cells(terms, keys, bins, samples).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "cell"))).alias("cells"))
     return packed.select(*keys, _joined(0, bins, samples).alias("signature"))

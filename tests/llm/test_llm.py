@@ -147,6 +147,19 @@ def test_likeness_is_weighted_jaccard(spark):
     assert abs(got - want) < 0.08
 
 
+@pytest.mark.parametrize("often, own, shared", [(1000, 63, 0), (300, 200, 50), (5000, 20, 5)])
+def test_likeness_of_skewed_weights(spark, often, own, shared):
+    """A word that makes up most of a text counts by its weight, pair by pair, at the settings of the query."""
+    texts, pairs, want = [], [], (often + shared) / (often + shared + 2 * own)
+    for i in range(8):
+        words = [f"often{i} " * often + " ".join(f"s{i}x{k}" for k in range(shared)) + " " + " ".join(f"{side}{i}x{k}" for k in range(own)) for side in "ab"]
+        texts += [(2 * i, words[0], "en", "s"), (2 * i + 1, words[1], "en", "s")]
+    found = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(table(spark, texts)).collect()}
+    pairs = [(found[2 * i], found[2 * i + 1]) for i in range(8)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(fingerprint.likeness("a", "b")).collect()]
+    assert max(abs(g - want) for g in got) < 0.16 and abs(np.mean(got) - want) < 0.06
+
+
 def shares(size, weights=(3, 1, 2), factor=1.5, most=2):
     names = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None] * (None in size)
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
