@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbook.llm import decontaminate, fingerprint, langid, mixing, ngram, quality, rlz, simhash, suffix, urls
+from tarnbook.llm import decontaminate, fingerprint, huffman, langid, mixing, negatives, ngram, quality, rlz, simhash, spelling, suffix, urls
 from tarnbook.llm.text import documents
 from tarnbook.session import tune
 
@@ -15,12 +15,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str):
+def query(name: str, sql: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return build(tune(spark), sf_dir)
 
         QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
         return build
 
     return register
@@ -77,3 +79,40 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_report(suffix.duplicate_spans(documents(spark, sf_dir), keep="none"))
+
+
+@query(
+    "op11_negatives",
+    """
+    WITH e AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ), s AS (
+      SELECT a.vec_id AS anchor_id, e.vec_id, e.label = a.label AS same, CAST(list_dot_product(a.q, e.q) AS BIGINT) AS score
+      FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0
+    ), p AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+      s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+    QUALIFY rank <= 10
+    """,
+)
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", shifted.alias("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op12_token_ids")
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.read_ids(spark, huffman.stored_ids(documents(spark, sf_dir))).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op13_spelling")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
