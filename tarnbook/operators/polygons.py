@@ -5,7 +5,8 @@ A layer is a table ``(layer_id, attributes…, rings, xmin, ymin, xmax, ymax)``
 
 Every polygon is entered under the few grid cells its box covers, on the grid level that fits its size, so
 that big and small shapes cost alike and a cell lists only shapes of about its own size.  Points look up
-their cell on each level in use; the exact test runs on what is left after the boxes are compared.
+their cell on each level in use; the exact test runs on what is left after the boxes are compared.  Polygons of many
+edges are cut into cells of few edges, so that a point is never tested against a whole coast line.
 """
 
 from __future__ import annotations
@@ -16,12 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnbook.operators.joins import lookup
+from tarnbook.session import cut_lineage
 
 RING_TYPE = "array<array<struct<x:double,y:double>>>"
 BOX = ("xmin", "ymin", "xmax", "ymax")
 CELL = ("lv", "cx", "cy")
 _SPAN = 4  # a box is at most this many cells of its level wide
 _FINEST = -10  # smallest cell is 4^-10
+#: Edges from which on a polygon, or a cell of one, is cut into smaller cells.
+CELL_EDGES = 64
+_IN_VAIN = 4
 
 
 def flatten_rings(rings: Column) -> Column:
@@ -61,14 +66,18 @@ def _side(px: Column, py: Column, e: Column) -> Column:
     return (e["x2"] - e["x1"]) * (py - e["y1"]) - (px - e["x1"]) * (e["y2"] - e["y1"])
 
 
-def covers(edges: Column, px: Column, py: Column) -> Column:
-    """Whether the shape with these edges holds the point: odd number of crossings, or on an edge."""
-    on_edge = F.exists(
-        edges,
-        lambda e: (_side(px, py, e) == 0)
+def _on(px: Column, py: Column, e: Column) -> Column:
+    """Whether a point lies on an edge."""
+    return (
+        (_side(px, py, e) == 0)
         & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-        & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])),
+        & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
     )
+
+
+def covers(edges: Column, px: Column, py: Column) -> Column:
+    """Whether the shape with these edges holds the point: odd number of crossings, or on an edge."""
+    on_edge = F.exists(edges, lambda e: _on(px, py, e))
     crossed = F.filter(
         edges,
         lambda e: ((e["y1"] > py) != (e["y2"] > py)) & ((_side(px, py, e) > 0) == (e["y2"] > e["y1"])),
@@ -127,17 +136,35 @@ def _index(layer: DataFrame) -> DataFrame:
     return entries.withColumn("__cell", F.explode(cells)).select("__layer", *[F.col(c).alias(f"__{c}") for c in BOX], *split)
 
 
-def _levels(layer: DataFrame) -> list[int]:
-    """Grid levels the layer uses: at most a few dozen small numbers."""
-    return sorted(r[0] for r in layer.where("xmin IS NOT NULL").select(_level(layer)).distinct().collect())
-
+def _place_hits(places: DataFrame, layer: DataFrame, x: str, y: str) -> DataFrame:
+    """``x, y, layer_id`` for every distinct place of ``places`` and polygon holding it.
 
-def _point_hits(points: DataFrame, layer: DataFrame, x: str, y: str) -> DataFrame:
-    """Columns of points and layer for every (point, polygon holding it)."""
+    Only places and ids are searched.  Polygons of few edges are tested whole; those of more than :data:`CELL_EDGES` are cut into cells
+    beforehand, and a place meets the edges of its own cell.
+    """
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    real = (F.abs(px) < F.lit(float("inf"))) & (F.abs(py) < F.lit(float("inf")))  # neither null, NaN nor infinite
+    asked = places.where(real).select(x, y).distinct()
+    shapes = layer.where("xmin IS NOT NULL").select("layer_id", "rings", *BOX)
+    levels, most = _profile(shapes)
+    n_edges = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring))
+    few = n_edges <= CELL_EDGES
+    found = _whole_hits(asked, shapes.where(few) if most > CELL_EDGES else shapes, levels, x, y)
+    if most <= CELL_EDGES:
+        return found
+    return found.unionByName(_cell_hits(asked, cell_table(shapes.where(~few)), x, y))
+
+
+def _profile(shapes: DataFrame) -> tuple[list[int], int]:
+    """Grid levels the layer's polygons of few edges use (a few dozen small numbers at most), and the largest number of edges."""
+    edges = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring))
+    rows = shapes.select(_level(shapes).alias("lv"), edges.alias("n")).groupBy("lv").agg(F.min("n").alias("least"), F.max("n").alias("most")).collect()
+    return sorted(r["lv"] for r in rows if r["least"] <= CELL_EDGES) or [_FINEST], max((r["most"] for r in rows), default=0)
+
+
+def _whole_hits(places: DataFrame, layer: DataFrame, levels: list[int], x: str, y: str) -> DataFrame:
+    """Places in polygons of few edges: cell and box first, then the polygon's edges."""
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    levels = _levels(layer)
-    if not levels:
-        levels = [_FINEST]
 
     def cell(level: int) -> Column:
         size = 4.0**level
@@ -145,17 +172,186 @@ def _point_hits(points: DataFrame, layer: DataFrame, x: str, y: str) -> DataFram
             F.lit(level).alias("lv"), F.floor(px / size).cast("long").alias("cx"), F.floor(py / size).cast("long").alias("cy")
         )
 
-    placed = points.where(px.isNotNull() & py.isNotNull()).withColumn(
-        "__point_cell", F.explode(F.array(*[cell(v) for v in levels]))
-    )
+    placed = places.withColumn("__point_cell", F.explode(F.array(*[cell(v) for v in levels])))
     in_box = px.between(F.col("__xmin"), F.col("__xmax")) & py.between(F.col("__ymin"), F.col("__ymax"))
-    index = _index(layer)
     same_cell = reduce(lambda a, b: a & b, [F.col(f"__point_cell.{c}") == F.col(f"__{c}") for c in CELL])
-    near = placed.join(index, same_cell & in_box).select(*points.columns, "__layer")
+    near = placed.join(_index(layer), same_cell & in_box).select(x, y, "__layer")
     # A polygon's shape is fetched once its box holds the point; it isn't copied into the cells.
-    shapes = layer.withColumn("__edges", ring_edges(F.col("rings")))
-    joined = near.join(shapes, F.col("__layer") == F.col("layer_id"))
-    return joined.where(covers(F.col("__edges"), px, py)).drop("__layer", "__edges")
+    shapes = layer.select("layer_id", ring_edges(F.col("rings")).alias("__edges"))
+    return near.join(shapes, F.col("__layer") == F.col("layer_id")).where(covers(F.col("__edges"), px, py)).select(x, y, "layer_id")
+
+
+# --- polygons of many edges, cut into cells ---------------------------------------------------------------------------
+#
+# A cell is a square of side 2^lv.  For each polygon a cell knows the edges that meet it and whether its lower left corner is inside.
+# Inside or not then changes with every edge crossed on the way from that corner to a point: first straight up, then to the
+# right, never leaving the cell.  So that nothing depends on edges that run through corners, a corner stands for a point
+# shifted to the right by next to nothing, and up by more than that: an end of an edge at its height is below it, one at its
+# x is left of it, and an edge through it is right of it if it leans to the right.
+
+
+def _crossed(e: Column, fx: Column, fy: Column, tx: Column, ty: Column) -> Column:
+    """Whether an edge is crossed an odd number of times on the way from (fx, fy) up (or down) to ty, then aside to tx."""
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+
+    def below(x, y):
+        return _side(x, y, e) * F.signum(dx) < 0
+
+    def left(x, y):
+        side = _side(x, y, e) * F.signum(dy)
+        return (side > 0) | ((side == 0) & (dx * dy > 0))
+
+    up = ((e["x1"] > fx) != (e["x2"] > fx)) & (below(fx, ty) != below(fx, fy))
+    aside = ((e["y1"] > ty) != (e["y2"] > ty)) & (left(fx, ty) != left(tx, ty))
+    return up != aside
+
+
+def _cell(lv: Column, cx: Column, cy: Column) -> Column:
+    return F.named_struct(F.lit("lv"), lv, F.lit("cx"), cx, F.lit("cy"), cy)
+
+
+def _corner(cell: Column) -> tuple[Column, Column, Column]:
+    """Side length and lower left corner of a cell; exact, since all are whole multiples of a power of two."""
+    size = F.pow(F.lit(2.0), cell["lv"])
+    return size, cell["cx"] * size, cell["cy"] * size
+
+
+def _meets(e: Column, cell: Column) -> Column:
+    """Whether an edge may meet the closed cell; drawn a little wider, since an edge too many does no harm."""
+    size, x, y = _corner(cell)
+    wide = size * 1e-9
+    x1, y1, x2, y2 = x - wide, y - wide, x + size + wide, y + size + wide
+    boxes = (F.greatest(e["x1"], e["x2"]) >= x1) & (F.least(e["x1"], e["x2"]) <= x2) & (F.greatest(e["y1"], e["y2"]) >= y1) & (F.least(e["y1"], e["y2"]) <= y2)
+    sides = [_side(a, b, e) for a in (x1, x2) for b in (y1, y2)]
+    return boxes & (F.greatest(*sides) >= 0) & (F.least(*sides) <= 0)
+
+
+def _parts(cell: Column) -> Column:
+    """The sixteen cells a cell is cut into."""
+    step = F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))
+    lv = cell["lv"] - 2
+    return F.flatten(
+        F.transform(step, lambda i: F.transform(step, lambda j: _cell(lv, cell["cx"] * 4 + i, cell["cy"] * 4 + j)))
+    )
+
+
+def _near_parts(cell: Column, e: Column) -> Column:
+    """Those of a cell's parts that an edge's box may meet."""
+    size, x, y = _corner(cell)
+
+    def span(a: Column, b: Column, low: Column) -> Column:
+        def at(v: Column, wide: float) -> Column:
+            return F.greatest(F.lit(0), F.least(F.lit(3), F.floor((v - low) / size * 4 + wide))).cast("long")
+
+        return F.sequence(at(F.least(a, b), -1e-6), at(F.greatest(a, b), 1e-6))
+
+    columns, rows = span(e["x1"], e["x2"], x), span(e["y1"], e["y2"], y)
+    return F.flatten(F.transform(columns, lambda i: F.transform(rows, lambda j: _cell(cell["lv"] - 2, cell["cx"] * 4 + i, cell["cy"] * 4 + j))))
+
+
+def _cut(rows: DataFrame, fx: Column, fy: Column, kids: Column, near: Column, rows_at: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Cut cells into parts: ``rows`` has a row per parent and edge (``layer_id, parent, inside, bottom, stuck, n_parent, e`` and more).
+
+    Gives the parts (``layer_id, cell, inside, n, bottom, stuck``) and the edges in them (``layer_id, cell, e``).  Which parts' corners
+    an edge toggles, on the way there from (``fx``, ``fy``), is a number with a bit for each part; the exclusive or over all edges
+    tells where each corner lies.  Most edges are short and toggle nothing: those that cross neither the line of ``fx`` nor one of the
+    parts' lower sides (``rows_at``).  ``near`` are the parts an edge's box may meet.
+    """
+    e = F.col("e")
+    toggles = F.transform(kids, lambda k, i: F.when(_crossed(e, fx, fy, _corner(k)[1], _corner(k)[2]), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
+    crosses = reduce(lambda a, b: a | b, [(e["y1"] > y) != (e["y2"] > y) for y in rows_at], (e["x1"] > fx) != (e["x2"] > fx))
+    mask = F.when(crosses, F.aggregate(toggles, F.lit(0).cast("long"), lambda a, b: a + b)).otherwise(F.lit(0).cast("long"))
+    met = F.filter(near, lambda k: _meets(e, k))
+    of_parent = ["inside", "bottom", "stuck", "n_parent", *(["kids"] if "kids" in rows.columns else [])]
+    staged = cut_lineage(rows.select("layer_id", "parent", *of_parent, mask.alias("mask"), met.alias("met"), "e"))
+    edges = staged.select("layer_id", F.explode("met").alias("cell"), "e")
+    counts = edges.groupBy(F.col("layer_id").alias("__id"), F.col("cell").alias("__cell")).agg(F.count(F.lit(1)).alias("n"))
+    parents = staged.groupBy("layer_id", "parent").agg(F.bit_xor("mask").alias("mask"), *[F.any_value(c).alias(c) for c in of_parent])
+    parts = parents.select("layer_id", *of_parent[:4], "mask", F.posexplode(kids).alias("place", "cell"))
+    toggled = F.expr("shiftright(mask, place) & 1") == 1
+    parts = parts.select("layer_id", "cell", (F.col("inside") != toggled).alias("inside"), *of_parent[1:4])
+    cells = parts.join(counts, (F.col("layer_id") == F.col("__id")) & (F.col("cell") == F.col("__cell")), "left").drop("__id", "__cell")
+    cells = cells.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).where("inside or n > 0")
+    stuck = F.when(F.col("n") * 4 > F.col("n_parent") * 3, F.col("stuck") + 1).otherwise(0)
+    return cut_lineage(cells.withColumn("stuck", stuck).drop("n_parent")), edges
+
+
+def cell_table(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of polygons (``layer_id, rings`` and box): ``layer_id, cell, inside, n``, and ``layer_id, cell, edges`` for those with edges.
+
+    A polygon starts with the cells its box meets on the grid of its own size (four at most), and a cell with more than
+    :data:`CELL_EDGES` edges is cut into sixteen, level by level, until :data:`_IN_VAIN` cuts in a row left most of its edges in one part
+    (edges that meet in one spot).  Cells without edges stay whole; those outside are dropped.  No row holds more than about
+    ``CELL_EDGES`` edges: a cell that keeps more has several rows.
+    """
+    size = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    far = F.greatest(*[F.abs(F.col(c)) for c in BOX])
+    # Cells are never so small that their numbers would not be exact.
+    bottom = F.greatest(F.ceil(F.log2(F.greatest(far, F.lit(1e-200)))).cast("int") - 48, F.lit(-600))
+    lv = F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1e-200)))).cast("int"), F.col("bottom"))
+    placed = shapes.withColumn("bottom", bottom).withColumn("lv", lv).withColumn("size", F.pow(F.lit(2.0), F.col("lv")))
+
+    def span(low: str, high: str) -> Column:
+        return F.sequence(F.floor(F.col(low) / F.col("size")).cast("long"), F.floor(F.col(high) / F.col("size")).cast("long"))
+
+    first = F.flatten(F.transform(span("xmin", "xmax"), lambda cx: F.transform(span("ymin", "ymax"), lambda cy: _cell(F.col("lv"), cx, cy))))
+    rows = placed.select(
+        "layer_id", _cell(F.col("lv"), F.lit(0).cast("long"), F.lit(0).cast("long")).alias("parent"), "bottom", first.alias("kids"), F.lit(False).alias("inside"),
+        F.lit(0).alias("stuck"), F.lit(1 << 60).alias("n_parent"), "size",
+        # From a place left of the box and below it, which is outside.
+        *[((F.floor(F.col(c) / F.col("size")) - 1) * F.col("size")).alias(n) for c, n in (("xmin", "fx"), ("ymin", "fy"))],
+        F.explode(ring_edges(F.col("rings"))).alias("e"),
+    )
+    # One shape may hold most edges: they are spread over all tasks before anything is computed.
+    rows = rows.repartition(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "layer_id", "e")
+    # The first corners are one and two cells above the outside place.
+    cells, edges = _cut(rows, F.col("fx"), F.col("fy"), F.col("kids"), F.col("kids"), [F.col("fy") + F.col("size") * j for j in (1, 2)])
+    same = (F.col("layer_id") == F.col("__id")) & (F.col("cell") == F.col("__cell"))
+    done_cells, done_edges = [], []
+    while True:
+        crowded = (F.col("n") > CELL_EDGES) & (F.col("stuck") < _IN_VAIN) & (F.col("cell.lv") - 2 >= F.col("bottom"))
+        done_cells.append(cells.where(~crowded).drop("bottom", "stuck"))
+        own = cells.where(~crowded & (F.col("n") > 0)).select(F.col("layer_id").alias("__id"), F.col("cell").alias("__cell"), "n")
+        done_edges.append(edges.join(own, same).select("layer_id", "cell", "n", "e"))
+        left = cells.where(crowded)
+        if left.isEmpty():
+            break
+        parents = left.select(F.col("layer_id").alias("__id"), F.col("cell").alias("__cell"), "bottom", "inside", "stuck", F.col("n").alias("n_parent"))
+        rows = edges.join(parents, same).withColumnRenamed("cell", "parent").drop("__id", "__cell")
+        size, fx, fy = _corner(F.col("parent"))
+        cells, edges = _cut(rows, fx, fy, _parts(F.col("parent")), _near_parts(F.col("parent"), F.col("e")), [fy + size * (j / 4) for j in range(4)])
+    cells, edges = (reduce(DataFrame.unionByName, parts) for parts in (done_cells, done_edges))
+    chunk = F.when(F.col("n") > CELL_EDGES, F.pmod(F.xxhash64("e"), F.ceil(F.col("n") / CELL_EDGES))).otherwise(0)
+    lists = edges.groupBy("layer_id", "cell", chunk.alias("chunk")).agg(F.collect_list("e").alias("edges"))
+    return cut_lineage(cells), cut_lineage(lists)
+
+
+def _cell_hits(places: DataFrame, table: tuple[DataFrame, DataFrame], x: str, y: str) -> DataFrame:
+    """Places in polygons that were cut into cells."""
+    cells, lists = table
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    levels = sorted(r[0] for r in cells.select("cell.lv").distinct().collect())
+    # A place on the upper or right side of a cell is in the next one, whose edges include those on the common side.
+    own = [_cell(F.lit(v), F.floor(px / 2.0**v).cast("long"), F.floor(py / 2.0**v).cast("long")) for v in levels]
+    placed = places.select(x, y, F.explode(F.array(*own)).alias("__cell"))
+    found = placed.join(cells, F.col("__cell") == F.col("cell")).select(x, y, "layer_id", "cell", "inside", "n")
+    _, fx, fy = _corner(F.col("cell"))
+    edges = lists.select(F.col("layer_id").alias("__id"), F.col("cell").alias("__cell"), "edges")
+    met = found.where(F.col("n") > 0).join(edges, (F.col("layer_id") == F.col("__id")) & (F.col("cell") == F.col("__cell")))
+    toggles = F.size(F.filter("edges", lambda e: _crossed(e, fx, fy, px, py))) % 2
+    tested = met.select(x, y, "layer_id", "n", "inside", F.exists("edges", lambda e: _on(px, py, e)).alias("on"), toggles.alias("odd"))
+    whole = tested.where((F.col("n") <= CELL_EDGES) & (F.col("on") | ((F.col("odd") == 1) != F.col("inside"))))
+    # The few cells whose edges are in several rows.
+    parts = tested.where(F.col("n") > CELL_EDGES).groupBy(x, y, "layer_id", "inside").agg(F.bool_or("on").alias("on"), F.bit_xor("odd").alias("odd"))
+    parts = parts.where(F.col("on") | ((F.col("odd") == 1) != F.col("inside")))
+    return reduce(DataFrame.unionByName, [df.select(x, y, "layer_id") for df in (found.where("n = 0"), whole, parts)])
+
+
+def _point_hits(points: DataFrame, attributes: DataFrame, layer: DataFrame, x: str, y: str) -> DataFrame:
+    """Columns of points and attributes (by ``layer_id``) for every (point, polygon holding it)."""
+    hits = _place_hits(points, layer, x, y).select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col("layer_id").alias("__layer"))
+    found = points.join(hits, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")))
+    return found.join(attributes, F.col("__layer") == F.col("layer_id")).drop("__x", "__y", "__layer")
 
 
 def spatial_join(
@@ -172,20 +368,19 @@ def spatial_join(
     * points, layer, ``semi`` or ``anti``: points that lie in some polygon, or in none (by ``point_id``)
     * layer, boundary layer, ``semi``: polygons that touch or overlap a polygon of the boundary
 
-    Runs a small job that lists the grid levels of the layer.
+    Runs a small job for the grid levels of the layer; polygons of many edges are cut into stored cells first.  Places that are
+    null, NaN or infinite lie in no polygon.
     """
     left_is_layer, right_is_layer = "rings" in left.columns, "rings" in right.columns
     if left_is_layer and right_is_layer and how == "semi":
         return _touching(left, right)
     if left_is_layer and how == "semi":
-        hits = _point_hits(right.select(*xy).distinct(), left.select("layer_id", "rings", *BOX), *xy)
-        return lookup(left, hits.select("layer_id"), "layer_id", "left_semi")
+        return lookup(left, _place_hits(right, left, *xy).select("layer_id"), "layer_id", "left_semi")
     if right_is_layer and how == "inner":
-        return _point_hits(left, right, *xy).drop("rings", *BOX)
+        return _point_hits(left, right.drop("rings", *BOX), right, *xy)
     if right_is_layer and how in ("semi", "anti"):
         # Search distinct places, then keep the points whose place was found (or was not).
-        places = _point_hits(left.select(*xy).distinct(), right.select("layer_id", "rings", *BOX), *xy).select(*xy)
-        return lookup(left, places, list(xy), f"left_{how}")
+        return lookup(left, _place_hits(left, right, *xy).select(*xy), list(xy), f"left_{how}")
     raise ValueError(f"no {how} join of these sides")
 
 
@@ -202,8 +397,8 @@ def _touching(layer: DataFrame, boundary: DataFrame) -> DataFrame:
         (F.col("own") == F.greatest("a_lv", "b_lv")) & (F.col("b_own") == F.col("own"))
     )
     crossing = pairs.where(_edges_meet(F.col("a_e"), F.col("b_e"))).select(F.col("a_id").alias("layer_id"))
-    inside = _point_hits(_corners(layer, "__id"), boundary.select("layer_id", "rings", *BOX), "x", "y").select(F.col("__id").alias("layer_id"))
-    around = _point_hits(_corners(boundary, "__id"), layer.select("layer_id", "rings", *BOX), "x", "y").select("layer_id")
+    inside = _point_hits(_corners(layer, "__id"), boundary.select("layer_id"), boundary, "x", "y").select(F.col("__id").alias("layer_id"))
+    around = _place_hits(_corners(boundary, "__id"), layer, "x", "y").select("layer_id")
     return lookup(layer, crossing.unionByName(inside).unionByName(around).distinct(), "layer_id", "left_semi")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnbook.functions import dates, geo, numbers, text
-from tarnbook.operators import groups, joins, nearest, review, tidy
+from tarnbook.operators import groups, joins, nearest, polygons, review, tidy
 from tarnbook.operators.names import name_match, partial_names
 from tarnbook.operators.nearest import nearest_join
 from tarnbook.operators.points import as_points, crs_of, reproject
@@ -615,3 +615,50 @@ def test_shared_folder_comes_from_the_cluster():
     assert shared_folder(spark) == "hdfs://shared/set-by-the-job"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session(None, "spark://host:7077")[0])
+
+
+# --- polygons of many edges ---------------------------------------------------------------------------
+
+
+def _inside(rings, x, y):
+    odd = False
+    for r in rings:
+        for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1]):
+            side = (x2 - x1) * (y - y1) - (x - x1) * (y2 - y1)
+            if side == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return True
+            if (y1 > y) != (y2 > y) and (side > 0) == (y2 > y1):
+                odd = not odd
+    return odd
+
+
+def test_shapes_of_many_edges(spark):
+    """Cut into cells, with corners and edges on grid lines, holes, a spot where many edges meet, and far from the origin."""
+    draw = random.Random(1)
+
+    def coast(cx, cy, size, n, grid=0.0):
+        out = []
+        for k in range(n):
+            reach = size * (0.3 + 0.7 * draw.random())
+            p = cx + reach * math.cos(2 * math.pi * k / n), cy + reach * math.sin(2 * math.pi * k / n)
+            out.append(tuple(float(round(v / grid) * grid) for v in p) if grid else p)
+        return out
+
+    shapes = {i: [coast(draw.uniform(-50, 50), draw.uniform(-50, 50), 40, 200, (0, 1.0, 0.5)[i])] + ([coast(0, 0, 8, 90, 1.0)] if i else []) for i in range(3)}
+    shapes[3] = [[(float(k), 16.0 if k % 2 else 0.0) for k in range(129)] + [(128.0, -4.0), (0.0, -4.0)]]
+    shapes[4] = [[p for k in range(40) for p in ((0.0, 0.0), (20.0 + k, float(k)), (20.0 + k, k + 0.5))]]
+    shapes[5] = [coast(1e9, 1e9, 100, 150)]
+    shapes[6] = [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]]
+    shapes[7] = []
+    places = [(draw.uniform(-100, 130), draw.uniform(-100, 100)) for _ in range(600)] + [(float(draw.randint(-70, 130)), float(draw.randint(-60, 60))) for _ in range(600)]
+    places += [p for rings in shapes.values() for ring in rings for p in ring[:40]] + [(1e9 + draw.uniform(-90, 90), 1e9 + draw.uniform(-90, 90)) for _ in range(100)]
+    places += [(float("nan"), 1.0), (None, 2.0), (float("inf"), 0.0), places[0]]
+    rows = [(i, [[{"x": a, "y": b} for a, b in ring] for ring in rings]) for i, rings in shapes.items()]
+    layer = polygons.with_box(spark.createDataFrame(rows, f"layer_id long, rings {polygons.RING_TYPE}"))
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(places)], "pid long, x double, y double")
+    found = spatial_join(points, layer)
+    want = {(k, i) for k, (a, b) in enumerate(places) if a is not None and math.isfinite(a) for i, rings in shapes.items() if _inside(rings, a, b)}
+    assert {(r.pid, r.layer_id) for r in found.collect()} == want and found.count() == len(want)
+    cells, lists = polygons.cell_table(layer.where("layer_id IN (0, 4)"))
+    longest = lists.groupBy("layer_id").agg(F.max(F.size("edges")).alias("n"))
+    assert all(r.n <= 2 * polygons.CELL_EDGES for r in longest.collect())  # no row holds a whole shape
