@@ -10,7 +10,8 @@ from tarnbook.session import cut_lineage, tune
 
 LEAST_SCORE = 0.5
 SHINGLE_WORDS = 3
-NEAR_BITS = 7
+NEAR_BITS = 3
+PASSAGE_BYTES = 240  # under 50 words of prose
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,20 +22,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates; of rows that share an id the smallest text; all rows without an id."""
-    found = simhash.near_duplicates(docs, width=SHINGLE_WORDS, budget=NEAR_BITS)
-    ids = found.where("doc_id is not null")
-    keep = cut_lineage(ids.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("doc_id = component_id"))
-    kept = docs.join(keep.select(F.col("doc_id").alias("__id"), F.col("rows").alias("__rows")), docs["doc_id"] == F.col("__id"))
-    if not keep.where("rows > 1").isEmpty():
-        again = kept.where("__rows > 1").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", "lang", "source")).alias("row")).select("row.*")
+    """Keeps one document of each group of near duplicates, the one with the smallest id; all rows without an id.
+
+    Rows that share an id are told apart by their texts: those with other texts are documents of their own, of equal ones one
+    row stays.
+    """
+    keyed = docs.where("doc_id is not null").select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("thash")).alias("__key"), "text")
+    found = simhash.near_duplicates(keyed, id_col="__key", width=SHINGLE_WORDS, budget=NEAR_BITS)
+    keep = cut_lineage(found.groupBy("__key").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("rows")).where(F.col("__key") == F.col("first")))
+    keep = keep.select(F.col("__key.doc_id").alias("__id"), F.col("__key.thash").alias("__thash"), F.col("rows").alias("__rows"))
+    kept = docs.join(keep, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__thash")))
+    if not keep.where("__rows > 1").isEmpty():
+        again = kept.where("__rows > 1").groupBy("__id", "__thash").agg(F.min_by(F.struct(*docs.columns), F.struct("text", "lang", "source")).alias("row")).select("row.*")
         kept = kept.where("__rows = 1").select(*docs.columns).unionByName(again)
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes later copies of passages of 400 bytes or more; documents of which no word is left go."""
-    kept = suffix.kept_texts(suffix.duplicate_spans(docs, keep="first"))
+    """Removes later copies of passages of ``PASSAGE_BYTES`` or more; documents of which no word is left go.  An empty table stays empty."""
+    kept = suffix.kept_texts(suffix.duplicate_spans(docs, width=PASSAGE_BYTES, keep="first"), PASSAGE_BYTES)
     columns = [F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in docs.columns]
     return kept.where(mixing.word_count("text") > 0).select(*columns)
 
