@@ -21,14 +21,18 @@ SITE_SQL = ", ".join(SITE)
 SAME_SITE = " AND ".join(f"{{a}}.{c} IS NOT DISTINCT FROM {{b}}.{c}" for c in SITE)
 
 
-def _all_detections(t, second):
-    return with_records(catches(t), second, SITE_COLUMNS)
+def _all_detections(rows, second):
+    return with_records(rows, second, SITE_COLUMNS)
 
 
-def _master(t, second):
-    master = site_master(
-        _all_detections(t, second), sites(t), catches(t), second, SITE, XY, MORPHOLOGY, FOCAL, "v3", DATABASES
-    )
+def _stored(t):
+    """Visits and catches, put together once; each of several uses then reads its own columns."""
+    return cut_lineage(sites(t)), cut_lineage(catches(t))
+
+
+def _master(t, second, stored=None):
+    visits, rows = stored or _stored(t)
+    master = site_master(_all_detections(rows, second), visits, rows, second, SITE, XY, MORPHOLOGY, FOCAL, "v3", DATABASES)
     return master.withColumns({c: F.round(c, 6) for c in XY})
 
 
@@ -90,9 +94,10 @@ UNION ALL SELECT {SITE_SQL}, watershed_code, species_name, year, database, NULL,
 )
 def _(t):
     second = cut_lineage(ready(t))
-    visits = sites(t).withColumnRenamed("surface_area_ha", "visit_area_ha")
-    enriched = enrich_catches(catches(t).drop(*XY), visits, SITE_COLUMNS, cols=("visit_area_ha",))
-    listed = community_list(enriched, _master(t, second), second.drop(*XY), SITE)
+    stored = _stored(t)
+    visits = stored[0].withColumnRenamed("surface_area_ha", "visit_area_ha")
+    enriched = enrich_catches(stored[1].drop(*XY), visits, SITE_COLUMNS, cols=("visit_area_ha",))
+    listed = community_list(enriched, cut_lineage(_master(t, second, stored)), second.drop(*XY), SITE)
     return listed.withColumn("date", F.col("date").cast("string")).select(*_COMMUNITY.split(", "))
 
 
@@ -129,8 +134,9 @@ LEFT JOIN ws ON g.primary_watershed = ws.primary_watershed LEFT JOIN counties c
 def _(t):
     found = match(records(t), targets(t), "name_all", XY, SITE_COLUMNS)
     matched = cut_lineage(matched_detections(found, "records", SITE_COLUMNS))
-    status = site_status(_all_detections(t, matched), SITE, "primary_watershed", "species_name", "year", FOCAL, "v2")
-    yearly = site_species_year(catches(t), matched, sites(t), status, SITE, XY, FOCAL, "v2")
+    visits, rows = _stored(t)
+    status = site_status(_all_detections(rows, matched), SITE, "primary_watershed", "species_name", "year", FOCAL, "v2")
+    yearly = site_species_year(rows, matched, visits, status, SITE, XY, FOCAL, "v2")
     return yearly.select(*_YEARLY.split(", "))
 
 
@@ -169,7 +175,8 @@ _MAP_KEYS = ["county", "name", "site_code", "primary_watershed"]
 
 
 def _shown(t):
-    return _master(t, cut_lineage(ready(t))).withColumns({c: F.round(c, 2) for c in XY})
+    # The finished master is stored, as a job would find it.
+    return cut_lineage(_master(t, cut_lineage(ready(t))).withColumns({c: F.round(c, 2) for c in XY}))
 
 
 @query("nested_export", f"{KML_SQL} SELECT * FROM document")

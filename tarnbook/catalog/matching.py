@@ -9,7 +9,7 @@ from tarnbook.catalog.registry import Tables, query
 from tarnbook.catalog.roles import FOCAL, RECORDS_SQL, SITE_COLUMNS, SITES_SQL, records, sites
 from tarnbook.operators.names import name_match
 from tarnbook.operators.nearest import nearest_join
-from tarnbook.operators.review import review_queue
+from tarnbook.operators.review import relink_orphans, review_queue
 from tarnbook.plans.match import dedupe_records, left_unmatched, match, prepare_records, resolve_identity, settle_matches
 from tarnbook.session import cut_lineage
 
@@ -33,15 +33,16 @@ def wrong_pairs(matched: DataFrame) -> DataFrame:
 
 
 def decisions(t: Tables) -> DataFrame:
-    """A person's decisions: two in five are matches, two are not, one is open; some ids are unknown."""
+    """The log of a person's decisions: two in five are matches, two are not, one is open; some ids are unknown."""
     key = F.col("s_suppkey")
     made = t.supplier.where(key % 5 != 0).select(
         (key * 2).alias("record_id"), F.lit("manual").alias("match_decision"),
-        F.when(key % 5 < 3, "match").otherwise("not_a_match").alias("match_status_confirmed"),
+        F.when(key % 5 < 3, "match").otherwise("not_a_match").alias("match_status_confirmed"), F.lit("2026-03-20").cast("date").alias("decided_at"),
     )
-    # Every fourth case was looked at twice, with two minds; the later decision counts.
-    again = made.where(F.col("record_id") % 4 == 2).withColumn("match_status_confirmed", F.lit("not_a_match"))
-    return made.unionByName(again)
+    # Every other case was looked at twice, with two minds; the later decision counts, whichever it is.
+    other = F.when(F.col("match_status_confirmed") == "match", "not_a_match").otherwise("match")
+    again = made.where(F.col("record_id") % 4 == 2).withColumns({"match_status_confirmed": other, "decided_at": F.date_add("decided_at", 1)})
+    return again.unionByName(made)
 
 
 def decided(t: Tables) -> DataFrame:
@@ -63,7 +64,7 @@ banded AS (SELECT *, CASE WHEN distance_m <= 200 AND county_match = 'same' THEN
 
 DECIDED_CTES = BAND_CTES + """,
 wrong AS (SELECT DISTINCT name AS wrong_name, site_name AS wrong_site FROM banded WHERE match_status = 'confident' AND record_id % 4 = 1),
-person AS (SELECT s_suppkey * 2 AS id, 'manual' AS d, CASE WHEN s_suppkey % 5 < 3 AND s_suppkey * 2 % 4 <> 2 THEN 'match' ELSE 'not_a_match' END AS c FROM supplier WHERE s_suppkey % 5 <> 0),
+person AS (SELECT s_suppkey * 2 AS id, 'manual' AS d, CASE WHEN (s_suppkey % 5 < 3) <> (s_suppkey * 2 % 4 = 2) THEN 'match' ELSE 'not_a_match' END AS c FROM supplier WHERE s_suppkey % 5 <> 0),
 overridden AS (SELECT b.*, wrong_name IS NOT NULL AS hit FROM banded b LEFT JOIN wrong ON name = wrong_name AND site_name = wrong_site AND match_status = 'confident'),
 decided AS (SELECT record_id, species_name, name, county, year, x, y, distance_m, county_match,
   CASE WHEN NOT hit THEN site_id END AS site_id, CASE WHEN NOT hit THEN site_county END AS site_county, CASE WHEN NOT hit THEN site_code END AS site_code,
@@ -111,6 +112,18 @@ def _(t):
     return near.select("site_id", "record_id", F.round("distance_m", 6).alias("distance_m"))
 
 
+@query(
+    "nearest_k",
+    f"""WITH sites AS ({SITES_SQL}), records AS ({RECORDS_SQL})
+SELECT record_id, site_id, CAST(nearest_rank AS INT) AS nearest_rank, round(distance_m, 6) AS distance_m FROM
+(SELECT record_id, site_id, sqrt((r.x - s.x) * (r.x - s.x) + (r.y - s.y) * (r.y - s.y)) AS distance_m,
+  row_number() OVER (PARTITION BY record_id ORDER BY distance_m, site_id) AS nearest_rank FROM records r CROSS JOIN sites s) WHERE nearest_rank <= 5""",
+)
+def _(t):
+    near = nearest_join(records(t).select("record_id", *XY), sites(t).select("site_id", *XY), "site_id", k=5)
+    return near.select("record_id", "site_id", "nearest_rank", F.round("distance_m", 6).alias("distance_m"))
+
+
 @query("match_bands", BAND_CTES + " SELECT record_id, county, site_county, site_name, round(distance_m, 6) AS distance_m, county_match, match_status FROM banded")
 def _(t):
     return banded(t).select("record_id", "county", "site_county", "site_name", F.round("distance_m", 6).alias("distance_m"), "county_match", "match_status")
@@ -135,6 +148,15 @@ def _(t):
     return decided(t).select(*_DECIDED.split(", "))
 
 
+@query("decisions_relinked", f"SELECT record_id, name, true AS relinked FROM ({RECORDS_SQL}) WHERE record_id % 3 <> 0")
+def _(t):
+    # Two thirds of the records got another id since they were decided on.
+    now = records(t).select("record_id", "name", "species_name")
+    key = F.col("record_id")
+    before = now.withColumns({"record_id": F.when(key % 3 == 0, key).otherwise(key + 1_000_000_000), "match_status_confirmed": F.lit("match")})
+    return relink_orphans(now, before, ["name", "species_name"]).select("record_id", "name", "relinked")
+
+
 _READY = "county, site_code, name, primary_watershed, watershed_code, species_name, year, database, record_id"
 
 

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from tarnbook.catalog.registry import query
 from tarnbook.catalog.roles import CATCHES_SQL, FOCAL, SITE, SITES_SQL, catches, sites
 from tarnbook.functions.numbers import decade_label
-from tarnbook.operators.groups import distinct_count
+from tarnbook.operators.groups import RICHNESS_ERROR, distinct_count, group_richness, merged_richness, richness_sketches
+from tarnbook.operators.joins import left_lookup
 from tarnbook.plans.layers import first_detection, richness_breaks, richness_layer, shortlist
 from tarnbook.plans.status import (
     area_first,
+    area_levels,
     area_status,
     enrich_catches,
     site_status,
     status_crosstab,
     with_status,
 )
+from tarnbook.session import cut_lineage
 
 A, B = FOCAL.a, FOCAL.b
 SITE_SQL = ", ".join(SITE)
@@ -115,6 +118,18 @@ def _(t):
     return area_status(statuses(t, "v1"), "primary_watershed", "map", FOCAL, "ws_status")
 
 
+def _level_sql(level: str, key: str) -> str:
+    one = "(SELECT *, NULL::VARCHAR AS every FROM status)"
+    rolled = area_sql(key, "area_status").replace("FROM status", f"FROM {one}")
+    return f"""SELECT '{level}' AS level, a.{key} AS area, area_status, n_sites FROM ({rolled}) a
+  JOIN (SELECT {key} AS k, count(*) AS n_sites FROM {one} GROUP BY 1) n ON a.{key} IS NOT DISTINCT FROM n.k"""
+
+
+@query("status_levels", status_ctes("v3") + " UNION ALL ".join(_level_sql(*l) for l in (("watershed", "primary_watershed"), ("county", "county"), ("province", "every"))))
+def _(t):
+    return area_levels(statuses(t, "v3"), {"watershed": "primary_watershed", "county": "county"}, "v3", FOCAL)
+
+
 _STATUS_COUNTS = ", ".join(
     f"count(*) FILTER (site_status = '{label}') AS \"{label}\"" for label in FOCAL.labels("v3")
 )
@@ -152,7 +167,7 @@ def _(t):
     f"""WITH d AS (SELECT * FROM ({CATCHES_SQL}) WHERE species_name IN ('{A}', '{B}')),
 f AS (SELECT name, site_code, species_name, min(year) AS first_year FROM d GROUP BY ALL),
 g AS (SELECT *, CAST(floor(first_year / 2) * 2 AS INT) AS decade_of_first, dense_rank() OVER (ORDER BY floor(first_year / 2)) AS decade_rank FROM f)
-SELECT d.name, d.site_code, d.species_name, d.captured_date_raw, d.year, first_year, decade_of_first, decade_rank
+SELECT d.name, d.site_code, d.species_name, d.captured_date_raw, d.year, CAST(floor(d.year / 2) * 2 AS INT) AS decade, first_year, decade_of_first, decade_rank
 FROM d JOIN g ON d.name = g.name AND d.site_code = g.site_code AND d.species_name = g.species_name""",
 )
 def _(t):
@@ -175,6 +190,25 @@ def _(t):
     return richness(t)
 
 
+@query(
+    "richness_sketched",
+    f"""SELECT 'watershed' AS level, primary_watershed AS area, count(DISTINCT species_name) AS unique_species_count, true AS within FROM ({CATCHES_SQL}) GROUP BY 2
+UNION ALL SELECT 'county', county, count(DISTINCT species_name), true FROM ({CATCHES_SQL}) GROUP BY 2""",
+)
+def _(t):
+    # Sketches of sites are stored; areas are put together from them, and held against exact counts.
+    rows = detections(t)
+    stored = cut_lineage(richness_sketches(rows, SITE, "species_name"))
+    levels = []
+    for level, key in (("watershed", "primary_watershed"), ("county", "county")):
+        about = merged_richness(stored, [key], name="about")
+        exact = group_richness(rows, [key], "species_name", "unique_species_count")
+        both = left_lookup(exact, about, key)
+        off = F.abs(F.col("about") - F.col("unique_species_count")) <= F.ceil(F.col("unique_species_count") * RICHNESS_ERROR)
+        levels.append(both.select(F.lit(level).alias("level"), F.col(key).alias("area"), "unique_species_count", off.alias("within")))
+    return levels[0].unionByName(levels[1])
+
+
 @query(
     "richness_breaks",
     f"SELECT unnest(range(0, max(unique_species_count) + 1, 3))::INT AS break FROM ({RICHNESS_SQL})",

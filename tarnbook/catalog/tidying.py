@@ -397,6 +397,18 @@ def _(t):
     return read_table(t.spark, path, "key long, name string, segment string, balance double")
 
 
+_QUOTED_SQL = """c_name || ', \"' || c_mktsegment || '\"' || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'second; line ' ELSE '' END"""
+
+
+@query("delimited_quoted", f"SELECT c_custkey AS key, {_QUOTED_SQL} AS comment, ' ' || c_name AS name, CAST(c_acctbal AS DOUBLE) AS balance, CAST(NULL AS VARCHAR) AS malformed FROM customer")
+def _(t):
+    second = F.when(F.col("c_custkey") % 2 == 0, "\nsecond; line ").otherwise("")
+    comment = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"'), second)
+    path = scratch_path(t.spark, "delimited")
+    write_table(t.customer.select(F.col("c_custkey").alias("key"), comment.alias("comment"), F.concat(F.lit(" "), "c_name").alias("name"), F.col("c_acctbal").alias("balance")), path)
+    return read_table(t.spark, path, "key long, comment string, name string, balance double", multi_line=True, malformed="malformed")
+
+
 @query(
     "delimited_by_header",
     """SELECT c_custkey AS site_code, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name, c_mktsegment AS county, c_acctbal AS surface_area_ha FROM customer""",

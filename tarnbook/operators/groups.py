@@ -6,7 +6,8 @@ row order of their own.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,24 @@ def group_richness(df: DataFrame, keys: Sequence[str], category: str, name: str
     return pairs.groupBy(*keys).agg(F.count(category).alias(name))
 
 
+SKETCH_BITS = 12
+#: Three standard errors of a merged sketch of 2^12 registers.
+RICHNESS_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def richness_sketches(df: DataFrame, keys: Sequence[str], category: str, name: str = "sketch") -> DataFrame:
+    """A small mergeable summary of each group's categories, nulls not counted; to be stored and merged later.
+
+    A group of any size, however uneven, is one summary of a few kilobytes per task before the shuffle.
+    """
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(category, SKETCH_BITS).alias(name))
+
+
+def merged_richness(sketches: DataFrame, keys: Sequence[str], sketch: str = "sketch", name: str = "richness") -> DataFrame:
+    """About how many categories larger groups have, from stored summaries of their parts; off by ``RICHNESS_ERROR`` at most, as a rule."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg(sketch)).alias(name))
+
+
 def first_last(df: DataFrame, keys: Sequence[str], year: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(year).alias("first_year"), F.max(year).alias("last_year"))
 
@@ -66,9 +85,6 @@ def top_row(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]
     return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 
-one_row = top_row
-
-
 def top_n(df: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
     """The first ``n`` rows in an order that should end in a unique column; each task passes on no more than ``n``."""
     return df.orderBy(*[_column(c) for c in order_by]).limit(n)
@@ -97,8 +113,9 @@ def column_profile(df: DataFrame, cols: Sequence[str], quantiles: Sequence[float
     """One row per numeric column: rows, nulls, minimum, mean, maximum and, if asked for, quantiles.
 
     All columns are profiled in one pass.  Quantiles are Spark's approximate ones, which need a bounded summary per task;
-    ``exact`` ones are interpolated and need the counts of all distinct values.
+    ``exact`` ones are interpolated between the values of two ranks, found by :func:`values_at` in a few more passes.
     """
+    exact_ones = exact_quantiles(df, cols, quantiles) if exact and quantiles else {}
     stats = []
     for c in cols:
         v = F.col(c).cast("double")
@@ -110,12 +127,94 @@ def column_profile(df: DataFrame, cols: Sequence[str], quantiles: Sequence[float
                 F.min(v).alias("minimum"),
                 F.avg(v).alias("mean"),
                 F.max(v).alias("maximum"),
-                *[(F.percentile(v, q) if exact else F.percentile_approx(v, q, 10000)).alias(f"q{round(q * 100)}") for q in quantiles],
+                *[(F.lit(exact_ones[c, q]).cast("double") if exact else F.percentile_approx(v, q, 10000)).alias(f"q{round(q * 100)}") for q in quantiles],
             )
         )
     return df.agg(F.array(*stats).alias("stats")).select(F.inline("stats"))
 
 
+FEW_VALUES = 10_000
+_ACCURACY = 10_000
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], quantiles: Sequence[float]) -> dict[tuple[str, float], float | None]:
+    """The quantiles of numeric columns, interpolated between the two values around them; None for a column without values.
+
+    No task and no row ever holds more than :data:`FEW_VALUES` values of a column, whatever their number and however often they
+    repeat.
+    """
+    sizes = df.agg(*[F.count(F.col(c).cast("double")).alias(str(k)) for k, c in enumerate(cols)]).first()
+    places = {(c, q): (sizes[k] - 1) * q for k, c in enumerate(cols) for q in quantiles if sizes[k]}
+    wanted = {(c, rank) for (c, _), place in places.items() for rank in (math.floor(place), math.ceil(place))}
+    found = values_at(df, wanted, dict(zip(cols, sizes)))
+    out: dict[tuple[str, float], float | None] = {(c, q): None for c in cols for q in quantiles}
+    for (c, q), place in places.items():
+        low, high = math.floor(place), math.ceil(place)
+        out[c, q] = found[c, low] if low == high else (high - place) * found[c, low] + (place - low) * found[c, high]
+    return out
+
+
+def values_at(df: DataFrame, wanted: Iterable[tuple[str, int]], sizes: Mapping[str, int]) -> dict[tuple[str, int], float]:
+    """The value at each wanted rank (column, rank from 0) in ascending order, NaN last.
+
+    Distributed selection: each rank lies in an open interval of which it is known how many values are below.  A round takes two values
+    close to the rank on either side from a bounded sketch of the interval, and counts what is below, on and between them; the
+    rank then is one of them or lies in a smaller interval.  All ranks of all columns share the passes.  Intervals of few
+    values are read out.
+    """
+    # column, rank -> values up to the interval, values in it, its ends (None: open to that side)
+    todo = {w: (0, sizes[w[0]], None, None) for w in wanted}
+    done: dict[tuple[str, int], float] = {}
+
+    def inside(c: str, low: float | None, high: float | None) -> Column:
+        v = F.col(c).cast("double")
+        kept = v.isNotNull()
+        if low is not None:
+            kept = kept & (v > F.lit(low))
+        return kept if high is None else kept & (v < F.lit(high))
+
+    while todo:
+        few = {w: t for w, t in todo.items() if t[1] <= FEW_VALUES}
+        many = {w: t for w, t in todo.items() if w not in few}
+        if few:
+            keys = list(few)
+            ends = list({(w[0], *few[w][2:]) for w in keys})
+            row = df.agg(*[F.sort_array(F.collect_list(F.when(inside(*e), F.col(e[0]).cast("double")))).alias(str(k)) for k, e in enumerate(ends)]).first()
+            for w in keys:
+                done[w] = row[ends.index((w[0], *few[w][2:]))][w[1] - few[w][0]]
+        if not many:
+            break
+        keys = list(many)
+        sketches = []
+        for k, (c, rank) in enumerate(keys):
+            below, n, low, high = many[c, rank]
+            place, wide = (rank - below) / n, 2 / _ACCURACY
+            v = F.when(inside(c, low, high), F.col(c).cast("double"))
+            sketches.append(F.percentile_approx(v, [max(0.0, place - wide), min(1.0, place + wide)], _ACCURACY).alias(str(k)))
+        guesses = df.agg(*sketches).first()
+        counts = []
+        for k, (c, rank) in enumerate(keys):
+            v, (a, b), within = F.col(c).cast("double"), guesses[k], inside(c, *many[c, rank][2:])
+            counts += [F.count_if(within & (v < F.lit(a))).alias(f"{k}_0"), F.count_if(within & (v == F.lit(a))).alias(f"{k}_1"), F.count_if(within & (v > F.lit(a)) & (v < F.lit(b))).alias(f"{k}_2")]
+            counts.append(F.count_if(within & (v == F.lit(b)) & (v > F.lit(a))).alias(f"{k}_3"))
+        row = df.agg(*counts).first()
+        todo = {}
+        for k, w in enumerate(keys):
+            (below, n, low, high), (a, b) = many[w], guesses[k]
+            under, on_a, between, on_b = (row[f"{k}_{i}"] for i in range(4))
+            steps = ((under, low, a, None), (on_a, a, a, a), (between, a, b, None), (on_b, b, b, b), (n - under - on_a - between - on_b, b, high, None))
+            at = below
+            for size, start, end, value in steps:
+                if w[1] < at + size:
+                    if value is not None:
+                        done[w] = value
+                    else:
+                        todo[w] = (at, size, start, end)
+                    break
+                at += size
+    return done
+
+
 def duplicate_groups(df: DataFrame, keys: Sequence[str], name: str = "n_rows") -> DataFrame:
     """Rows of every group that has more than one, with the size of the group."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)

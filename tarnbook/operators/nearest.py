@@ -35,25 +35,30 @@ def nearest_join(
     max_distance_m: float | None = None,
     distance_col: str = "distance_m",
     how: str = "left",
+    k: int = 1,
+    rank_col: str = "nearest_rank",
 ) -> DataFrame:
     """Columns of ``points``, the distance, and the columns of the nearest site (without coordinates).
 
     ``site_id`` is unique; the lowest one wins a tie.  With ``max_distance_m`` (inclusive) sites beyond it do
     not count.  Points without a site, or without coordinates, keep nulls (``how="left"``) or go
-    (``how="inner"``).  Runs jobs on the sites that size and store the grid.
+    (``how="inner"``).  With ``k`` over 1 a point has a row for each of its ``k`` nearest sites (all, if there are fewer), numbered
+    in ``rank_col``.  Runs jobs on the sites that size and store the grid.
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     site_xy = site_xy or xy
     payload = sites.drop(*site_xy)
-    clash = sorted(set(payload.columns) & set(points.columns))
+    clash = sorted((set(payload.columns) | ({rank_col} if k > 1 else set())) & set(points.columns))
     if clash:
         raise ValueError(f"both sides have {clash}")
 
     px, py = (F.col(c).cast("double") for c in xy)
-    hits = nearest_sites(
-        points.select(px.alias("px"), py.alias("py")),
-        sites.select(F.col(site_xy[0]).alias("x"), F.col(site_xy[1]).alias("y"), F.col(site_id).alias("site")),
-        max_distance_m,
-    ).select(F.col("px").alias("__x"), F.col("py").alias("__y"), F.col("site").alias("__site"), F.col("distance").alias(distance_col))
+    places = points.select(px.alias("px"), py.alias("py"))
+    named = sites.select(F.col(site_xy[0]).alias("x"), F.col(site_xy[1]).alias("y"), F.col(site_id).alias("site"))
+    hits = nearest_sites(places, named, max_distance_m) if k == 1 else k_nearest_sites(places, named, k, max_distance_m)
+    ranks = [F.col("rank").alias(rank_col)] if k > 1 else []
+    hits = hits.select(F.col("px").alias("__x"), F.col("py").alias("__y"), F.col("site").alias("__site"), F.col("distance").alias(distance_col), *ranks)
     located = points.join(hits, (px == F.col("__x")) & (py == F.col("__y")), how).drop("__x", "__y")
     if payload.columns == [site_id]:
         return located.withColumnRenamed("__site", site_id)
@@ -63,17 +68,8 @@ def nearest_join(
 
 def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | None = None) -> DataFrame:
     """(px, py, site, distance) for the distinct coordinates of ``points`` (px, py)."""
-    targets = cut_lineage(
-        sites.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "site")
-        .dropna()
-        .where(F.greatest(F.abs("x"), F.abs("y")) < float("inf"))
-        .groupBy("x", "y")
-        .agg(F.min("site").alias("site"))
-    )
-    box = targets.agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("x"), F.min("y").alias("y"),
-        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"),
-    ).first()
+    targets = cut_lineage(_real(sites).groupBy("x", "y").agg(F.min("site").alias("site")))
+    box = _extent(targets)
     probes = points.dropna().distinct()
     if box.n == 0:
         return probes.limit(0).select("px", "py", F.lit(None).alias("site"), F.lit(0.0).alias("distance"))
@@ -113,6 +109,67 @@ def nearest_sites(points: DataFrame, sites: DataFrame, max_distance: float | Non
     return best.select("px", "py", "best.site", "best.distance")
 
 
+def _real(sites: DataFrame) -> DataFrame:
+    """Sites with an id and finite coordinates."""
+    rows = sites.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "site").dropna()
+    return rows.where(F.greatest(F.abs("x"), F.abs("y")) < float("inf"))
+
+
+def _extent(targets: DataFrame):
+    return targets.agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("x"), F.min("y").alias("y"),
+        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"),
+    ).first()
+
+
+def k_nearest_sites(points: DataFrame, sites: DataFrame, k: int, max_distance: float | None = None) -> DataFrame:
+    """(px, py, rank, site, distance) of the ``k`` nearest sites of the distinct coordinates of ``points`` (px, py).
+
+    The tree is descended as for one site.  A cell's number of places, all of them no farther than its far corner, bounds the
+    k-th distance: of the cells a point still considers, taken by their far corners, the first that bring the number to ``k``.
+    Sites that share a place are searched once; of each place the ``k`` lowest ids are kept.
+    """
+    lowest = Window.partitionBy("x", "y").orderBy("site")
+    ranked = _real(sites).distinct().withColumn("rank", F.row_number().over(lowest)).where(F.col("rank") <= k)
+    targets = cut_lineage(ranked.groupBy("x", "y").agg(F.min("site").alias("site"), F.sort_array(F.collect_list("site")).alias("ids")))
+    box = _extent(targets)
+    probes = points.dropna().distinct()
+    kind = targets.schema["site"].dataType
+    if box.n == 0:
+        return probes.limit(0).select("px", "py", F.lit(0).alias("rank"), F.lit(None).cast(kind).alias("site"), F.lit(0.0).alias("distance"))
+    tree = _tree(targets.drop("ids"), box)
+    beyond = F.lit(float("inf") if max_distance is None else float(max_distance))
+    everything = F.pmod(F.xxhash64("px"), F.lit(1))
+    none = F.lit(None).cast("double")
+    found = probes.select(
+        "px", "py", everything.alias("cell"), F.lit(2).cast("long").alias("n"), F.lit(0.0).alias("gap"), F.lit(float("inf")).alias("far"), none.alias("sx"), none.alias("sy")
+    )
+    by_far = Window.partitionBy("px", "py").orderBy("far", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_point = Window.partitionBy("px", "py")
+    for cells, n_cells in tree.levels:
+        cells = F.broadcast(cells) if n_cells <= BROADCAST_ROWS else cells.hint("merge")
+        step = found.join(cells, F.expr("cell = c_parent AND n > 1"), "left").selectExpr(
+            "px", "py",
+            "coalesce(c_cell, cell) AS cell",
+            "coalesce(c_n, n) AS n",
+            f"if(c_n IS NULL, gap, {_distance('greatest(c_xmin - px, px - c_xmax, 0D)', 'greatest(c_ymin - py, py - c_ymax, 0D)')}) AS gap",
+            f"if(c_n IS NULL, far, {_distance('greatest(abs(px - c_xmin), abs(px - c_xmax))', 'greatest(abs(py - c_ymin), abs(py - c_ymax))')}) AS far",
+            "coalesce(c_x, sx) AS sx", "coalesce(c_y, sy) AS sy",
+        )
+        step = step.withColumn("upto", F.sum("n").over(by_far))
+        reached = F.min(F.when(F.col("upto") >= k, F.col("far"))).over(per_point)
+        found = step.withColumn("bound", F.least(F.coalesce(reached, F.lit(float("inf"))), beyond)).where("gap <= bound").drop("bound", "upto")
+    last = tree.leaves.selectExpr("leaf AS t_cell", "x AS t_x", "y AS t_y")
+    last = F.broadcast(last) if box.n <= BROADCAST_ROWS else last.hint("merge")
+    places = found.join(last, F.expr("cell = t_cell AND n > 1"), "left").selectExpr("px", "py", "coalesce(t_x, sx) AS x", "coalesce(t_y, sy) AS y")
+    measured = places.selectExpr("px", "py", "x", "y", f"{_distance('x - px', 'y - py')} AS distance").where(F.col("distance") <= beyond)
+    # At most k places count, so no more of them get their ids.
+    near = measured.withColumn("place", F.rank().over(per_point.orderBy("distance"))).where(F.col("place") <= k)
+    pairs = near.join(targets.select(F.col("x").alias("t_x"), F.col("y").alias("t_y"), "ids"), F.expr("x = t_x AND y = t_y")).select("px", "py", "distance", F.explode("ids").alias("site"))
+    order = per_point.orderBy("distance", "site")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("px", "py", "rank", "site", "distance")
+
+
 def _distance(dx: str, dy: str) -> str:
     return f"sqrt(({dx}) * ({dx}) + ({dy}) * ({dy}))"
 

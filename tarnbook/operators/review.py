@@ -31,18 +31,56 @@ def review_queue(df: DataFrame, band: str = "match_status") -> DataFrame:
 DECISION = ("match_decision", "match_status_confirmed")
 
 
-def apply_decisions(df: DataFrame, decisions: DataFrame, record_id: str = "record_id", order_by: Sequence[str] = DECISION) -> DataFrame:
+DECIDED_AT = "decided_at"
+
+
+def decisions_as_of(log: DataFrame, record_id: str = "record_id", order_by: Sequence[str] | None = None, time: str = DECIDED_AT, as_of=None) -> DataFrame:
+    """One decision per record from a log of them: the last one, or the last one up to the time ``as_of``.
+
+    The order is ``order_by``, or the log's column ``time`` and, among decisions of one time, the other columns.  A log without
+    either must not hold different decisions for one record.
+    """
+    if as_of is not None:
+        log = log.where(F.col(time) <= F.lit(as_of))
+    cols = list(DECISION)
+    if order_by is None and time not in log.columns:
+        several = log.select(record_id, *cols).distinct().groupBy(record_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if not several.isEmpty():
+            raise ValueError(f"records with several decisions need an order: give order_by, or a column {time}")
+    order = list(order_by) if order_by is not None else [c for c in (time, *cols) if c in log.columns]
+    # A null time is before all others.
+    rest = [c for c in log.columns if c != record_id]
+    made = log.groupBy(record_id).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__made"))
+    return made.select(record_id, "__made.*")
+
+
+def apply_decisions(df: DataFrame, decisions: DataFrame, record_id: str = "record_id", order_by: Sequence[str] | None = None, time: str = DECIDED_AT, as_of=None) -> DataFrame:
     """Enter decisions by record id; decisions for unknown records are ignored, undecided cases stay.
 
-    Of several decisions for one record the last one in the order of ``order_by`` counts (a time of decision, say).
+    Of several decisions for one record the last one counts, as in :func:`decisions_as_of`.
     """
     cols = list(DECISION)
-    made = decisions.groupBy(record_id).agg(F.max_by(F.struct(*cols), F.struct(*order_by)).alias("__made"))
-    made = made.select(record_id, *[F.col(f"__made.{c}").alias(f"__{c}") for c in cols])
+    made = decisions_as_of(decisions, record_id, order_by, time, as_of).select(record_id, *[F.col(c).alias(f"__{c}") for c in cols])
     joined = left_lookup(df, made, record_id)
     return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in cols}).drop(*[f"__{c}" for c in cols])
 
 
+def relink_orphans(df: DataFrame, decisions: DataFrame, by: Sequence[str], record_id: str = "record_id") -> DataFrame:
+    """Decisions whose record changed its id, entered under the id of the record that is like it in the columns ``by``.
+
+    Record ids are made from content, so a record whose comment was mended has a new one.  An orphan is linked if exactly one record
+    without a decision of its own is like it, and if no other orphan record is; the others come back as they are, with
+    ``relinked`` false.  Nulls in ``by`` are alike.
+    """
+    orphans = orphan_decisions(df, decisions, record_id)
+    free = lookup(df, decisions.select(record_id).distinct(), record_id, "left_anti").select(record_id, *by).distinct()
+    one = free.groupBy(*by).agg(F.min(record_id).alias("__new"), F.count(F.lit(1)).alias("__n")).where("__n = 1").drop("__n")
+    alike = orphans.select(record_id, *by).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("__m")).where("__m = 1").drop("__m")
+    known = left_lookup(left_lookup(orphans, one, list(by)), alike.withColumn("__single", F.lit(True)), list(by))
+    found = F.col("__new").isNotNull() & F.coalesce("__single", F.lit(False))
+    return known.withColumn(record_id, F.when(found, F.col("__new")).otherwise(F.col(record_id))).withColumn("relinked", found).drop("__new", "__single")
+
+
 def orphan_decisions(df: DataFrame, decisions: DataFrame, record_id: str = "record_id") -> DataFrame:
     """Decisions whose record is not there (any more); their number belongs in the report of a job."""
     return lookup(decisions, df, record_id, "left_anti")

@@ -87,13 +87,14 @@ def first_detection(
     df: DataFrame, site: Sequence[str], species: str, date: str, focal: Sequence[str] = (WATCHED.a, WATCHED.b),
     fmt: str = "d-MMM-yy", bucket: int = 10,
 ) -> DataFrame:
-    """Every detection of a watched species with the first year at its site, and that year's decade in order.
+    """Every detection of a watched species with its own decade, the first year at its site, and that year's decade in order.
 
     ``date`` is a text to parse, or a date.  ``bucket`` is the width of a "decade" in years.
     """
     rows = df.where(F.col(species).isin(*focal))
     day = to_day(F.col(date), fmt) if dict(df.dtypes)[date] == "string" else F.col(date).cast("date")
     dated = rows.withColumn("day", day).withColumn("year", F.year("day"))
+    dated = dated.withColumn("decade", (F.floor(F.col("year") / bucket) * bucket).cast("int"))
     firsts = dated.groupBy(*site, species).agg(F.min("year").alias("first_year"))
     placed = firsts.withColumn("decade_of_first", (F.floor(F.col("first_year") / bucket) * bucket).cast("int"))
     return left_lookup(dated, with_level_rank(placed, "decade_of_first", "decade_rank"), [*site, species])

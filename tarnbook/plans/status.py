@@ -203,26 +203,59 @@ def area_status(
 
     Sites with one species present and the other unknown do not count, unless ``count_partial``.
     """
+    flags = status.groupBy(key).agg(*_flags(focal, count_partial))
+    return flags.select(key, _area_label(rules, focal).alias(name))
+
+
+def _flags(focal: Focal, count_partial: bool) -> list[Column]:
+    """What is known of an area's sites, as aggregates."""
     s = F.col("site_status")
     a_labels = [focal.a_only] + ([focal.a_present_b_unknown] if count_partial else [])
     b_labels = [focal.b_only] + ([focal.b_present_a_unknown] if count_partial else [])
-    flags = status.groupBy(key).agg(
+    return [
         F.bool_or(s == focal.both).alias("any_both"),
         F.bool_or(s.isin(a_labels)).alias("any_a"),
         F.bool_or(s.isin(b_labels)).alias("any_b"),
         F.bool_or(s == focal.unknown_v1).alias("any_unknown"),
         F.bool_and(s == focal.none).alias("all_none"),
-    )
+    ]
+
+
+def _area_label(rules: str, focal: Focal) -> Column:
     label = (
         F.when(F.col("any_both") | (F.col("any_a") & F.col("any_b")), focal.both)
         .when(F.col("any_b"), focal.b_only)
         .when(F.col("any_a"), focal.a_only)
     )
     if rules == "map":
-        label = label.when(F.col("any_unknown"), focal.unknown_v1).otherwise(focal.none)
-    else:
-        label = label.when(F.col("all_none"), focal.none).otherwise(focal.unknown)
-    return flags.select(key, label.alias(name))
+        return label.when(F.col("any_unknown"), focal.unknown_v1).otherwise(focal.none)
+    return label.when(F.col("all_none"), focal.none).otherwise(focal.unknown)
+
+
+def area_levels(
+    status: DataFrame,
+    levels: Mapping[str, str],
+    rules: str = "v3",
+    focal: Focal = WATCHED,
+    whole: str | None = "province",
+    count_partial: bool = False,
+) -> DataFrame:
+    """``level, area, area_status, n_sites`` of every area of all levels, in one pass over the site summary.
+
+    ``levels`` maps a level's name to its column; ``whole`` names the level that all sites make up (None: without it).  The site
+    summary is read and shuffled once, as grouping sets; which set a row belongs to is told by its grouping id, so that
+    the sites without an area are an area of their own and not mistaken for the whole.
+    """
+    columns = list(levels.values())
+    sets = [[c] for c in columns] + ([[]] if whole else [])
+    grouped = status.groupingSets(sets, *columns).agg(F.grouping_id().alias("__set"), F.count(F.lit(1)).alias("n_sites"), *_flags(focal, count_partial))
+    # A column's bit in the grouping id is 0 where the row is grouped by it.
+    every = (1 << len(columns)) - 1
+    level, area = F.when(F.col("__set") == every, F.lit(whole)), F.lit(None).cast("string")
+    for k, (name, column) in enumerate(levels.items()):
+        own = F.col("__set") == every - (1 << (len(columns) - 1 - k))
+        level, area = level.when(own, F.lit(name)), F.when(own, F.col(column).cast("string")).otherwise(area)
+    return grouped.select(level.alias("level"), area.alias("area"), _area_label(rules, focal).alias("area_status"), "n_sites")
 
 
 def status_crosstab(status: DataFrame, key: str, focal: Focal = WATCHED, rules: str = "v3") -> DataFrame:

@@ -338,7 +338,7 @@ def test_overrides_and_decisions(spark):
     rows = {r.record_id: (r.code, r.site_name, r.match_status) for r in out.collect()}
     assert rows == {1: (None, None, "bad"), 2: (8, "OTHER", "confident"), 3: (9, "Y", "unlikely")}
     made = spark.createDataFrame([(3, "manual", "match"), (99, "manual", "match")], "record_id int, match_decision string, match_status_confirmed string")
-    decided = {r.record_id: r.match_status_confirmed for r in apply_decisions(df, made).collect()}
+    decided = {r.record_id: r.match_status_confirmed for r in apply_decisions(df, made, order_by=["match_decision", "match_status_confirmed"]).collect()}
     assert decided == {1: "match", 2: "match", 3: "match"}
 
 
@@ -662,3 +662,66 @@ def test_shapes_of_many_edges(spark):
     cells, lists = polygons.cell_table(layer.where("layer_id IN (0, 4)"))
     longest = lists.groupBy("layer_id").agg(F.max(F.size("edges")).alias("n"))
     assert all(r.n <= 2 * polygons.CELL_EDGES for r in longest.collect())  # no row holds a whole shape
+
+
+# --- k nearest, exact values, quoted text, the log of decisions ---------------------------------------
+
+
+@pytest.mark.parametrize("k, most", [(2, None), (5, 40.0), (200, None)])
+def test_k_nearest_sites(spark, k, most):
+    draw = random.Random(k)
+    places = [(float(draw.randint(0, 60)), float(draw.randint(0, 60))) for _ in range(90)] + [(7.0, 7.0)] * 60 + [(1e7, 5.0)]
+    rows = [(n, *p) for n, p in enumerate(places)]
+    asked = [(n, float(draw.randint(-20, 90)), float(draw.randint(-20, 90))) for n in range(50)] + [(98, None, 1.0), (99, 7.0, 7.0)]
+    sites, points = spark.createDataFrame(rows, "sid long, sx double, sy double"), spark.createDataFrame(asked, "pid long, x double, y double")
+    got = nearest_join(points, sites, "sid", site_xy=("sx", "sy"), max_distance_m=most, k=k).collect()
+    want = set()
+    for pid, x, y in asked:
+        near = sorted((math.sqrt((sx - x) ** 2 + (sy - y) ** 2), sid) for sid, sx, sy in rows) if x is not None else []
+        near = [(d, sid) for d, sid in near if most is None or d <= most][:k]
+        want |= {(pid, r + 1, sid, round(d, 6)) for r, (d, sid) in enumerate(near)} or {(pid, None, None, None)}
+    assert {(r.pid, r.nearest_rank, r.sid, r.distance_m if r.distance_m is None else round(r.distance_m, 6)) for r in got} == want and len(got) == len(want)
+    with pytest.raises(ValueError):
+        nearest_join(points, sites, "sid", site_xy=("sx", "sy"), k=0)
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(groups, "FEW_VALUES", 20)
+    draw = random.Random(4)
+    rows = [(draw.choice([1.0, 2.0, 2.0, 2.0, draw.random() * 10 ** draw.randint(-5, 8)]), draw.randint(0, 5) if n % 9 else None, None, -n * 1.5) for n in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b int, nothing double, c double").repartition(5)
+    quantiles = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = groups.exact_quantiles(df, ["a", "b", "nothing", "c"], quantiles)
+    want = df.agg(*[F.percentile(F.col(c).cast("double"), list(quantiles)).alias(c) for c in ("a", "b", "c")]).first()
+    for c in ("a", "b", "c"):
+        assert [got[c, q] for q in quantiles] == pytest.approx(want[c], rel=1e-12)
+    assert all(got["nothing", q] is None for q in quantiles)
+
+
+def test_quoted_text_goes_both_ways(spark, tmp_path):
+    rows = [(1, 'BIG "BLUE" LAKE, upper', 1.5), (2, "two\nlines, \"both\" quoted", None), (3, None, 2.0), (4, "  blanks  ", 3.0), (5, '"', 4.0), (6, "semi;colon", 5.0)]
+    df = spark.createDataFrame(rows, "key long, name string, size double")
+    write_table(df.coalesce(1), str(tmp_path / "out"))
+    back = read_table(spark, str(tmp_path / "out"), "key long, name string, size double", multi_line=True, malformed="bad")
+    assert sorted((r.key, r.name, r.size) for r in back.collect()) == [(1, rows[0][1], 1.5), (2, rows[1][1], None), (3, None, 2.0), (4, "  blanks  ", 3.0), (5, '"', 4.0), (6, "semi;colon", 5.0)]
+    assert back.where("bad is not null").count() == 0
+    (tmp_path / "short.csv").write_text('Key,Name,Size\n1,"a ""b"", c",2\n2,few\n3,too,many,values\n')
+    found = {r.key: (r.name, r.size, r.bad) for r in read_table(spark, str(tmp_path / "short.csv"), "key long, name string, size double", malformed="bad").collect()}
+    assert found[1] == ('a "b", c', 2.0, None) and found[2] == ("few", None, "2,few") and found[3][2] == "3,too,many,values"
+
+
+def test_the_later_decision_counts(spark):
+    cases = spark.createDataFrame([(i, None, None) for i in (1, 2, 3)], "record_id int, match_decision string, match_status_confirmed string")
+    log = spark.createDataFrame([(1, "manual", "not_a_match", 1), (1, "manual", "match", 2), (2, "manual", "match", 1), (2, "manual", "not_a_match", 3)], "record_id int, match_decision string, match_status_confirmed string, decided_at int")
+    now = {r.record_id: r.match_status_confirmed for r in apply_decisions(cases, log).collect()}
+    before = {r.record_id: r.match_status_confirmed for r in apply_decisions(cases, log, as_of=1).collect()}
+    assert now == {1: "match", 2: "not_a_match", 3: None} and before == {1: "not_a_match", 2: "match", 3: None}
+    with pytest.raises(ValueError):
+        apply_decisions(cases, log.drop("decided_at"))
+
+
+def test_orphans_are_relinked_by_content(spark):
+    df = spark.createDataFrame([("n1", "A", None), ("n2", "B", "x"), ("n3", "C", "x"), ("n4", "C", "x"), ("k", "K", "x")], "record_id string, name string, county string")
+    made = spark.createDataFrame([("o1", "A", None), ("o2", "B", "x"), ("o3", "C", "x"), ("k", "K", "x"), ("o5", "Z", "x")], "record_id string, name string, county string")
+    found = {(r.record_id, r.name, r.relinked) for r in review.relink_orphans(df, made, ["name", "county"]).collect()}
+    assert found == {("n1", "A", True), ("n2", "B", True), ("o3", "C", False), ("o5", "Z", False)}
