@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnbook.session import cut_lineage
 from tarnbook.llm.text import U64, arrow_rows, chunks, mix
 
 SIMILARITY = 0.8
@@ -242,5 +243,6 @@ def _matcher(ids: list, texts: list[str | None], similarity: float):
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no item; a null id is kept, as no leak can be told of it."""
-    found = leaks(docs, items, text, id_col, **options).select(F.col("doc_id").alias("__leaked")).where("__leaked is not null").distinct()
+    # Stored, so that the join knows how few ids there are and does not move the texts.
+    found = cut_lineage(leaks(docs, items, text, id_col, **options).select(F.col("doc_id").alias("__leaked")).where("__leaked is not null").distinct())
     return docs.join(found, docs[id_col] == found["__leaked"], "left_anti")

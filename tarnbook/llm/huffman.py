@@ -14,6 +14,7 @@ system.  All numbers are little-endian but the code bits, which are packed from
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,9 +33,15 @@ LONGEST_CODE = 16  # bits, or as many as the number of kinds needs
 CHECK = 256  # ids between checkpoints
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 22  # ids in a file, about
-REMEMBERED = 400_000  # pieces whose ids a worker keeps; only the speed depends on it
+REMEMBERED = 600_000  # pieces whose ids a worker keeps; only the speed depends on it
 ENCODE_BATCH = 1 << 14
 
+_MARKS = ".,;:!?"
+_IS_MARK, _IS_LETTER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_IS_MARK[[ord(m) for m in _MARKS]] = True
+_IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SMALL = re.compile("[a-z\u00DF-\u00F6\u00F8-\u00FF]+").fullmatch
+_BETWEEN = "\x01"
 _CODE, _BLOCK = b"HFC1", b"HFB1"
 _DOC = np.dtype([("id", "<i8"), ("n", "<u4"), ("flags", "u1")])
 _NULL, _GOES_ON = 1, 2
@@ -50,44 +57,86 @@ def public_path(name: str) -> str:
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others in order from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(0x100 + rest.index(b)) for b in range(256)]
+
+
 class Tokens:
     """Ids of whole texts by a tokenizer that splits at white space and drops it.
 
     Each different piece between white space is encoded once by the tokenizer and remembered; the ids of a text are those
-    of its pieces in a row.  Pieces are lower-cased (A-Z) before the look-up where the tokenizer lower-cases anyhow; pieces
-    with a bar may hold a special token, which is told by its case, and stay as they are.
+    of its pieces in a row.  A mark that ends a word is a piece of its own, as the tokenizer parts it from letters anyhow.  Pieces are
+    lower-cased (A-Z) before the look-up where the tokenizer lower-cases; pieces with a bar may hold a special
+    token, which is told by its case, and stay as they are.  Pieces of small letters go straight to the tokenizer's model,
+    others to the tokenizer many at a time.  All of this is tried out on a few texts when a tokenizer is loaded.
     """
 
     def __init__(self, path: str):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         one, two, both = (self._ids(t) for t in ("Some", "text.", " Some\t\ntext. "))
         if one + two != both:
             raise ValueError("the tokenizer must split at white space and drop it")
+        self.most = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.folds = self._ids("sOmE") == one
+        self.marks = all(self._ids(f"it's{m}") == self._ids("it's") + self._ids(m) for m in _MARKS)
+        letters = _byte_letters()
+        self.as_bytes = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xDF, 0x100) if c != 0xF7}
+        self.direct = all(self._straight(w) == self._ids(w) for w in ("some", "letter", "straße", "français", "øùúûüýþÿ", "öõôóòñðïîíìëêéèçæåäãâáàß"))
+        found = self._ids(_BETWEEN)
+        self.between = found[0] if len(found) == 1 else None
         self.clear()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _straight(self, text: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.as_bytes))]
+
     def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.starts = np.zeros(1, dtype=np.int64)
         self.pool = np.zeros(0, dtype=np.uint32)
 
+    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each piece."""
+        out: list[list[int] | None] = [None] * len(pieces)
+        joined = []
+        for k, piece in enumerate(pieces):
+            if self.direct and _SMALL(piece):
+                out[k] = self._straight(piece)
+            elif self.between is None or _BETWEEN in piece:
+                out[k] = self._ids(piece)
+            else:
+                joined.append(k)
+        groups = [joined[at : at + 64] for at in range(0, len(joined), 64)]
+        texts = [f" {_BETWEEN} ".join(pieces[k] for k in group) for group in groups]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = found.ids
+            at = 0
+            for k in group[:-1]:
+                to = ids.index(self.between, at)
+                out[k], at = ids[at:to], to + 1
+            out[group[-1]] = ids[at:]
+        return out
+
     def learn(self, pieces: list[bytes]) -> None:
         new = [p for p in pieces if p not in self.slot]
+        if not new:
+            return
         found, sizes = [self.pool], []
         for at in range(0, len(new), ENCODE_BATCH):
-            texts = [p.decode("utf-8", "replace") for p in new[at : at + ENCODE_BATCH]]
-            ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            ids = self._encoded([p.decode("utf-8", "replace") for p in new[at : at + ENCODE_BATCH]])
             sizes.extend(map(len, ids))
             found.append(np.fromiter((i for e in ids for i in e), dtype=np.uint32))
-        if new:
-            self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new))))
-            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
-            self.pool = np.concatenate(found)
+        self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new))))
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+        self.pool = np.concatenate(found)
 
     def of(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a chunk's texts in a row, and where those of each text begin (and end)."""
@@ -96,11 +145,20 @@ class Tokens:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(before), dtype=np.int64)
         inside = ~IS_SPACE[chunk.data]
         data = chunk.data
+        bars = np.unique(np.searchsorted(starts, np.flatnonzero(data == 0x7C), "right") - 1)
+        if self.marks:
+            marked = (ends - starts > 1) & _IS_MARK[data[ends - 1]] & _IS_LETTER[data[ends - 2]]
+            marked[bars] = False
+            parts = ends[marked] - 1
+            whole = starts[bars], ends[bars]
+            starts, ends = np.sort(np.append(starts, parts)), np.sort(np.append(ends, parts))
+            before = np.searchsorted(starts, chunk.bounds)
+        else:
+            whole = starts[bars], ends[bars]
         if self.folds:
             data = LOWER[data]
-            bars = np.flatnonzero(chunk.data == 0x7C)
-            for w in np.unique(np.searchsorted(starts, bars, "right") - 1) if len(bars) else ():
-                data[starts[w] : ends[w]] = chunk.data[starts[w] : ends[w]]
+            for a, b in zip(*(w.tolist() for w in whole)):
+                data[a:b] = chunk.data[a:b]
         offsets = np.zeros(len(starts) + 1, dtype=np.int32)
         np.cumsum(ends - starts, out=offsets[1:])
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes())])
@@ -121,9 +179,10 @@ def _tokens(path: str) -> Tokens:
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int | None = END_ID, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id long, thash long, uid long, n long, ids binary`` (u32 little-endian) of every text, ``end_id`` after its last id.
+    """``doc_id long, thash long, uid long, n long, ids binary`` of every text, ``end_id`` after its last id.
 
-    A null text is an empty one.  Texts of any length are encoded whole.  The vocabulary is looked up by name on the executors.
+    Ids are unsigned little-endian numbers of two bytes where all ids of the vocabulary fit, else of four.  A null text is an
+    empty one.  Texts of any length are encoded whole.  The vocabulary is looked up by name on the executors.
     """
     arrow_rows(docs.sparkSession)
     rows = docs.select(
@@ -136,10 +195,11 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int | None =
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for every core already
         tokens = _tokens(public_path(vocabulary))
+        kind = "<u2" if max([tokens.most, *tail]) < 1 << 16 else "<u4"
         for batch in batches:
             for chunk in chunks(batch.column("text"), 4 * CHUNK_BYTES):
                 ids, bounds = tokens.of(chunk)
-                bodies = [np.append(ids[a:b], tail).astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                bodies = [np.append(ids[a:b], tail).astype(kind).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 part = batch.slice(chunk.rows[0], chunk.rows[1] - chunk.rows[0])
                 n = pa.array(bounds[1:] - bounds[:-1] + len(tail), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in ("doc_id", "thash", "uid")] + [n, pa.array(bodies, pa.binary())], names=["doc_id", "thash", "uid", "n", "ids"])
@@ -147,21 +207,26 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int | None =
     return rows.mapInArrow(ids_of, "doc_id long, thash long, uid long, n long, ids binary")
 
 
+def _ids_of(body: pa.BinaryScalar, n: int) -> np.ndarray:
+    raw = body.as_buffer()
+    return np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4")
+
+
 def id_counts(tokens: DataFrame) -> DataFrame:
     """``id, n``: how often each id occurs.  A task sums up its rows first; the result is bounded by the vocabulary."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for body in batch.column("ids"):
-                found = np.bincount(np.frombuffer(body.as_buffer(), dtype="<u4"))
+            for body, n in zip(batch.column("ids"), batch.column("n").to_pylist()):
+                found = np.bincount(_ids_of(body, n))
                 if len(found) > len(total):
                     total = np.append(total, np.zeros(len(found) - len(total), dtype=np.int64))
                 total[: len(found)] += found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("n", "ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # --- the code ---------------------------------------------------------------------------------------------------------
@@ -323,8 +388,8 @@ def write_ids(tokens: DataFrame, path: str, longest: int = LONGEST_CODE, block_i
             return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["value"])
 
         for batch in batches:
-            for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                rest, flags = np.frombuffer(body.as_buffer(), dtype="<u4"), _NULL if doc is None else 0
+            for doc, n, body in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids")):
+                rest, flags = _ids_of(body, n), _NULL if doc is None else 0
                 while True:
                     now, rest = rest[: block_ids - held], rest[block_ids - held :]
                     docs.append((doc or 0, len(now), flags))
@@ -338,7 +403,7 @@ def write_ids(tokens: DataFrame, path: str, longest: int = LONGEST_CODE, block_i
         if docs:
             yield record()
 
-    records_ = ordered.select("doc_id", "ids").mapInArrow(blocks, "value binary")
+    records_ = ordered.select("doc_id", "n", "ids").mapInArrow(blocks, "value binary")
     records_.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
     return path
 
