@@ -33,7 +33,7 @@ LONGEST_CODE = 16  # bits, or as many as the number of kinds needs
 CHECK = 256  # ids between checkpoints
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 22  # ids in a file, about
-REMEMBERED = 600_000  # pieces whose ids a worker keeps; only the speed depends on it
+REMEMBERED = 1_200_000  # pieces whose ids a worker keeps; only the speed depends on it
 ENCODE_BATCH = 1 << 14
 
 _MARKS = ".,;:!?"
