@@ -86,9 +86,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH e AS (
       SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-        list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
       FROM embeddings
-      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
     ), s AS (
       SELECT a.vec_id AS anchor_id, e.vec_id, e.label = a.label AS same, CAST(list_dot_product(a.q, e.q) AS BIGINT) AS score
       FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0
