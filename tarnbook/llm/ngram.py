@@ -1,9 +1,10 @@
 """LM scoring: a bigram model by deleted interpolation, its weights learned for buckets of context frequency.
 
-Counting and scoring are spread by bigram, not by document.  Every token of every text goes to the task that owns its
-bigram, packed: a text block sends each owner one row with the sorted keys of its tokens and their documents.  The owner
-counts the bigram over all training texts and puts the counts beside the tokens (:func:`_counted`); this table is
-stored, read once to learn the weights and once to add up the scores.
+Bigrams are counted where they are owned and scores are added up where the texts are.  Texts are stored in blocks; a block
+sends every owner the distinct bigrams it has of it, with their training counts, as one packed row.  The owner adds the counts up,
+answers each block (:func:`_counted`) and makes the table the weights are learned from; the block adds up the scores of its
+documents (:func:`_block_scores`).  However frequent a bigram is, its owner gets one number of a block.  There are as many packed
+rows as blocks times owners, as a shuffle has pieces, and never more than tokens.
 
 Word counts are needed beside bigram counts.  The words of ``FREQUENT`` or fewer highest counts (all words of one count, or
 none) are broadcast, a table of at most 50 MB; tokens with a word outside it get their counts by joins instead
@@ -12,6 +13,7 @@ none) are broadcast, a table of at most 50 MB; tokens with a word outside it get
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +35,9 @@ FINE = 4  # cells per doubling of a probability, in the table the weights are le
 FLOOR = 1e-6
 
 TOKENS = "doc_id long, thash long, train boolean, c12 long, c1 long, c2 long, own boolean"
-BLOCK = "owner int, docs binary, doc binary, key binary"
-COUNTED = "docs binary, doc binary, c12 binary, c1 binary, c2 binary"
+BLOCK = "block long, docs binary, doc binary, reps binary, parts array<struct<owner: int, key: binary, n: binary>>"
+PARTS = pa.list_(pa.struct([("owner", pa.int32()), ("key", pa.binary()), ("n", pa.binary())]))
+COUNTED = "block long, owner int, c12 binary, cells binary"
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -153,7 +156,7 @@ def _stats(words):
 
 
 def _blocks(words, owners: int):
-    """Tokens whose two words are in the table, packed by owner."""
+    """Blocks of texts: the distinct bigrams of tokens whose two words are in the table, by owner, and the documents they are in."""
 
     def run(batches):
         w = words.value
@@ -168,24 +171,29 @@ def _blocks(words, owners: int):
                 if not w.complete:
                     here = (c != width - 1) & (t != width - 1)
                     c, t, text = c[here], t[here], text[here]
+                if not len(c):
+                    continue
+                at = slice(*chunk.rows)
+                train = ids[2][at].astype(np.int64)
                 key = c * width + t
                 owner = (mix(key.astype(U64)) % U64(owners)).astype(np.int64)
                 order = np.lexsort((key, owner))
                 key, text, owner = key[order], text[order], owner[order]
-                cuts = np.searchsorted(owner, np.arange(owners + 1))
-                at = slice(*chunk.rows)
-                which = [ids[0][at], ids[1][at], ids[2][at].astype(np.int64) + 2 * null[at].astype(np.int64)]
-                rows = []
-                for o in np.flatnonzero(np.diff(cuts)).tolist():
-                    mine = slice(cuts[o], cuts[o + 1])
-                    # Only the documents that have a token here are named.
-                    present, doc = np.unique(text[mine], return_inverse=True)
-                    names = np.concatenate([np.diff(which[0][present], prepend=0), which[1][present], which[2][present]])
-                    small = np.uint16 if len(present) < 1 << 16 else np.uint32
-                    rows.append((o, _squeeze(names), _squeeze(doc.astype(small)), _squeeze(np.diff(key[mine], prepend=0))))
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                reps = np.diff(first, append=len(key))
+                taught = np.add.reduceat(train[text], first)
+                key, owner = key[first], owner[first]
+                cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])).tolist()
+                parts = [
+                    {"owner": int(owner[i]), "key": _squeeze(np.diff(key[i:j], prepend=0)), "n": _squeeze(taught[i:j].astype(np.uint32))}
+                    for i, j in zip(cuts, [*cuts[1:], len(key)])
+                ]
+                names = np.concatenate([np.diff(ids[0][at], prepend=0), ids[1][at], train + 2 * null[at].astype(np.int64)])
+                small = np.uint16 if len(train) < 1 << 16 else np.uint32
+                block = int.from_bytes(os.urandom(8), "little", signed=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]],
-                    names=["owner", "docs", "doc", "key"],
+                    [pa.array([block]), *[pa.array([x], pa.binary()) for x in (_squeeze(names), _squeeze(text.astype(small)), _squeeze(reps.astype(np.uint32)))], pa.array([parts], PARTS)],
+                    names=["block", "docs", "doc", "reps", "parts"],
                 )
 
     return run
@@ -202,35 +210,57 @@ def _doc_index(raw: bytes, docs: int) -> np.ndarray:
 
 
 def _counted(words):
-    """For one owner: the bigram count, context count and word count of every token."""
+    """For one owner: the training count of every bigram of every block; one row without a block has the cells of all its bigrams."""
 
     def run(table: pa.Table) -> pa.Table:
         w = words.value
         counts = w.all_counts()
         width = len(counts)
-        docs, doc = table.column("docs").to_pylist(), table.column("doc").to_pylist()
         keys = [np.cumsum(_loose(k, np.int64)) for k in table.column("key").to_pylist()]
-        taught = []
-        for d, i, k in zip(docs, doc, keys):
-            train = _docs_of(d)[2]
-            taught.append(k[train[_doc_index(i, len(train))]])
-        one, n = np.unique(np.concatenate(taught), return_counts=True)
-        cols = [[], [], []]
-        for k in keys:
-            at = np.minimum(np.searchsorted(one, k), max(len(one) - 1, 0))
-            c12 = np.where(one[at] == k, n[at], 0) if len(one) else np.zeros(len(k), dtype=np.int64)
-            for col, values in zip(cols, (c12, counts[k // width], counts[k % width])):
-                col.append(_squeeze(values.astype(np.int64)))
-        return pa.table([table.column("docs"), table.column("doc"), *[pa.array(c, pa.binary()) for c in cols]], names=["docs", "doc", "c12", "c1", "c2"])
+        n = np.concatenate([_loose(x, np.uint32) for x in table.column("n").to_pylist()])
+        one, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(back, weights=n).astype(np.int64)
+        answers = np.split(total[back], np.cumsum([len(k) for k in keys])[:-1])
+        seen = total > 0
+        cells = _cells(total[seen], counts[one[seen] // width], counts[one[seen] % width], w.tokens, total[seen])
+        owner = table.column("owner").to_pylist()
+        return pa.table(
+            [
+                pa.array([*table.column("block").to_pylist(), None], pa.int64()), pa.array([*owner, owner[0]], pa.int32()),
+                pa.array([*[_squeeze(x) for x in answers], None], pa.binary()),
+                pa.array([*[None] * len(keys), _squeeze(np.concatenate([np.asarray(c, dtype=np.float64) for c in cells]))], pa.binary()),
+            ],
+            names=["block", "owner", "c12", "cells"],
+        )
 
     return run
 
 
-def _unpacked(batch: pa.RecordBatch):
-    for i in range(batch.num_rows):
-        docs = _docs_of(batch.column(0)[i].as_py())
-        doc = _doc_index(batch.column(1)[i].as_py(), len(docs[0]))
-        yield docs, doc, *[_loose(batch.column(c)[i].as_py(), np.int64) for c in (2, 3, 4)]
+def _block_scores(words, weights: np.ndarray):
+    """The log probability of a block's documents, from its bigrams and the owners' answers."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        w = words.value
+        counts = w.all_counts()
+        width = len(counts)
+        answer = dict(zip(answers.column("owner").to_pylist(), answers.column("c12").to_pylist()))
+        cols = [[], [], [], []]
+        for row in blocks.to_pylist():
+            ids, hashes, _, null = _docs_of(row["docs"])
+            key = np.concatenate([np.cumsum(_loose(p["key"], np.int64)) for p in row["parts"]])
+            c12 = np.concatenate([_loose(answer[p["owner"]], np.int64) for p in row["parts"]])
+            log = _log_probability(c12, counts[key // width], counts[key % width], weights, w.tokens, w.kinds)
+            doc = _doc_index(row["doc"], len(ids))
+            s = np.bincount(doc, weights=np.repeat(log, _loose(row["reps"], np.uint32)), minlength=len(ids))
+            for col, x in zip(cols, (ids, hashes, s, null)):
+                col.append(x)
+        ids, hashes, s, null = [np.concatenate(c) if c else np.zeros(0) for c in cols]
+        return pa.table(
+            [pa.array(ids.astype(np.int64), mask=null.astype(bool)), pa.array(hashes.astype(np.int64)), pa.array(s), pa.array(np.zeros(len(s))), pa.array(np.zeros(len(s), dtype=np.int64))],
+            names=["doc_id", "thash", "s", "b", "k"],
+        )
+
+    return run
 
 
 def bucket_of(c1: np.ndarray) -> np.ndarray:
@@ -242,14 +272,15 @@ def _parts(c12, c1, c2, tokens) -> tuple[np.ndarray, np.ndarray]:
     return np.where(c1 > 0, c12 / np.maximum(c1, 1), 0.0), c2 / max(tokens, 1)
 
 
-def _cells(c12, c1, c2, tokens: int):
-    """Cells of the table for the weights, of training tokens, each deleted from the counts it is predicted by."""
+def _cells(c12, c1, c2, tokens: int, times=None):
+    """Cells of the table for the weights, of training tokens (or ``times`` of each), each deleted from the counts it is predicted by."""
+    times = np.ones(len(c12)) if times is None else times
     c12, c1, c2 = c12 - 1, c1 - 1, c2 - 1
     two, one = _parts(c12, c1, c2, tokens - 1)
     place = [np.where(p > 0, np.floor(FINE * np.log2(np.maximum(p, 1e-300))), 1000).astype(np.int64) for p in (two, one)]
     key = (bucket_of(c1) * 4096 + place[0] + 2048) * 4096 + place[1] + 2048
     cell, back = np.unique(key, return_inverse=True)
-    return cell, np.bincount(back), np.bincount(back, weights=two), np.bincount(back, weights=one)
+    return cell, np.bincount(back, weights=times), np.bincount(back, weights=times * two), np.bincount(back, weights=times * one)
 
 
 CELLS = "cell long, n long, two double, one double"
@@ -260,7 +291,7 @@ def _cell_batch(parts: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2]), pa.array(cols[3])], names=["cell", "n", "two", "one"])
 
 
-def learn_weights(rows: list, kinds: int) -> np.ndarray:
+def learn_weights(rows, kinds: int) -> np.ndarray:
     """Weights of bigram, word and uniform estimate for every bucket, by expectation-maximisation.
 
     ``rows`` are (bucket, tokens, mean bigram estimate, mean word estimate).  A bucket without tokens takes the weights of all
@@ -348,34 +379,26 @@ def scored(docs: DataFrame, text: str = "text", id_col: str = "doc_id", folds: i
     words = spark.sparkContext.broadcast(table)
     tokens, kinds = table.tokens, table.kinds
     owners = max(8, -(-tokens // TOKENS_PER_OWNER))
-    packed = rows.mapInArrow(_blocks(words, owners), BLOCK)
-    stored = cut_lineage(packed.groupBy("owner").applyInArrow(_counted(words), COUNTED))
+    blocks = cut_lineage(rows.mapInArrow(_blocks(words, owners), BLOCK))
+    asked = blocks.select("block", F.inline("parts"))
+    answers = cut_lineage(asked.groupBy("owner").applyInArrow(_counted(words), COUNTED))
     rare = None if table.complete else _rare(rows, counts, words, table.texts)
 
     def packed_cells(batches):
         for b in batches:
-            yield _cell_batch([_cells(c12[t], c1[t], c2[t], tokens) for d, i, c12, c1, c2 in _unpacked(b) for t in [d[2][i]]])
+            yield _cell_batch([tuple(_loose(x, np.float64).reshape(4, -1)) for x in b.column(0).to_pylist()])
 
     def rare_cells(batches):
         for b in batches:
             yield _cell_batch([_cells(*[b.column(c).to_numpy() for c in (3, 4, 5)], tokens)])
 
-    cells = stored.mapInArrow(packed_cells, CELLS)
+    cells = answers.where("block is null").select("cells").mapInArrow(packed_cells, CELLS)
     if rare is not None:
         cells = cells.unionByName(rare.where("train").mapInArrow(rare_cells, CELLS))
     # Buckets and steps of probabilities: a table of bounded size.
-    table_rows = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).orderBy("cell").collect()
-    weights = learn_weights([(r["cell"] // (4096 * 4096), r["n"], r["two"] / r["n"], r["one"] / r["n"]) for r in table_rows], kinds)
-
-    def packed_scores(batches):
-        for b in batches:
-            for (ids, hashes, _, null), i, c12, c1, c2 in _unpacked(b):
-                s = np.bincount(i, weights=_log_probability(c12, c1, c2, weights, tokens, kinds), minlength=len(ids))
-                here = np.flatnonzero(np.bincount(i, minlength=len(ids)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[here], mask=null[here]), pa.array(hashes[here]), pa.array(s[here]), pa.array(np.zeros(len(here))), pa.array(np.zeros(len(here), dtype=np.int64))],
-                    names=["doc_id", "thash", "s", "b", "k"],
-                )
+    cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).orderBy("cell").toArrow()
+    cell, n, two, one = [cells.column(c).to_numpy() for c in ("cell", "n", "two", "one")]
+    weights = learn_weights(np.column_stack([cell // (4096 * 4096), n, two / n, one / n]), kinds)
 
     def rare_scores(batches):
         for b in batches:
@@ -390,7 +413,8 @@ def scored(docs: DataFrame, text: str = "text", id_col: str = "doc_id", folds: i
         return np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))
 
     schema = "doc_id long, thash long, s double, b double, k long"
-    parts = stored.mapInArrow(packed_scores, schema)
+    answered = answers.where("block is not null").select("block", "owner", "c12").groupBy("block")
+    parts = blocks.groupBy("block").cogroup(answered).applyInArrow(_block_scores(words, weights), schema)
     if rare is not None:
         parts = parts.unionByName(rare.mapInArrow(rare_scores, schema))
     sums = parts.groupBy("doc_id", "thash").agg(F.sum("s").alias("s"), F.sum("b").alias("b"), F.sum("k").alias("k"))
