@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tarnbook.session import cut_lineage
 
-BINS = 64
-SAMPLES = 2
+BINS = 128
+SAMPLES = 1
 EMPTY = "0000"
 
 
@@ -35,13 +35,17 @@ def sample_value(term: str, weight: Column, salt: int) -> Column:
 def sampled_cells(terms: DataFrame, keys: list[str], bins: int, samples: int) -> DataFrame:
     """``keys, bin, cell``: for each bin with terms, the hash of its samples, four hex digits each (never ``0000``).
 
-    The bin of a term's k-th occurrence depends on the term and k alone, so a heavy term has a part of its weight in many bins, and
-    the parts that two texts have in common add up to the weight they have in common.
+    A term's occurrences are dealt to the bins in turn, from a bin that depends on the term on.  So a heavy term has a part of its
+    weight in every bin, the k-th occurrence is in the same bin in all texts, and the parts that two texts have in common add up to
+    the weight they have in common.
     """
     counted = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
-    dealt = counted.select(*keys, "term", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
-    dealt = dealt.select(*keys, "term", F.pmod(F.xxhash64("term", "k", F.lit(7)), F.lit(bins)).cast("int").alias("bin"))
-    parts = dealt.groupBy(*keys, "bin", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    turns = F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(bins).cast("long")) - 1)
+    dealt = counted.select(*keys, "term", "n", F.explode(turns).alias("turn"))
+    parts = dealt.select(
+        *keys, "term", F.pmod(F.xxhash64("term", F.lit(7)) % bins + F.col("turn"), F.lit(bins)).cast("int").alias("bin"),
+        (F.floor(F.col("n") / bins) + F.when(F.col("turn") < F.col("n") % bins, 1).otherwise(0)).cast("double").alias("weight"),
+    )
     # A term is sampled anew in every bin.
     parts = parts.select(*keys, "bin", F.xxhash64("term", "bin").alias("part"), "weight")
     values = [sample_value("part", F.col("weight"), 100 * (s + 1)).alias(f"v{s}") for s in range(samples)]
