@@ -77,9 +77,11 @@ def likeness(a: str, b: str, bins: int = BINS, samples: int = SAMPLES) -> Column
     n = bins * samples
     cells = F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.struct(F.substring(F.col(a), i * 4 + 1, 4).alias("x"), F.substring(F.col(b), i * 4 + 1, 4).alias("y")),
+        # A piece of bytes is found by its place, one of a text by walking through all characters before it.
+        lambda i: F.struct(F.substring(F.col(a).cast("binary"), i * 4 + 1, 4).alias("x"), F.substring(F.col(b).cast("binary"), i * 4 + 1, 4).alias("y")),
     )
-    used = F.filter(cells, lambda c: (c["x"] != EMPTY) | (c["y"] != EMPTY))
+    empty = F.lit(EMPTY.encode())
+    used = F.filter(cells, lambda c: (c["x"] != empty) | (c["y"] != empty))
     equal = F.size(F.filter(used, lambda c: c["x"] == c["y"])).cast("double")
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).when(F.size(used) == 0, F.lit(1.0)).otherwise(equal / F.size(used))
 
