@@ -13,7 +13,7 @@ from tarnbook.functions.geo import lonlat_to_utm, planar_distance, utm_to_lonlat
 from tarnbook.functions.text import area_name_key
 from tarnbook.operators.groups import mean_point
 from tarnbook.operators.points import as_points, reproject
-from tarnbook.operators.polygons import spatial_join
+from tarnbook.operators.polygons import clip_to_window, ring_area, spatial_join
 from tarnbook.operators.tidy import bbox_filter
 from tarnbook.plans.layers import (
     area_layer, category_layer, coverage_report, decade_layers, decimal_sites, effort_layer, focal_layer, locate_in_layer,
@@ -110,6 +110,35 @@ def _(t):
     return spatial_join(layer(t), boundary(t), "semi").select("layer_id", "layer_name")
 
 
+_WINDOW = (500.25, 1000.25, 5000.75, 6000.75)
+
+
+def _cut_sql(x1: str, x2: str, y1: str, y2: str) -> str:
+    """Sides of a rectangle's part in the window."""
+    a, b, c, d = _WINDOW
+    return f"greatest({x1}, {a}), least({x2}, {c}), greatest({y1}, {b}), least({y2}, {d})"
+
+
+@query(
+    "layer_clipped",
+    f"""WITH parts AS (
+SELECT layer_id, layer_name, 1 AS sign, {_cut_sql('lx', 'lx + 2 * w', 'ly', 'ly + h')} FROM ({LAYER_SQL})
+UNION ALL SELECT layer_id, layer_name, 1, {_cut_sql('lx', 'lx + w', 'ly + h', 'ly + 2 * h')} FROM ({LAYER_SQL})
+UNION ALL SELECT layer_id, layer_name, -1, {_cut_sql('lx + w / 4', 'lx + w / 2', 'ly + h / 4', 'ly + h / 2')} FROM ({LAYER_SQL}) WHERE holed),
+cut(layer_id, layer_name, sign, x1, x2, y1, y2) AS (SELECT * FROM parts)
+SELECT layer_id, layer_name, round(sum(sign * (x2 - x1) * (y2 - y1)), 3) AS area, count(*) FILTER (sign < 0) AS n_holes,
+  min(x1) AS xmin, min(y1) AS ymin, max(x2) AS xmax, max(y2) AS ymax FROM cut WHERE x1 < x2 AND y1 < y2 GROUP BY ALL""",
+)
+def _(t):
+    clipped = clip_to_window(layer(t), *_WINDOW)
+    # The first ring is the outer one, the others are holes.
+    areas = F.transform("rings", ring_area)
+    area = F.aggregate(areas, F.lit(0.0), lambda a, b: a + b)
+    return clipped.select(
+        "layer_id", "layer_name", F.round(areas[0] * 2 - area, 3).alias("area"), (F.size("rings") - 1).cast("long").alias("n_holes"), "xmin", "ymin", "xmax", "ymax"
+    )
+
+
 @query(
     "layer_round_trip",
     f"SELECT layer_id, lx AS xmin, ly AS ymin, lx + 2 * w AS xmax, ly + 2 * h AS ymax, 6 + CASE WHEN holed THEN 4 ELSE 0 END AS corners FROM ({LAYER_SQL})",

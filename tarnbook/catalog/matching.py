@@ -10,6 +10,7 @@ from tarnbook.catalog.roles import FOCAL, RECORDS_SQL, SITE_COLUMNS, SITES_SQL,
 from tarnbook.operators.names import name_match
 from tarnbook.operators.nearest import nearest_join
 from tarnbook.operators.review import relink_orphans, review_queue
+from tarnbook.operators.similar import proposed_crosswalk
 from tarnbook.plans.match import dedupe_records, left_unmatched, match, prepare_records, resolve_identity, settle_matches
 from tarnbook.session import cut_lineage
 
@@ -277,3 +278,32 @@ def _(t):
         "record_id", "species_name", "name", "county", "year", *[F.when(own, F.col(c)).alias(c) for c in ("easting", "northing")],
         *[F.when(~own, F.col(c)).alias(c) for c in ("lon", "lat")],
     )
+
+
+# Area names as another list has them: a letter is missing, another one, or two letters are swapped for one.
+_AREA = "n_name || ' ' || c_mktsegment || ' BASIN'"
+_MISWRITTEN = f"""SELECT CASE c_custkey % 4 WHEN 0 THEN substr(area, 1, place - 1) || substr(area, place + 1) WHEN 1 THEN substr(area, 1, place - 1) || 'x' || substr(area, place + 1)
+  WHEN 2 THEN substr(area, 1, place - 1) || '-' || substr(area, place + 2) ELSE substr(area, 1, place) || ' near ' || substr(area, place + 1) END AS name
+  FROM (SELECT c_custkey, {_AREA} AS area, 1 + c_custkey * 7 % length({_AREA}) AS place FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query(
+    "proposed_crosswalk",
+    f"""WITH names AS (SELECT name, count(*) AS n_rows FROM ({_MISWRITTEN}) GROUP BY 1),
+areas AS (SELECT DISTINCT {_AREA} AS area FROM customer JOIN nation ON c_nationkey = n_nationkey),
+near AS (SELECT name, area, CAST(levenshtein(name, area) AS INT) AS edits FROM names CROSS JOIN areas
+  WHERE levenshtein(name, area) <= greatest(length(name), length(area)) // 5),
+best AS (SELECT name, min(edits) AS edits FROM near GROUP BY 1),
+closest AS (SELECT name, edits, min(area) AS proposal, count(*) AS n_closest FROM near JOIN best USING (name, edits) GROUP BY 1, 2)
+SELECT name, n_rows, proposal, edits, coalesce(n_closest, 0) AS n_closest FROM names LEFT JOIN closest USING (name)""",
+)
+def _(t):
+    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat_ws(" ", "n_name", "c_mktsegment", F.lit("BASIN")).alias("area"))
+    area, at, way = F.col("area"), F.col("at"), F.col("c_custkey") % 4
+    head, rest = F.substr(area, F.lit(1), at - 1), F.substr(area, at + 1)
+    other = (
+        F.when(way == 0, F.concat(head, rest)).when(way == 1, F.concat(head, F.lit("x"), rest))
+        .when(way == 2, F.concat(head, F.lit("-"), F.substr(area, at + 2))).otherwise(F.concat(F.substr(area, F.lit(1), at), F.lit(" near "), rest))
+    )
+    miswritten = named.withColumn("at", (1 + F.col("c_custkey") * 7 % F.length("area")).cast("int")).select(other.alias("name"))
+    return proposed_crosswalk(miswritten, named, target="area")

@@ -48,17 +48,17 @@ def with_box(df: DataFrame, rings: str = "rings") -> DataFrame:
     )
 
 
-def ring_edges(rings: Column) -> Column:
-    """All edges of all rings; a ring that is not closed is closed."""
+def _edges_of_ring(ring: Column) -> Column:
+    return F.zip_with(
+        ring,
+        F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)),
+        lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")),
+    )
 
-    def edges(ring: Column) -> Column:
-        return F.zip_with(
-            ring,
-            F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)),
-            lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")),
-        )
 
-    return F.flatten(F.transform(rings, edges))
+def ring_edges(rings: Column) -> Column:
+    """All edges of all rings; a ring that is not closed is closed."""
+    return F.flatten(F.transform(rings, _edges_of_ring))
 
 
 def _side(px: Column, py: Column, e: Column) -> Column:
@@ -422,3 +422,59 @@ def _entered(edges: DataFrame, side: str, levels: list[int]) -> DataFrame:
     on_level = edges.withColumn("own", F.explode(F.filter(every, lambda v: v >= F.col("lv"))))
     cells = on_level.withColumn("cell", F.explode(_cells(*[F.col(c) for c in BOX], F.col("own"))))
     return cells.select("cell", F.col("own").alias("own" if side == "a" else "b_own"), f"{side}_id", F.col("lv").alias(f"{side}_lv"), F.col("e").alias(f"{side}_e"))
+
+
+def _half(rings: Column, axis: str, at: float, sign: int) -> Column:
+    """The parts of rings on one side of a line across ``axis``: every edge gives where it enters, and its end if that is inside."""
+
+    def inside(v: Column) -> Column:
+        return v >= at if sign > 0 else v <= at
+
+    def corner(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def kept(e: Column) -> Column:
+        a, b = e[f"{axis}1"], e[f"{axis}2"]
+        if axis == "x":
+            crossing = corner(F.lit(float(at)), e["y1"] + (at - e["x1"]) * (e["y2"] - e["y1"]) / (e["x2"] - e["x1"]))
+        else:
+            crossing = corner(e["x1"] + (at - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]), F.lit(float(at)))
+        end = corner(e["x2"], e["y2"])
+        return (
+            F.when(inside(a) & inside(b), F.array(end))
+            .when(inside(a), F.array(crossing))
+            .when(inside(b), F.array(crossing, end))
+            .otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+        )
+
+    return F.transform(rings, lambda ring: F.flatten(F.transform(_edges_of_ring(ring), kept)))
+
+
+def ring_area(ring: Column) -> Column:
+    """Area of one ring, whichever way it turns.  Heights count from the first corner, so that large coordinates cost no digits."""
+    terms = F.transform(_edges_of_ring(ring), lambda e: (e["x2"] - e["x1"]) * ((e["y1"] - ring[0]["y"]) + (e["y2"] - ring[0]["y"])))
+    return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)) / 2
+
+
+def clip_to_window(layer: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
+    """The layer cut to a rectangle: rings are cut at its four sides, boxes made anew, shapes of which no area is left go.
+
+    Shapes whose boxes miss the window are dropped before anything is cut, and shapes inside it stay as they are.  A ring that
+    leaves the window and comes back stays one ring, which runs along the window's side.  Rings that become the whole window cancel out
+    in pairs (a window in the hole of a shape).  An empty or null list of rings gives no row.
+    """
+    near = layer.where((F.col("xmin") <= xmax) & (F.col("xmax") >= xmin) & (F.col("ymin") <= ymax) & (F.col("ymax") >= ymin))
+    within = (F.col("xmin") >= xmin) & (F.col("xmax") <= xmax) & (F.col("ymin") >= ymin) & (F.col("ymax") <= ymax)
+    cut = flatten_rings(F.col("rings"))
+    for axis, at, sign in (("x", xmin, 1), ("x", xmax, -1), ("y", ymin, 1), ("y", ymax, -1)):
+        cut = _half(cut, axis, at, sign)
+    window = (xmax - xmin) * (ymax - ymin)
+    sized = F.transform(cut, lambda ring: F.struct(ring.alias("ring"), ring_area(ring).alias("area")))
+    sized = F.filter(sized, lambda r: r["area"] > 0)
+    whole = F.filter(F.col("__sized"), lambda r: r["area"] >= window)
+    part = F.filter(F.col("__sized"), lambda r: r["area"] < window)
+    left = F.concat(F.slice(whole, F.lit(1), F.size(whole) % 2), part)
+    clipped = near.withColumn("__sized", F.when(~within, sized)).withColumn(
+        "rings", F.when(within, flatten_rings(F.col("rings"))).otherwise(F.transform(left, lambda r: r["ring"]))
+    )
+    return with_box(clipped.drop("__sized", *BOX).where(F.size("rings") > 0))

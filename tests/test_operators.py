@@ -13,8 +13,9 @@ from tarnbook.operators import groups, joins, nearest, polygons, review, tidy
 from tarnbook.operators.names import name_match, partial_names
 from tarnbook.operators.nearest import nearest_join
 from tarnbook.operators.points import as_points, crs_of, reproject
-from tarnbook.operators.polygons import spatial_join
+from tarnbook.operators.polygons import clip_to_window, covers, ring_edges, spatial_join, with_box
 from tarnbook.operators.review import apply_decisions, apply_overrides, review_queue
+from tarnbook.operators.similar import proposed_crosswalk, similar_names
 from tarnbook.session import cut_lineage, remove_scratch, scratch_path, shared_folder
 from tarnbook.sources.layers import as_layer
 from tarnbook.sources.schemas import DECISIONS
@@ -725,3 +726,70 @@ def test_orphans_are_relinked_by_content(spark):
     made = spark.createDataFrame([("o1", "A", None), ("o2", "B", "x"), ("o3", "C", "x"), ("k", "K", "x"), ("o5", "Z", "x")], "record_id string, name string, county string")
     found = {(r.record_id, r.name, r.relinked) for r in review.relink_orphans(df, made, ["name", "county"]).collect()}
     assert found == {("n1", "A", True), ("n2", "B", True), ("o3", "C", False), ("o5", "Z", False)}
+
+
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("per", [3, 5])
+def test_similar_names_against_all_pairs(spark, per):
+    rng = random.Random(per)
+    names = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 14))) for _ in range(120)] + [None, "", "  ", "a", "aaaaaaaaaaaa", "aaaaaaaaaa"]
+    targets = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 14))) for _ in range(120)] + [None, " ", "a", "aaaaaaaaaaaaa"]
+    got = similar_names(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(n,) for n in targets], "name string"), per=per)
+    want = {
+        (a, b, _edit_distance(a, b)) for a in names for b in targets
+        if a and b and a.strip() and b.strip() and _edit_distance(a, b) <= max(len(a), len(b)) // per
+    }
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and want
+
+
+def test_proposed_crosswalk(spark):
+    names = spark.createDataFrame([("upper saint jon",), ("upper saint jon",), ("miramichi rivers",), ("nowhere",), (None,), ("",)], "name string")
+    targets = spark.createDataFrame([("upper saint john",), ("upper saint joan",), ("miramichi river",), (None,)], "area string")
+    rows = {r["name"]: tuple(r)[1:] for r in proposed_crosswalk(names, targets, target="area").collect()}
+    assert rows == {
+        "upper saint jon": (2, "upper saint joan", 1, 2), "miramichi rivers": (1, "miramichi river", 1, 1), "nowhere": (1, None, None, 0),
+    }
+    assert proposed_crosswalk(names, targets.limit(0), target="area").where("proposal is not null").count() == 0
+    assert proposed_crosswalk(names.limit(0), targets, target="area").count() == 0
+    with pytest.raises(ValueError):
+        similar_names(names, names, per=2)
+
+
+def test_clip_to_window(spark):
+    """A place inside the window is in the cut shape if and only if it is in the whole one."""
+    rng = random.Random(3)
+    shapes = []
+    for i in range(60):
+        turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(rng.randint(3, 12)))
+        cx, cy = rng.uniform(-6, 6), rng.uniform(-6, 6)
+        outer = [(cx + math.cos(a) * r, cy + math.sin(a) * r) for a in turns for r in [rng.uniform(1, 7)]]
+        shapes.append((i, [outer]))
+    ring = [(-20.0, -20.0), (20.0, -20.0), (20.0, 20.0), (-20.0, 20.0)]
+    shapes += [
+        (100, [ring, [(-5.0, -5.0), (-5.0, 5.0), (5.0, 5.0), (5.0, -5.0)]]),  # the window lies in the hole
+        (101, [ring]), (102, [[(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 1.0)]]), (103, [[(30.0, 30.0), (31.0, 30.0), (31.0, 31.0)]]),
+        (104, []), (105, None), (106, [[(4.0, -1.0), (6.0, -1.0), (6.0, 1.0), (4.0, 1.0)]]),  # touches the window's side only
+    ]
+    layer = with_box(spark.createDataFrame(shapes, "layer_id long, rings array<array<struct<x:double,y:double>>>"))
+    cut = clip_to_window(layer, -4.0, -3.0, 4.0, 3.0)
+    places = [(i, rng.uniform(-4, 4), rng.uniform(-3, 3)) for i in range(300)]
+    at = spark.createDataFrame(places, "pid long, px double, py double")
+
+    def hits(shapes):
+        pairs = shapes.select("layer_id", F.explode(F.array(ring_edges(F.col("rings")))).alias("edges")).crossJoin(at)
+        return {(r[0], r[1]) for r in pairs.where(covers(F.col("edges"), F.col("px"), F.col("py"))).select("layer_id", "pid").collect()}
+
+    assert hits(cut) == hits(layer)
+    rows = {r["layer_id"]: r for r in cut.collect()}
+    assert not {100, 103, 104, 105, 106} & set(rows) and rows[101]["xmin"] == -4.0 and rows[101]["ymax"] == 3.0 and len(rows[101]["rings"]) == 1
+    assert [tuple(p) for p in rows[102]["rings"][0]] == shapes[62][1][0]
+    assert all(r["xmin"] >= -4 and r["xmax"] <= 4 and r["ymin"] >= -3 and r["ymax"] <= 3 for r in rows.values())
