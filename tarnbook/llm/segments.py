@@ -7,8 +7,10 @@ so that what is shuffled is a small part of the text.
 
 1. Segments with the same content are one class, told by its number of members and its first member.
 2. Only where a key has classes with different content are windows compared one by one, on one member of each
-   class (:func:`compared`).  Keys are dealt over tasks; a key with more than ``HOT_WINDOWS`` windows is compared by
-   rows instead, one per window and dealt by the whole content, so that no task holds a hot key.
+   class (:func:`_by_keys`).  Keys are dealt over tasks.  Classes of a key with more than ``HOT_WINDOWS`` windows, or more than
+   ``HOT_UNITS`` units, are cut once more by a longer gram of other hashes (:func:`_by_parts`): parts that lie in a shared passage are one class
+   again, and windows that reach beyond it mostly have a gram, and so a key, of their own.  Only when grams are nearly as long as
+   windows are the windows left compared by rows, one per window and dealt by the whole content.  No task holds a hot key.
 3. Members get the windows found (:func:`ranges`), texts are joined with them once.
 """
 
@@ -25,6 +27,9 @@ from tarnbook.llm.text import Chunk, arrow_rows, chunks, prefix_hashes, range_ha
 from tarnbook.session import cut_lineage
 
 HOT_WINDOWS = 1 << 15
+HOT_UNITS = 1 << 20
+#: A gram more is this much fewer grams to a window, until there are too few for another cut.
+FEWER, TOO_FEW = 4, 4
 FIRST_SEED, SECOND_SEED = 11, 12
 
 SEGMENT = "doc_id long, thash long, key long, h1 long, h2 long, n int, start int, again boolean"
@@ -51,12 +56,10 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(rest[:n], begin[width - 1 : width - 1 + n])
 
 
-def _segments_of(chunk: Chunk, unit: str, width: int, gram: int):
-    values, bounds = units(chunk, unit, FIRST_SEED)
-    if len(values) < width:
-        return None
-    sums = prefix_hashes(values)
-    grams = window_hashes(sums, gram)
+def _cut(by: np.ndarray, first: np.ndarray, other: np.ndarray, bounds: np.ndarray, width: int, gram: int):
+    """Segments of texts that stand one after the other: grams are hashed from ``by``, contents from ``first`` and ``other``."""
+    sums = prefix_hashes(first)
+    grams = window_hashes(sums if by is first else prefix_hashes(by), gram)
     least = _sliding_min(grams, width - gram + 1)
     n = len(least)
     text = np.searchsorted(bounds, np.arange(n), "right") - 1
@@ -74,9 +77,15 @@ def _segments_of(chunk: Chunk, unit: str, width: int, gram: int):
         again = leftmost[starts] != leftmost[ends - 1]
     else:
         again = np.ones(len(starts), dtype=bool)
-    other = prefix_hashes(units(chunk, unit, SECOND_SEED)[0])
     text = text[starts]
-    return text, least[starts], range_hashes(sums, starts, to), range_hashes(other, starts, to), ends - starts, starts - bounds[text], again
+    return text, least[starts], range_hashes(sums, starts, to), range_hashes(prefix_hashes(other), starts, to), ends - starts, starts - bounds[text], again
+
+
+def _segments_of(chunk: Chunk, unit: str, width: int, gram: int):
+    values, bounds = units(chunk, unit, FIRST_SEED)
+    if len(values) < width:
+        return None
+    return _cut(values, values, units(chunk, unit, SECOND_SEED)[0], bounds, width, gram)
 
 
 def segments(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
@@ -162,6 +171,10 @@ def _by_keys(bodies: DataFrame, judge: Callable, most: int) -> DataFrame:
 
     def result(rows: list[pa.RecordBatch]):
         table = pa.Table.from_batches(rows)
+        # A class has one member here; rows of the table that repeat give it more than once.
+        heads = np.stack([table.column(c).to_numpy() for c in CLASS])
+        new = np.append(True, (heads[:, 1:] != heads[:, :-1]).any(axis=0))
+        table = table.filter(pa.array(new[: table.num_rows]))
         n = table.column("n").to_numpy()
         starts = np.zeros(len(n), dtype=np.int64)
         np.cumsum(n[:-1], out=starts[1:])
@@ -261,41 +274,133 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], *ranges], names=["key", "h1", "h2", "n", "low", "high"])
 
 
-def ranges(docs: DataFrame, unit: str, width: int, gram: int, keep: str, judge: Callable, most: int = 1 << 20) -> DataFrame:
-    """``doc_id, thash, low, high``: for every text with such, the ranges of starts of windows to remove.
+PARENT = ["in_key", "in_h1", "in_h2", "in_n"]
+PART = "in_key long, in_h1 long, in_h2 long, in_n int, doc_id long, thash long, start int, off int, key long, h1 long, h2 long, n int, again boolean"
 
-    ``docs`` has ``doc_id, thash`` (a hash of the text) and ``text``.  ``keep`` says which windows go: ``none``, all
-    whose content occurs twice or more; ``first``, all but the first by id and place; ``smaller``, those that occur in
-    a document with a smaller id (a null id neither loses words nor counts as smaller).
+
+def _body_values(raw: bytes, unit: str) -> tuple[np.ndarray, np.ndarray, Callable]:
+    """Two hashes of every unit of some bodies, and a function for more of them."""
+    from tarnbook.llm.text import _byte_values
+
+    if unit == "bytes":
+        data = np.frombuffer(raw, dtype=np.uint8)
+        return _byte_values(FIRST_SEED)[data], _byte_values(SECOND_SEED)[data], lambda level: _byte_values(SECOND_SEED + 100 + level)[data]
+    words = np.frombuffer(raw, dtype=np.uint64)
+
+    def mixed(factor: int) -> np.ndarray:
+        return (words ^ (words >> np.uint64(29))) * np.uint64(factor)
+
+    return words, mixed(0x9FB21C651E98DF25), lambda level: (mixed(0xBF58476D1CE4E5B9 + 2 * level) ^ (words >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+
+
+def _parts(bodies: DataFrame, unit: str, width: int, gram: int, level: int) -> DataFrame:
+    """The segments of bodies by another gram, each with the class it is a part of and where in it."""
+    names = [c.split()[0] for c in PART.split(", ")]
+    size = 1 if unit == "bytes" else 8
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(7)
+            bounds = np.append(0, np.cumsum([len(x.as_buffer()) // size for x in column]))
+            first, other, more = _body_values(b"".join(x.as_buffer() for x in column), unit)
+            row, key, h1, h2, n, off, again = _cut(more(level), first, other, bounds, width, gram)
+            at = pa.array(row)
+            start = batch.column(6).take(at).to_numpy() + off
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c).take(at) for c in range(6)], pa.array(start.astype(np.int32)), pa.array(off.astype(np.int32)),
+                    *[pa.array(x.view(np.int64)) for x in (key, h1, h2)], pa.array(n.astype(np.int32)), pa.array(again),
+                ],
+                names=names,
+            )
+
+    return bodies.mapInArrow(run, PART)
+
+
+def _bodies_of_parts(bodies: DataFrame, wanted: DataFrame, unit: str, width: int) -> DataFrame:
+    """The content of the wanted parts, cut from the content of the classes they are parts of."""
+    lists = wanted.groupBy(*PARENT).agg(F.collect_list(F.struct(*CLASS, "start", "off")).alias("want"))
+    joined = bodies.join(lists.select(*[F.col(p).alias(c) for p, c in zip(PARENT, CLASS)], "want"), CLASS).select("doc_id", "thash", "body", "want")
+    size = 1 if unit == "bytes" else 8
+
+    def run(batches):
+        for batch in batches:
+            want = batch.column(3)
+            offsets = want.offsets.to_numpy()
+            flat = want.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            raw = [x.as_py() for x in batch.column(2)]
+            off, n = flat.field("off").to_numpy(), flat.field("n").to_numpy()
+            body = [raw[i][a * size : (a + m + width - 1) * size] for i, a, m in zip(row.tolist(), off.tolist(), n.tolist())]
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [*[flat.field(c) for c in CLASS], batch.column(0).take(row), batch.column(1).take(row), flat.field("start"), pa.array(body, pa.binary())],
+                names=[c.split()[0] for c in BODY.split(", ")],
+            )
+
+    return joined.mapInArrow(run, BODY)
+
+
+def _by_parts(bodies: DataFrame, unit: str, width: int, gram: int, keep: str, judge: Callable, most: int, level: int = 1) -> DataFrame:
+    """Windows of hot keys to remove: their classes are cut by a longer gram and resolved part by part."""
+    grams = (width - gram + 1) // FEWER
+    if grams < TOO_FEW:
+        return _by_rows(bodies, unit, width, keep)
+    bodies, gram = cut_lineage(bodies), width - grams + 1
+    parts = cut_lineage(_parts(bodies, unit, width, gram, level))
+    found = _resolved(parts, PARENT, lambda wanted: _bodies_of_parts(bodies, wanted, unit, width), unit, width, gram, keep, judge, most, level)
+    low_high = F.struct((F.col("off") + F.col("r.low")).alias("low"), (F.col("off") + F.col("r.high")).alias("high"))
+    # Rows that repeat have their parts more than once.
+    lists = found.groupBy(*[F.col(p).alias(c) for p, c in zip(PARENT, CLASS)]).agg(F.collect_set(low_high).alias("r"))
+    return lists.select(*CLASS, F.col("r.low").alias("low"), F.col("r.high").alias("high"))
+
+
+def _resolved(
+    found: DataFrame, more: list[str], bodies_of: Callable, unit: str, width: int, gram: int, keep: str, judge: Callable, most: int, level: int
+) -> DataFrame:
+    """Segments of ``found`` with a range ``r`` of their windows that goes, a row for each range.
+
+    ``bodies_of`` gives the content of first members (``CLASS``, their place and the columns ``more``).
     """
-    found = cut_lineage(segments(docs, unit, width, gram))
     place = F.struct("doc_id", "thash", "start")
-    if keep == "smaller":
-        found = found.where("doc_id is not null")
+    members = F.count(F.lit(1)).alias("members")
     classes = cut_lineage(
-        found.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("members"), F.min(place).alias("first"), F.bool_or("again").alias("again"))
+        found.groupBy(*CLASS).agg(members, F.min(F.struct("doc_id", "thash", "start", *([*more, "off"] if more else []))).alias("first"), F.bool_or("again").alias("again"))
     )
     keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("windows"), F.bool_or("again").alias("again"))
     # Within one document a phrase is no earlier document's.
     mixed = keys.where((F.col("kinds") > 1) | F.col("again")) if keep != "smaller" else keys.where("kinds > 1")
-    wanted = classes.join(mixed.select("key", "windows"), "key").select(*CLASS, "first.*", "windows")
-    hot = F.col("windows") > HOT_WINDOWS
-    wanted = cut_lineage(wanted.withColumn("hot", hot))
-    cold = _by_keys(_bodies(docs, wanted.where("not hot"), unit, width), judge, most)
-    compared = cold
+    hot = (F.col("windows") > HOT_WINDOWS) | (F.col("windows") + F.col("kinds") * (width - 1) > HOT_UNITS)
+    wanted = cut_lineage(classes.join(mixed.select("key", hot.alias("hot")), "key").select(*CLASS, "first.*", "hot"))
+    compared = _by_keys(bodies_of(wanted.where("not hot")), judge, most)
     if not wanted.where("hot").isEmpty():
-        compared = cold.unionByName(_by_rows(_bodies(docs, wanted.where("hot"), unit, width), unit, width, keep))
-    marked = classes.join(cut_lineage(compared), CLASS, "left").where("members > 1 or low is not null")
+        compared = compared.unionByName(_by_parts(bodies_of(wanted.where("hot")), unit, width, gram, keep, judge, most, level + 1))
+    marked = classes.join(cut_lineage(compared), CLASS, "left").where("members > 1 or low is not null").drop("again")
     joined = found.join(marked, CLASS)
     if keep == "none":
         whole = F.col("members") > 1
     elif keep == "first":
-        whole = place != F.col("first")
+        whole = place != F.struct("first.doc_id", "first.thash", "first.start")
     else:
         whole = F.col("doc_id") > F.col("first.doc_id")
     all_of = F.array(F.struct(F.lit(0).alias("low"), (F.col("n") - 1).alias("high")))
     part = F.arrays_zip("low", "high")
-    spans = joined.select("doc_id", "thash", "start", F.explode(F.when(whole, all_of).otherwise(part)).alias("r"))
+    return joined.select(*found.columns, F.explode(F.when(whole, all_of).otherwise(part)).alias("r"))
+
+
+def ranges(docs: DataFrame, unit: str, width: int, gram: int, keep: str, judge: Callable, most: int = 1 << 20) -> DataFrame:
+    """``doc_id, thash, low, high``: for every text with such, the ranges of starts of windows to remove.
+
+    ``docs`` has ``doc_id, thash`` (a hash of the text) and ``text``.  ``keep`` says which windows go: ``none``, all
+    whose content occurs twice or more; ``first``, all but the first by id and place; ``smaller``, those that occur in
+    a document with a smaller id (a null id neither loses words nor counts as smaller).
+    """
+    found = cut_lineage(segments(docs, unit, width, gram))
+    if keep == "smaller":
+        found = found.where("doc_id is not null")
+    spans = _resolved(found, [], lambda wanted: _bodies(docs, wanted, unit, width), unit, width, gram, keep, judge, most, 0)
     return spans.groupBy("doc_id", "thash").agg(
         F.collect_list(F.struct((F.col("start") + F.col("r.low")).alias("low"), (F.col("start") + F.col("r.high")).alias("high"))).alias("spans")
     )

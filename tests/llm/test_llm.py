@@ -264,6 +264,61 @@ def test_suffix_dedup(docs, rows, hot, keep, monkeypatch):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want
 
 
+@pytest.mark.parametrize("hot", [1 << 15, 20])
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_suffix_dedup_of_a_hot_passage(spark, hot, keep, monkeypatch):
+    """One passage in every text, at other places and cut, and runs of one letter: the hot keys are cut again and again."""
+    monkeypatch.setattr(segments, "HOT_WINDOWS", hot)
+    rng = random.Random(7)
+
+    def prose(n):
+        return "".join(rng.choice("abcdefghi é") for _ in range(n))
+
+    passage = prose(500)
+    texts = {i: prose(rng.randint(0, 300)) + passage[rng.choice((0, 0, 60)) :] + prose(rng.randint(0, 300)) for i in range(40)}
+    texts |= {100: "z" * 900, 101: prose(50) + "z" * 450 + prose(50), 102: passage + passage, 103: passage[:259], 104: passage[:238]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix.removal_report(suffix.duplicate_spans(docs, width=240, keep=keep), 240).collect()}
+    raw = {i: t.encode() for i, t in texts.items()}
+    for i, gone in repeated_bytes(raw, 240, keep).items():
+        kept = bytes(c for c, g in zip(raw[i], gone) if not g)
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (sum(gone), hashlib.sha256(kept).hexdigest()), i
+
+
+def test_relative_parsing_of_a_hot_passage(spark, monkeypatch):
+    monkeypatch.setattr(segments, "HOT_WINDOWS", 20)
+    rng = random.Random(8)
+
+    def prose(n):
+        return [rng.choice("the of a lake river brook pond north".split()) + str(rng.randint(0, 3)) for _ in range(n)]
+
+    passage = prose(120)
+    texts = {i: prose(rng.randint(0, 80)) + passage[rng.choice((0, 20)) :] + prose(rng.randint(0, 80)) for i in range(40)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in rlz.removal_report(rlz.duplicate_factors(docs)).collect()}
+    first = {}
+    for i, t in texts.items():
+        for j in range(len(t) - 49):
+            first.setdefault(tuple(t[j : j + 50]), i)
+    for i, t in texts.items():
+        gone = set()
+        for j in range(len(t) - 49):
+            if first[tuple(t[j : j + 50])] < i:
+                gone |= set(range(j, j + 50))
+        assert got[i] == len(gone), i
+
+
+@pytest.mark.parametrize("hot", [1 << 15, 20])
+def test_the_first_copy_stays_though_its_row_repeats(spark, hot, monkeypatch):
+    monkeypatch.setattr(segments, "HOT_WINDOWS", hot)
+    rng = random.Random(1)
+    passage, *ends = ("".join(rng.choice("abcdefghij") for _ in range(n)) for n in (60, 50, 50, 50, 50))
+    first = (1, ends[0] + passage + ends[1])
+    docs = spark.createDataFrame([first, first, (2, ends[2] + passage + ends[3])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_removed"]) for r in suffix.removal_report(suffix.duplicate_spans(docs, width=40, keep="first"), 40).collect())
+    assert got == [(1, 0), (1, 0), (2, 60)]
+
+
 def test_suffix_ranks_are_in_suffix_order():
     data = np.frombuffer(b"mississippi banana mississippi", dtype=np.uint8)
     rank = suffix.suffix_ranks(data, 12)
