@@ -20,18 +20,20 @@ DECAY = 2e-3
 
 #: The labelled URL table, as words of hosts.  Every word is written with several subdomains and paths.
 BLOCKED_WORDS = (
-    "cheap-pills buy-pills online-pharmacy viagra-store diet-pills free-bets best-bets sport-betting casino-win online-casino "
-    "poker-room slots-jackpot lottery-prize adult-x adult-videos xxx-cams porn-tube sex-chat hot-singles escort-girls spam-farm "
-    "link-farm seo-spam mass-mailer ads-track ad-server click-track banner-ads popup-ads tracking-pixel malware-drop "
+    "pills pillshop cheapmeds online-pharmacy viagra-store diet-pills betting sportsbets bets24 casino casinos royal-casino "
+    "poker-room slots-jackpot lottery-prize winbig bigwin adult adults-only adult-videos xxx-cams porn-tube sex-chat hot-singles "
+    "escort-girls spam spammer farmlinks link-farm contentfarm seo-links mass-mailer ads adserver ad-server click-track tracker "
+    "trackers banner-ads popup-ads tracking-pixel freebies free-money free-gifts cheap-watches cheaptickets malware-drop "
     "virus-download warez-crack keygen-serial phishing-login fake-bank crypto-double get-rich payday-loans replica-watches"
 ).split()
 ALLOWED_WORDS = (
     "library museum university school history science weather recipes gardening travel-notes city-news local-news sports-club "
     "music-review book-review open-data documentation developer-guide health-service parliament court-records archive "
     "encyclopedia dictionary maps astronomy biology chemistry physics mathematics engineering railway harbour theatre cinema "
-    "painting photography cooking farming forestry fishing therapist thesis theory heritage shire nation station ontario "
-    "handbook thread ether north south eastern western inland estuary erosion tidal notion motion ration lesson reason "
-    "onshore thunder another together weather-report statistics"
+    "painting photography cooking farming forestry fishing philosophy theory heritage council station province handbook "
+    "north-south weather-report statistics education administration information association foundation institute "
+    "community-centre city-hall fire-brigade observatory laboratory geography literature language translation orchestra choir "
+    "stadium cycling hiking sailing chess puzzle knitting pottery carpentry architecture economics accounting insurance"
 ).split()
 SUBDOMAINS = ("", "www.", "blog.", "m.")
 ENDINGS = ("com", "org", "net")
