@@ -17,9 +17,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_PER_LANGUAGE = 1000
 EM_ROUNDS = 4
 FEW_LANGUAGES = 10_000
-MOST_KNOWN = 1 << 19
-LONGEST_PIECE = 16
-LONGEST_WORD = 32  # bytes; longer words are scored in parts of this length
+MOST_KNOWN = 1 << 21  # numbers: a word has one for each language
+LONGEST_PLAIN = 32  # bytes; probabilities of longer stretches could be too small for a plain number and are kept as logarithms
 SMOOTHING = 0.01
 UNDETERMINED = "und"
 WORD_MARK = "▁".encode()
@@ -36,6 +35,7 @@ class Pieces:
         h = range_hashes(prefix_hashes(_byte_values(0)[data]), starts, ends)
         order = np.argsort(h)
         self.hashes, self.ids = h[order], (order + 256).astype(np.int32)
+        self.lengths = sorted({len(v) for v in vocabulary})
         self.sieve = np.zeros(1 << 20, dtype=bool)
         self.sieve[self.hashes & np.uint64((1 << 20) - 1)] = True
 
@@ -48,12 +48,12 @@ class Pieces:
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
-    """Ordinary pieces of a public sentencepiece vocabulary, up to :data:`LONGEST_PIECE` bytes."""
+    """Ordinary pieces of a public sentencepiece vocabulary."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return sorted(p for p in pieces if 0 < len(p) <= LONGEST_PIECE)
+    return sorted(p for p in pieces if p)
 
 
 class Lattice:
@@ -71,7 +71,10 @@ class Lattice:
         left = np.repeat(self.ends, length) - place
         sums = prefix_hashes(_byte_values(0)[data])
         found = [(place + shift, np.full(len(data), 1), data.astype(np.int32), relative + 1)]
-        for n in range(1, LONGEST_PIECE + 1):
+        longest = int(length.max(initial=0))
+        for n in pieces.lengths:
+            if n > longest:
+                break
             fits = np.flatnonzero(left >= n)
             hit, ids = pieces.find(range_hashes(sums, fits, fits + n))
             at = fits[hit]
@@ -80,8 +83,8 @@ class Lattice:
         width = np.concatenate([f[1] for f in found])
         ids = np.concatenate([f[2] for f in found])
         level = np.concatenate([f[3] for f in found])
-        # Sixteen lengths and the byte pieces: within a group no two edges begin or end at one node.
-        group = level * 32 + width * 2 + (ids < 256)
+        # By length, byte pieces apart: within a group no two edges begin or end at one node.
+        group = level * (2 * longest + 2) + width * 2 + (ids < 256)
         order = np.argsort(group, kind="stable")
         self.source, self.target, self.ids = source[order], (source + width)[order], ids[order]
         group = group[order]
@@ -89,6 +92,7 @@ class Lattice:
         self.first = self.starts + np.arange(len(words))
         self.last = self.ends + np.arange(len(words))
         self.nodes = len(data) + len(words)
+        self.plain = longest <= LONGEST_PLAIN
 
     def forward(self, theta: np.ndarray) -> np.ndarray:
         """Summed probability of all segmentations up to every node, for each column of ``theta``."""
@@ -105,38 +109,81 @@ class Lattice:
             beta[self.source[a:b]] += beta[self.target[a:b]] * theta[self.ids[a:b]]
         return beta
 
+    def log_forward(self, logs: np.ndarray) -> np.ndarray:
+        """The same in logarithms, which never get too small."""
+        alpha = np.full((self.nodes, logs.shape[1]), -np.inf)
+        alpha[self.first] = 0.0
+        for a, b in zip(self.cuts[:-1], self.cuts[1:]):
+            alpha[self.target[a:b]] = np.logaddexp(alpha[self.target[a:b]], alpha[self.source[a:b]] + logs[self.ids[a:b]])
+        return alpha
+
+    def log_backward(self, logs: np.ndarray) -> np.ndarray:
+        beta = np.full((self.nodes, logs.shape[1]), -np.inf)
+        beta[self.last] = 0.0
+        for a, b in zip(self.cuts[-2::-1], self.cuts[:0:-1]):
+            beta[self.source[a:b]] = np.logaddexp(beta[self.source[a:b]], beta[self.target[a:b]] + logs[self.ids[a:b]])
+        return beta
+
     def log_probability(self, theta: np.ndarray) -> np.ndarray:
-        return np.log(self.forward(theta)[self.last])
+        return np.log(self.forward(theta)[self.last]) if self.plain else self.log_forward(np.log(theta))[self.last]
 
     def expected(self, theta: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of every piece, words weighted by ``counts`` (one column)."""
+        word_of = np.searchsorted(self.first, np.arange(self.nodes), "right") - 1
+        if not self.plain:
+            logs = np.log(theta)
+            alpha, beta = self.log_forward(logs)[:, 0], self.log_backward(logs)[:, 0]
+            whole = alpha[self.last][word_of[self.source]]
+            use = np.exp(alpha[self.source] + logs[self.ids, 0] + beta[self.target] - whole) * counts[word_of[self.source]]
+            return np.bincount(self.ids, weights=use, minlength=len(theta))
         alpha, beta = self.forward(theta)[:, 0], self.backward(theta)[:, 0]
         share = np.zeros(self.nodes)
-        word_of = np.searchsorted(self.first, np.arange(self.nodes), "right") - 1
         share[:] = (counts / alpha[self.last])[word_of]
         use = alpha[self.source] * theta[self.ids, 0] * beta[self.target] * share[self.source]
         return np.bincount(self.ids, weights=use, minlength=len(theta))
 
 
-def _parts(word: bytes) -> list[bytes]:
-    """A lower-cased word with its mark, in parts of at most :data:`LONGEST_WORD` bytes."""
+def _parts(word: bytes, pieces: Pieces) -> list[bytes]:
+    """A lower-cased word with its mark; a long one is cut wherever no piece spans the cut.
+
+    Every segmentation has its border there, so the sum over all segmentations is the product of the parts' sums.
+    """
     whole = WORD_MARK + word.decode("utf-8", "replace").lower().encode()
-    return [whole[i : i + LONGEST_WORD] for i in range(0, len(whole), LONGEST_WORD)]
+    if len(whole) <= LONGEST_PLAIN:
+        return [whole]
+    sums = prefix_hashes(_byte_values(0)[np.frombuffer(whole, dtype=np.uint8)])
+    spans = np.zeros(len(whole) + 2, dtype=np.int64)
+    for n in pieces.lengths:
+        if n > 1:
+            starts = np.arange(max(0, len(whole) - n + 1))
+            hit = pieces.find(range_hashes(sums, starts, starts + n))[0]
+            np.add.at(spans, hit + 1, 1)
+            np.add.at(spans, hit + n, -1)
+    free = np.flatnonzero(np.cumsum(spans[: len(whole)])[1:] == 0) + 1
+    edges = [0, *free.tolist(), len(whole)]
+    return [whole[x:y] for x, y in zip(edges, edges[1:])]
+
+
+def _apart(parts: list[bytes]) -> list[np.ndarray]:
+    """Which parts are short enough for plain numbers, and which are not; a kind without parts is left out."""
+    long = np.array([len(p) > LONGEST_PLAIN for p in parts], dtype=bool)
+    return [x for x in (np.flatnonzero(~long), np.flatnonzero(long)) if len(x)]
 
 
 def estimate(words: list[bytes], counts: np.ndarray, pieces: Pieces, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Piece probabilities from word counts by expectation-maximisation over all segmentations."""
     parts, weight = [], []
     for word, n in zip(words, counts.tolist()):
-        for part in _parts(word):
+        for part in _parts(word, pieces):
             parts.append(part)
             weight.append(n)
     theta = np.full((pieces.size, 1), 1.0 / pieces.size)
     if not parts:
         return theta[:, 0]
-    lattice, weight = Lattice(parts, pieces), np.array(weight, dtype=float)
+    weight = np.array(weight, dtype=float)
+    lattices = [(Lattice([parts[i] for i in kind], pieces), weight[kind]) for kind in _apart(parts)]
     for _ in range(rounds):
-        use = lattice.expected(theta, weight) + SMOOTHING
+        use = sum(lattice.expected(theta, n) for lattice, n in lattices) + SMOOTHING
         theta = (use / use.sum())[:, None]
     return theta[:, 0]
 
@@ -181,7 +228,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
 
 
 class Known:
-    """Log probabilities of the words met so far, by hash; it starts anew when it has ``MOST_KNOWN`` words."""
+    """Log probabilities of the words met so far, by hash; it starts anew when it has ``MOST_KNOWN`` of them."""
 
     def __init__(self, languages: int):
         self.hashes, self.values = np.zeros(0, dtype=np.uint64), np.zeros((0, languages))
@@ -197,7 +244,7 @@ class Known:
         new = np.flatnonzero(~found)
         if len(new):
             values[new] = compute(new)
-            if len(self.hashes) > MOST_KNOWN:
+            if self.values.size > MOST_KNOWN:
                 self.__init__(self.values.shape[1])
             merged = np.concatenate([self.hashes, hashes[new]])
             order = np.argsort(merged)
@@ -234,10 +281,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
             def compute(places: np.ndarray) -> np.ndarray:
                 parts, owner = [], []
                 for i, (s, e) in enumerate(zip(starts[one[places]].tolist(), ends[one[places]].tolist())):
-                    for part in _parts(raw[s:e]):
+                    for part in _parts(raw[s:e], pieces):
                         parts.append(part)
                         owner.append(i)
-                value = Lattice(parts, pieces).log_probability(theta)
+                value = np.empty((len(parts), len(languages)))
+                for kind in _apart(parts):
+                    value[kind] = Lattice([parts[i] for i in kind], pieces).log_probability(theta)
                 return np.add.reduceat(value, np.searchsorted(owner, np.arange(len(places))), axis=0)
 
             by_word = known.look_up(hashes, compute)
@@ -266,7 +315,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
 
 
 def identified(docs: DataFrame, folds: int = 3, held_out: int = 1, **options) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score``: trained on all folds but one (by crc32 of the id), applied to every row."""
+    """``doc_id, held_out, lang_pred, score``: trained on all folds but one (by crc32 of the id), applied to every row.
+
+    Null texts, empty ones and those without a letter are ``und`` with score 0; a row without an id is not held out, and teaches
+    if it has text and language; repeated rows have equal results; of languages equally likely the first by name is taken.
+    """
     fold = fold_of("doc_id", folds)
     model = train(docs.where(fold != held_out), **options)
     rows = docs.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text")

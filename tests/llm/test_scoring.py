@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tarnbook.llm import ngram, urls
+from tarnbook.llm import langid, ngram, urls
 
 
 def words_of(i):
@@ -102,3 +102,35 @@ def test_url_words_the_table_does_not_hold():
     shares = [np.mean([ok for label, ok in right if label == x]) for x in (0, 1)]
     print(shares)
     assert min(shares) > 0.5
+
+
+def test_all_segmentations_of_long_words():
+    """Pieces and words over any length count whole, against a plain recursion in logarithms."""
+    vocabulary = [b"a", b"ab", b"b", b"bab", "é".encode(), b"aab" * 9, b"ba" * 20]
+    pieces = langid.Pieces(sorted(vocabulary))
+    names = {**{bytes([i]): [i] for i in range(256)}}
+    for i, v in enumerate(sorted(vocabulary)):
+        names.setdefault(v, []).append(256 + i)
+    draw = np.random.default_rng(3)
+    theta = draw.random((pieces.size, 2)) ** 8 + 1e-9
+    theta /= theta.sum(axis=0)
+
+    def plain(word):
+        alpha = [np.zeros(2)]
+        for end in range(1, len(word) + 1):
+            ways = [alpha[a] + np.log(theta[i]) for a in range(max(0, end - 40), end) for i in names.get(word[a:end], [])]
+            alpha.append(np.logaddexp.reduce(ways))
+        return alpha[-1]
+
+    words = [("ba" * 30).encode(), ("aab" * 40).encode(), ("é" * 50).encode(), b"xyz" * 40, b"ab", b"", ("abbaéba" * 300).encode(), b"ba" * 20]
+    for word in words:
+        parts = langid._parts(word, pieces)
+        assert b"".join(parts) == langid.WORD_MARK + word
+        got = sum(langid.Lattice([parts[i] for i in kind], pieces).log_probability(theta).sum(axis=0) for kind in langid._apart(parts))
+        assert np.allclose(got, plain(langid.WORD_MARK + word), rtol=1e-9), word
+    # Expected uses in logarithms are those in plain numbers.
+    lattice = langid.Lattice([b"abab", b"bab"], pieces)
+    once = lattice.expected(theta[:, :1], np.array([2.0, 3.0]))
+    lattice.plain = False
+    assert np.allclose(once, lattice.expected(theta[:, :1], np.array([2.0, 3.0])))
+    assert len(langid.read_vocabulary()) > 31_700 and max(map(len, langid.read_vocabulary())) > 16
