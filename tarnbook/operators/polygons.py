@@ -7,6 +7,9 @@ Every polygon is entered under the few grid cells its box covers, on the grid le
 that big and small shapes cost alike and a cell lists only shapes of about its own size.  Points look up
 their cell on each level in use; the exact test runs on what is left after the boxes are compared.  Polygons of many
 edges are cut into cells of few edges, so that a point is never tested against a whole coast line.
+
+Whether a place lies in some polygon, or a polygon holds some place, is settled without a row for every pair, since both may be
+dense: polygons of few edges are sorted out cell by cell, and one that holds a whole cell holds all its points.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ _FINEST = -10  # smallest cell is 4^-10
 #: Edges from which on a polygon, or a cell of one, is cut into smaller cells.
 CELL_EDGES = 64
 _IN_VAIN = 4
+#: Cells are cut again while the pairs left to test are more than this many times the rows, but not more often than _CUTS.
+PAIRS_A_ROW = 8
+_CUTS = 6
 
 
 def flatten_rings(rings: Column) -> Column:
@@ -347,11 +353,161 @@ def _cell_hits(places: DataFrame, table: tuple[DataFrame, DataFrame], x: str, y:
     return reduce(DataFrame.unionByName, [df.select(x, y, "layer_id") for df in (found.where("n = 0"), whole, parts)])
 
 
-def _point_hits(points: DataFrame, attributes: DataFrame, layer: DataFrame, x: str, y: str) -> DataFrame:
-    """Columns of points and attributes (by ``layer_id``) for every (point, polygon holding it)."""
+# --- polygons of few edges, sorted out cell by cell -----------------------------------------------------------------------
+
+
+def _few(layer: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Polygons of few edges, and those of many (none: there are none)."""
+    shapes = layer.where("xmin IS NOT NULL AND layer_id IS NOT NULL")
+    n_edges = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring))
+    few = n_edges <= CELL_EDGES
+    if shapes.where(~few).isEmpty():
+        return shapes, None
+    return shapes.where(few), shapes.where(~few)
+
+
+def _sorted_out(rows: DataFrame) -> DataFrame:
+    """Cells of polygons (``__cell, __edges`` and more): ``__whole`` if no edge meets the cell, which is all inside.
+
+    Cells outside are dropped.  Of the edges those are kept that tell, by :func:`covers`, where a point of the cell lies: those that are
+    level with the cell and not left of it, and of those right of it that pass its whole height one if their number is odd.
+    """
+    def low(e, c):
+        return F.least(e[f"{c}1"], e[f"{c}2"])
+
+    def high(e, c):
+        return F.greatest(e[f"{c}1"], e[f"{c}2"])
+
+    x1, y1, x2, y2 = (F.col(f"__sides.{c}") for c in ("x1", "y1", "x2", "y2"))
+
+    def meets(e):
+        corners = [_side(a, b, e) for a in (x1, x2) for b in (y1, y2)]
+        # An edge along an axis is its box; the edges are level with the cell and not left of it already.
+        along = (e["x1"] == e["x2"]) | (e["y1"] == e["y2"])
+        return (low(e, "x") <= x2) & (along | ((F.greatest(*corners) >= 0) & (F.least(*corners) <= 0)))
+
+    def passes(e):
+        return (low(e, "x") > x2) & (low(e, "y") < y1) & (high(e, "y") > y2)
+
+    # What an explode gives is computed once; the optimizer would copy the same into every use of it.
+    def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.withColumn(name, F.explode(F.array(value)))
+
+    rows = once(rows, "__sides", _sides(F.col("__cell")))
+    level = F.filter("__edges", lambda e: (high(e, "y") >= y1) & (low(e, "y") <= y2) & (high(e, "x") >= x1))
+    rows = once(rows, "__edges", level)
+    rows = once(rows, "__met", F.exists("__edges", meets))
+    rows = rows.where(F.col("__met") | covers(F.col("__edges"), (x1 + x2) / 2, (y1 + y2) / 2))
+    near, beyond = F.filter("__edges", lambda e: ~passes(e)), F.filter("__edges", passes)
+    told = F.when(F.col("__met"), F.concat(near, F.slice(beyond, F.lit(1), F.size(beyond) % 2))).otherwise(F.slice("__edges", 1, 0))
+    return rows.withColumns({"__edges": told, "__whole": ~F.col("__met")}).drop("__sides", "__met")
+
+
+def _sides(cell: Column) -> Column:
+    """A cell's sides, drawn a little wider."""
+    def sides(size: Column, x: Column, y: Column) -> Column:
+        wide = size * 1e-9 + (F.abs(x) + F.abs(y)) * 1e-14
+        return F.struct((x - wide).alias("x1"), (y - wide).alias("y1"), (x + size + wide).alias("x2"), (y + size + wide).alias("y2"))
+
+    return sides(*_corner(cell))
+
+
+def _fine_cells(shapes: DataFrame) -> DataFrame:
+    """Polygons with their attributes, a row for every cell: ``__cell, __whole, __edges``; a box is up to sixteen cells wide.
+
+    Cells are squares of side 2^lv here, as those of polygons of many edges.
+    """
+    boxed = shapes.withColumn("__lv", F.greatest(_level(shapes) - 1, F.lit(_FINEST)))
+    cells = F.transform(_cells(*[F.col(c) for c in BOX], F.col("__lv")), lambda c: _cell(c["lv"] * 2, c["cx"], c["cy"]))
+    # A polygon has many cells, so that few bytes are much work: they are spread over all tasks beforehand.
+    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = boxed.withColumns({"__cells": cells, "__edges": ring_edges(F.col("rings"))}).drop("rings", "__lv").repartition(tasks, "layer_id", *BOX)
+    return _sorted_out(dealt.withColumn("__cell", F.explode("__cells")).drop("__cells", *BOX))
+
+
+def _cut_again(rows: DataFrame) -> DataFrame:
+    """Cells cut into sixteen parts each; the smallest stay as they are."""
+    cell = F.col("__cell")
+    parts = F.when(cell["lv"] > 2 * _FINEST, _parts(cell)).otherwise(F.array(cell))
+    return _sorted_out(rows.drop("__whole").withColumn("__cell", F.explode(parts)))
+
+
+def _levels(cells: DataFrame) -> list[int]:
+    """Levels in use, a few dozen small numbers at most."""
+    return sorted(r[0] for r in cells.select("__cell.lv").distinct().collect())
+
+
+def _in_cells(places: DataFrame, levels: list[int], x: str, y: str) -> DataFrame:
+    """Places, those at real coordinates, in their cell of every level: ``__lv, __cx, __cy``, and ``__px, __py``."""
+    px, py = F.col("__px"), F.col("__py")
+    finite = F.lit(float("inf"))
+    cells = F.array(*[_cell(F.lit(v), F.floor(px / 2.0**v).cast("long"), F.floor(py / 2.0**v).cast("long")) for v in levels])
+    numbers = places.withColumns({"__px": F.col(x).cast("double"), "__py": F.col(y).cast("double")})
+    placed = numbers.where((F.abs(px) < finite) & (F.abs(py) < finite)).withColumn("__at", F.explode(cells.cast("array<struct<lv:int,cx:long,cy:long>>")))
+    return placed.select("*", *[F.col(f"__at.{c}").alias(f"__{c}") for c in CELL]).drop("__at")
+
+
+def _met_in(placed: DataFrame, cells: DataFrame, how: str = "inner") -> DataFrame:
+    """Join of places and cells.  Many pairs come of few bytes, so neither side is sent to where the other happens to be."""
+    keyed = cells.select("*", *[F.col(f"__cell.{c}").alias(f"__c_{c}") for c in CELL]).drop("__cell")
+    same = reduce(lambda a, b: a & b, [F.col(f"__{c}") == F.col(f"__c_{c}") for c in CELL])
+    return placed.join(keyed.hint("merge"), same, how)
+
+
+def _some_hits(places: DataFrame, layer: DataFrame, x: str, y: str, of: str) -> DataFrame:
+    """The distinct places in some polygon (``of="place"``: x, y), or polygons with some place (``of="layer"``: layer_id).
+
+    What is settled by whole cells goes.  While there would still be many pairs to test, the cells that are left are cut again;
+    then the pairs are tested.
+    """
+    key = [x, y] if of == "place" else ["layer_id"]
+    few, many = _few(layer.select("layer_id", "rings", *BOX))
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    real = (F.abs(px) < F.lit(float("inf"))) & (F.abs(py) < F.lit(float("inf")))
+    asked = places.where(real).select(x, y).distinct()
+    found = []
+    if many is not None:
+        found.append(_cell_hits(asked, cell_table(many.select("layer_id", "rings", *BOX)), x, y).select(*key).distinct())
+    cells = cut_lineage(_fine_cells(few))
+    for again in range(_CUTS + 1):
+        placed = _in_cells(asked, _levels(cells), x, y)
+        whole, edged = cells.where("__whole"), cells.where(~F.col("__whole"))
+        if of == "place":
+            settled = cut_lineage(_met_in(placed, whole.select("__cell").distinct(), "left_semi").select(x, y).distinct())
+            asked = cut_lineage(lookup(asked, settled, [x, y], "left_anti"))
+        else:
+            occupied = placed.select(F.struct(*[F.col(f"__{c}").alias(c) for c in CELL]).alias("__cell")).distinct()
+            keyed = whole.select("layer_id", *[F.col(f"__cell.{c}").alias(f"__{c}") for c in CELL])
+            settled = cut_lineage(_met_in(keyed, occupied, "left_semi").select("layer_id").distinct())
+            edged = lookup(edged, settled, "layer_id", "left_anti")
+        found.append(settled)
+        placed = _in_cells(asked, _levels(cells), x, y)
+        # Cells of both kinds of rows, counted: how many pairs there are to test.
+        counts = placed.groupBy(*[F.col(f"__{c}").alias(c) for c in CELL]).agg(F.count(F.lit(1)).alias("__n"))
+        edged = cut_lineage(edged.join(counts.select(F.struct(*CELL).alias("__cell"), "__n"), "__cell"))
+        rows, pairs, least = edged.agg(F.count(F.lit(1)), F.sum("__n"), F.max("__cell.lv")).first()
+        if again == _CUTS or not rows or pairs <= PAIRS_A_ROW * (rows + asked.count()) or least <= 2 * _FINEST:
+            break
+        cells = cut_lineage(_cut_again(edged.drop("__n")))
+    tested = _met_in(placed, edged.drop("__n")).where(covers(F.col("__edges"), F.col("__px"), F.col("__py")))
+    return reduce(DataFrame.unionByName, [*found, tested.select(*key)]).distinct()
+
+
+def located_places(points: DataFrame, layer: DataFrame, xy: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """The distinct places that lie in some polygon."""
+    return _some_hits(points, layer, *xy, "place")
+
+
+def sampled_shapes(layer: DataFrame, points: DataFrame, xy: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """The ``layer_id`` of polygons that hold some point."""
+    return _some_hits(points, layer, *xy, "layer")
+
+
+def _point_hits(points: DataFrame, layer: DataFrame, x: str, y: str) -> DataFrame:
+    """Columns of points and of polygons, without the geometry, for every (point, polygon holding it)."""
     hits = _place_hits(points, layer, x, y).select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col("layer_id").alias("__layer"))
     found = points.join(hits, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")))
-    return found.join(attributes, F.col("__layer") == F.col("layer_id")).drop("__x", "__y", "__layer")
+    return found.join(layer.drop("rings", *BOX), F.col("__layer") == F.col("layer_id")).drop("__x", "__y", "__layer")
 
 
 def spatial_join(
@@ -368,19 +524,18 @@ def spatial_join(
     * points, layer, ``semi`` or ``anti``: points that lie in some polygon, or in none (by ``point_id``)
     * layer, boundary layer, ``semi``: polygons that touch or overlap a polygon of the boundary
 
-    Runs a small job for the grid levels of the layer; polygons of many edges are cut into stored cells first.  Places that are
-    null, NaN or infinite lie in no polygon.
+    Runs small jobs on the layer; polygons are cut into stored cells first.  Places that are null, NaN or infinite lie in no polygon.
     """
     left_is_layer, right_is_layer = "rings" in left.columns, "rings" in right.columns
     if left_is_layer and right_is_layer and how == "semi":
         return _touching(left, right)
     if left_is_layer and how == "semi":
-        return lookup(left, _place_hits(right, left, *xy).select("layer_id"), "layer_id", "left_semi")
+        return lookup(left, sampled_shapes(left, right, xy), "layer_id", "left_semi")
     if right_is_layer and how == "inner":
-        return _point_hits(left, right.drop("rings", *BOX), right, *xy)
+        return _point_hits(left, right, *xy)
     if right_is_layer and how in ("semi", "anti"):
         # Search distinct places, then keep the points whose place was found (or was not).
-        return lookup(left, _place_hits(left, right, *xy).select(*xy), list(xy), f"left_{how}")
+        return lookup(left, located_places(left, right, xy), list(xy), f"left_{how}")
     raise ValueError(f"no {how} join of these sides")
 
 
@@ -397,7 +552,7 @@ def _touching(layer: DataFrame, boundary: DataFrame) -> DataFrame:
         (F.col("own") == F.greatest("a_lv", "b_lv")) & (F.col("b_own") == F.col("own"))
     )
     crossing = pairs.where(_edges_meet(F.col("a_e"), F.col("b_e"))).select(F.col("a_id").alias("layer_id"))
-    inside = _point_hits(_corners(layer, "__id"), boundary.select("layer_id"), boundary, "x", "y").select(F.col("__id").alias("layer_id"))
+    inside = _point_hits(_corners(layer, "__id"), boundary.select("layer_id", "rings", *BOX), "x", "y").select(F.col("__id").alias("layer_id"))
     around = _place_hits(_corners(boundary, "__id"), layer, "x", "y").select("layer_id")
     return lookup(layer, crossing.unionByName(inside).unionByName(around).distinct(), "layer_id", "left_semi")
 

@@ -521,6 +521,50 @@ def test_polygons_equal_rectangle_algebra(spark):
     assert got == {(i, k) for i, x, y in points for k, (a, b, c, d) in boxes.items() if a <= x <= c and b <= y <= d}
 
 
+def test_dense_points_and_polygons_are_settled_by_cells(spark, monkeypatch):
+    """Where nearly all polygons hold nearly all points, few pairs are tested; slanting edges and holes count."""
+    rng = random.Random(16)
+    shapes = {}
+    for i in range(60):
+        x, y, r = rng.uniform(0, 20), rng.uniform(0, 20), rng.uniform(60, 90)
+        hole = [ring((x + 40, y + 40), (x + 43, y + 40), (x + 41, y + 44))] if i % 2 else []
+        shapes[f"s{i}"] = [ring((x, y), (x + r, y + 7), (x + r + 5, y + r), (x + 3, y + r + 9)), *hole]
+    layer = make_layer(spark, shapes)
+    rows = [(i, rng.uniform(-10, 120), rng.uniform(-10, 120)) for i in range(400)] + [(400 + i, float(s[0][0]["x"]), float(s[0][0]["y"])) for i, s in enumerate(shapes.values())]
+    points = spark.createDataFrame(rows, "pid int, x double, y double")
+    edges = layer.select("layer_id", polygons.ring_edges(F.col("rings")).alias("e"))
+    plain = points.crossJoin(edges).where(polygons.covers(F.col("e"), F.col("x"), F.col("y"))).select("pid", "layer_id").collect()
+    want = {(r.pid, r.layer_id) for r in plain}
+    found = spatial_join(points, layer)
+    assert sorted((r.pid, r.layer_id) for r in found.collect()) == sorted(want) and found.columns == ["pid", "x", "y", "layer_id"]
+
+    tested, met_in = [], polygons._met_in
+
+    def watched(placed, cells, how="inner"):
+        out = met_in(placed, cells, how)
+        tested.extend([out.count()] if how == "inner" else [])
+        return out
+
+    for rounds, a_row in ((polygons._CUTS, 1), (polygons._CUTS, polygons.PAIRS_A_ROW), (0, 0)):
+        monkeypatch.setattr(polygons, "_CUTS", rounds)
+        monkeypatch.setattr(polygons, "PAIRS_A_ROW", a_row)
+        monkeypatch.setattr(polygons, "_met_in", watched)
+        assert {r.pid for r in spatial_join(points, layer, "anti").collect()} == {r[0] for r in rows} - {p for p, _ in want}
+        assert {r.layer_id for r in spatial_join(layer, points, "semi").collect()} == {s for _, s in want}
+    assert len(tested) == 6 and max(tested[:2]) * 20 < len(want)  # without cutting again thousands
+
+
+def test_points_in_polygons_with_columns_of_one_name_and_repeated_ids(spark):
+    square = [ring((0, 0), (10, 0), (10, 10), (0, 10))]
+    layer = make_layer(spark, {"a": square, "b": square}).withColumn("x", F.lit("east"))
+    points = spark.createDataFrame([(1, 5.0, 5.0), (2, 0.0, 10.0), (2, 0.0, 10.0), (3, None, 1.0), (4, float("inf"), 1.0)], "pid int, x double, y double")
+    got = sorted(tuple(r) for r in spatial_join(points, layer).collect())
+    assert got == sorted((p, x, y, s, "east") for p, x, y in [(1, 5.0, 5.0), (2, 0.0, 10.0), (2, 0.0, 10.0)] for s in "ab")
+    twice = layer.unionByName(layer.where("layer_id = 'a'"))
+    assert {(r[0], r[3]) for r in spatial_join(points, twice).collect()} == {(p, s) for p in (1, 2) for s in "ab"}
+    assert {r.layer_id for r in spatial_join(twice, points, "semi").collect()} == {"a", "b"}
+
+
 def test_shapes_touching_a_boundary(spark):
     layer = make_layer(spark, SHAPES)
 
