@@ -13,10 +13,9 @@ from tarnbook.functions.numbers import ddmm_to_degrees, decade, decade_label, to
 from tarnbook.functions.text import area_name_key, title_case
 from tarnbook.operators.groups import breaks, distinct_count, group_richness, name_diff, side_by_side, with_level_rank
 from tarnbook.operators.joins import apply_crosswalk, decode, left_lookup, lookup
-from tarnbook.operators.polygons import BOX, spatial_join
+from tarnbook.operators.polygons import located_places, sampled_shapes, spatial_join
 from tarnbook.operators.tidy import bbox_filter, explode_codes, lengthen, stack
 from tarnbook.plans.status import WATCHED, Focal
-from tarnbook.session import cut_lineage
 
 # Names of watershed polygons and the names the survey uses for them.
 WATERSHED_NAMES = {
@@ -120,11 +119,10 @@ def shortlist(sites: DataFrame, key: Sequence[str], size: str, limit: float = 10
 def coverage_report(layer: DataFrame, points: DataFrame, site: Sequence[str], xy=("x", "y")) -> DataFrame:
     """How many polygons there are, how many hold a point, how many sites there are, how many lie in no polygon.
 
-    A site lies in a polygon if one of its points does.  Places are searched once; both counts are made from what was found.
+    A site lies in a polygon if one of its points does.  No row is made for a point and a polygon holding it.
     """
-    hits = cut_lineage(spatial_join(points.select(*xy).distinct(), layer.select("layer_id", "rings", *BOX), "inner", xy))
-    located = lookup(points, hits.select(*xy), list(xy), "left_semi").select(*site).distinct()
-    sampled = hits.select("layer_id").distinct()
+    located = lookup(points, located_places(points, layer, xy), list(xy), "left_semi").select(*site).distinct()
+    sampled = sampled_shapes(layer, points, xy)
     measures = [
         ("polygons_total", layer.agg(F.count(F.lit(1)).alias("n"))),
         ("polygons_sampled", sampled.agg(F.count(F.lit(1)).alias("n"))),
