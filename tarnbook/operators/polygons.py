@@ -151,6 +151,8 @@ def _place_hits(places: DataFrame, layer: DataFrame, x: str, y: str) -> DataFram
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     real = (F.abs(px) < F.lit(float("inf"))) & (F.abs(py) < F.lit(float("inf")))  # neither null, NaN nor infinite
     asked = places.where(real).select(x, y).distinct()
+    # Many pairs come of few bytes, which would otherwise be searched in one task.
+    asked = asked.repartition(_tasks(layer), x, y)
     shapes = layer.where("xmin IS NOT NULL").select("layer_id", "rings", *BOX)
     levels, most = _profile(shapes)
     n_edges = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring))
@@ -161,6 +163,11 @@ def _place_hits(places: DataFrame, layer: DataFrame, x: str, y: str) -> DataFram
     return found.unionByName(_cell_hits(asked, cell_table(shapes.where(~few)), x, y))
 
 
+def _tasks(df: DataFrame) -> int:
+    """Partitions of a shuffle; those asked for by number are not put together, however few bytes they hold."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _profile(shapes: DataFrame) -> tuple[list[int], int]:
     """Grid levels the layer's polygons of few edges use (a few dozen small numbers at most), and the largest number of edges."""
     edges = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring))
@@ -181,7 +188,9 @@ def _whole_hits(places: DataFrame, layer: DataFrame, levels: list[int], x: str,
     placed = places.withColumn("__point_cell", F.explode(F.array(*[cell(v) for v in levels])))
     in_box = px.between(F.col("__xmin"), F.col("__xmax")) & py.between(F.col("__ymin"), F.col("__ymax"))
     same_cell = reduce(lambda a, b: a & b, [F.col(f"__point_cell.{c}") == F.col(f"__{c}") for c in CELL])
-    near = placed.join(_index(layer), same_cell & in_box).select(x, y, "__layer")
+    # The index is dealt by polygon, so that no task has all entries of a crowded cell while the places are few enough to be sent.
+    index = _index(layer).repartition(_tasks(layer), "__layer")
+    near = placed.join(index, same_cell & in_box).select(x, y, "__layer")
     # A polygon's shape is fetched once its box holds the point; it isn't copied into the cells.
     shapes = layer.select("layer_id", ring_edges(F.col("rings")).alias("__edges"))
     return near.join(shapes, F.col("__layer") == F.col("layer_id")).where(covers(F.col("__edges"), px, py)).select(x, y, "layer_id")
@@ -309,7 +318,7 @@ def cell_table(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.explode(ring_edges(F.col("rings"))).alias("e"),
     )
     # One shape may hold most edges: they are spread over all tasks before anything is computed.
-    rows = rows.repartition(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "layer_id", "e")
+    rows = rows.repartition(_tasks(shapes), "layer_id", "e")
     # The first corners are one and two cells above the outside place.
     cells, edges = _cut(rows, F.col("fx"), F.col("fy"), F.col("kids"), F.col("kids"), [F.col("fy") + F.col("size") * j for j in (1, 2)])
     same = (F.col("layer_id") == F.col("__id")) & (F.col("cell") == F.col("__cell"))
@@ -420,8 +429,7 @@ def _fine_cells(shapes: DataFrame) -> DataFrame:
     boxed = shapes.withColumn("__lv", F.greatest(_level(shapes) - 1, F.lit(_FINEST)))
     cells = F.transform(_cells(*[F.col(c) for c in BOX], F.col("__lv")), lambda c: _cell(c["lv"] * 2, c["cx"], c["cy"]))
     # A polygon has many cells, so that few bytes are much work: they are spread over all tasks beforehand.
-    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = boxed.withColumns({"__cells": cells, "__edges": ring_edges(F.col("rings"))}).drop("rings", "__lv").repartition(tasks, "layer_id", *BOX)
+    dealt = boxed.withColumns({"__cells": cells, "__edges": ring_edges(F.col("rings"))}).drop("rings", "__lv").repartition(_tasks(shapes), "layer_id", *BOX)
     return _sorted_out(dealt.withColumn("__cell", F.explode("__cells")).drop("__cells", *BOX))
 
 
@@ -504,10 +512,18 @@ def sampled_shapes(layer: DataFrame, points: DataFrame, xy: tuple[str, str] = ("
 
 
 def _point_hits(points: DataFrame, layer: DataFrame, x: str, y: str) -> DataFrame:
-    """Columns of points and of polygons, without the geometry, for every (point, polygon holding it)."""
+    """Columns of points and of polygons, without the geometry, for every (point, polygon holding it).
+
+    There may be as many rows as points times polygons.  So places get all columns of their polygons first, and the points of a
+    place come last: no row of the result is shuffled or joined again.
+    """
     hits = _place_hits(points, layer, x, y).select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col("layer_id").alias("__layer"))
-    found = points.join(hits, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")))
-    return found.join(layer.drop("rings", *BOX), F.col("__layer") == F.col("layer_id")).drop("__x", "__y", "__layer")
+    told = [c for c in layer.columns if c not in ("rings", *BOX)]
+    names = {c: f"__told_{i}" for i, c in enumerate(told)}
+    shown = layer.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    described = hits.join(shown, F.col("__layer") == F.col(names["layer_id"])).drop("__layer")
+    found = points.join(described, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")))
+    return found.select(*[F.col(f"`{c}`") for c in points.columns], *[F.col(n).alias(c) for c, n in names.items()])
 
 
 def spatial_join(

@@ -521,6 +521,16 @@ def test_polygons_equal_rectangle_algebra(spark):
     assert got == {(i, k) for i, x, y in points for k, (a, b, c, d) in boxes.items() if a <= x <= c and b <= y <= d}
 
 
+def test_many_pairs_of_few_points_and_polygons_are_made_in_many_tasks(spark):
+    """Points and polygons fit a task each, their pairs need not: the table of pairs is made in several."""
+    layer = make_layer(spark, {f"b{i}": [ring((i, 0), (i + 50, 0), (i + 50, 50), (i, 50))] for i in range(40)}).coalesce(1)
+    points = spark.createDataFrame([(i, 45.0 + i % 4, float(i % 50)) for i in range(200)], "pid int, x double, y double").coalesce(1)
+    rows = spatial_join(points, layer).withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 200 * 40 and len({(r.pid, r.layer_id) for r in rows}) == 200 * 40
+    sizes = [sum(r.task == task for r in rows) for task in {r.task for r in rows}]
+    assert len(sizes) > 1 and max(sizes) < len(rows) / 2
+
+
 def test_dense_points_and_polygons_are_settled_by_cells(spark, monkeypatch):
     """Where nearly all polygons hold nearly all points, few pairs are tested; slanting edges and holes count."""
     rng = random.Random(16)
