@@ -25,13 +25,18 @@ def _all_detections(rows, second):
     return with_records(rows, second, SITE_COLUMNS)
 
 
-def _stored(t):
-    """Visits and catches, put together once; each of several uses then reads its own columns."""
-    return cut_lineage(sites(t)), cut_lineage(catches(t))
+# What a master is made from: neither dates as text nor the ids of lines, which are the widest columns.
+_VISIT = ["site_id", *SITE, *XY, *MORPHOLOGY]
+_CATCH = [*SITE_COLUMNS, "species_name", "year", "database", *XY]
+
+
+def _stored(t, visit, catch):
+    """Visits and catches with the columns some use reads, put together once; each of several uses then reads its own."""
+    return cut_lineage(sites(t).select(*visit)), cut_lineage(catches(t).select(*catch))
 
 
 def _master(t, second, stored=None):
-    visits, rows = stored or _stored(t)
+    visits, rows = stored or _stored(t, _VISIT, _CATCH)
     master = site_master(_all_detections(rows, second), visits, rows, second, SITE, XY, MORPHOLOGY, FOCAL, "v3", DATABASES)
     return master.withColumns({c: F.round(c, 6) for c in XY})
 
@@ -94,7 +99,7 @@ UNION ALL SELECT {SITE_SQL}, watershed_code, species_name, year, database, NULL,
 )
 def _(t):
     second = cut_lineage(ready(t))
-    stored = _stored(t)
+    stored = _stored(t, [*_VISIT, "watershed_code", "assessment_date_raw"], [*_CATCH, "captured_date_raw"])
     visits = stored[0].withColumnRenamed("surface_area_ha", "visit_area_ha")
     enriched = enrich_catches(stored[1].drop(*XY), visits, SITE_COLUMNS, cols=("visit_area_ha",))
     listed = community_list(enriched, cut_lineage(_master(t, second, stored)), second.drop(*XY), SITE)
@@ -134,7 +139,7 @@ LEFT JOIN ws ON g.primary_watershed = ws.primary_watershed LEFT JOIN counties c
 def _(t):
     found = match(records(t), targets(t), "name_all", XY, SITE_COLUMNS)
     matched = cut_lineage(matched_detections(found, "records", SITE_COLUMNS))
-    visits, rows = _stored(t)
+    visits, rows = _stored(t, ["site_id", *SITE, *XY], [*_CATCH, "captured_date_raw", "row_id"])
     status = site_status(_all_detections(rows, matched), SITE, "primary_watershed", "species_name", "year", FOCAL, "v2")
     yearly = site_species_year(rows, matched, visits, status, SITE, XY, FOCAL, "v2")
     return yearly.select(*_YEARLY.split(", "))

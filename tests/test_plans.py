@@ -1,11 +1,14 @@
 """Whole jobs on small fixtures: status rules, matching, masters, layers."""
 
+import datetime
 import itertools
 import xml.dom.minidom
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from tarnbook.catalog import masters
 from tarnbook.operators.polygons import spatial_join
 from tarnbook.plans import harmonise as lists
 from tarnbook.plans import layers, master, match
@@ -263,6 +266,25 @@ def test_site_master(spark):
     assert (z.lon, z.lat, z.data_source, z.ws_status) == (-61.0, 45.5, "records Only", "Chain Pickerel only")
 
 
+def test_a_master_stores_what_it_is_made_from(spark, monkeypatch):
+    """Line ids and dates as text are the widest columns of all catches, and no master reads them."""
+    tables = SimpleNamespace(
+        spark=spark,
+        region=spark.createDataFrame([(1, "C")], "r_regionkey int, r_name string"),
+        nation=spark.createDataFrame([(2, "N", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        customer=spark.createDataFrame([(5, "x", 2, 1.5, "M")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        orders=spark.createDataFrame([(7, 5, 9.0, datetime.datetime(1998, 2, 6), "5-LOW")], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        part=spark.createDataFrame([(3, "Brand#1")], "p_partkey long, p_brand string"),
+        lineitem=spark.createDataFrame([(7, 3, 4, 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+    )
+    stored = []
+    monkeypatch.setattr(masters, "cut_lineage", lambda df: stored.append(df.columns) or df)
+    second = spark.createDataFrame([], "county string, site_code long, name string, primary_watershed string, watershed_code string, species_name string, year int, database string, record_id string, x double, y double")
+    row = masters._master(tables, second).first()
+    assert (row.name, row.first_a, row.volume_m3, row.data_source) == ("x 5-LOW", 1998, 9.0, "main Only")
+    assert len(stored) == 2 and not {"row_id", "captured_date_raw", "assessment_date_raw"} & {c for columns in stored for c in columns}
+
+
 def test_community_list(spark):
     sites, catches, records = master_inputs(spark)
     dated = catches.withColumn("date", F.make_date("year", F.lit(7), F.lit(1)))
