@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarnbook.llm import decontaminate, fingerprint, graph, langid, mixing, ngram, quality, queries, rlz, segments, simhash, suffix, urls
+from tarnbook.session import cut_lineage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, thash string, word string, size string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -319,6 +320,32 @@ def test_the_first_copy_stays_though_its_row_repeats(spark, hot, monkeypatch):
     assert got == [(1, 0), (1, 0), (2, 60)]
 
 
+@pytest.mark.parametrize("block", [1 << 18, 100])
+def test_hot_windows_make_no_rows_of_their_own(spark, block, monkeypatch):
+    """Near copies: every text has the passage with another letter changed.  Rows follow the texts, not the windows."""
+    monkeypatch.setattr(segments, "HOT_WINDOWS", 20)
+    monkeypatch.setattr(segments, "BLOCK_WINDOWS", block, raising=False)
+    stored = []
+
+    def counted(df, *args):
+        kept = cut_lineage(df, *args)
+        stored.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(segments, "cut_lineage", counted)
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefghi ") for _ in range(900))
+    texts = {i: passage[: 20 * i] + "Z" + passage[20 * i + 1 :] for i in range(1, 41)} | {None: passage[100:700]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    raw = {-1 if i is None else i: t.encode() for i, t in texts.items()}
+    for keep in ("none", "first"):
+        got = {r["doc_id"]: r["n_removed"] for r in suffix.removal_report(suffix.duplicate_spans(docs, width=240, keep=keep), 240).collect()}
+        for i, gone in repeated_bytes(raw, 240, keep).items():
+            assert got[None if i < 0 else i] == sum(gone), i
+    # About 240 windows of each text hold its letter; in the old way each of them was a row.
+    assert max(stored) < 40 * 60
+
+
 def test_suffix_ranks_are_in_suffix_order():
     data = np.frombuffer(b"mississippi banana mississippi", dtype=np.uint8)
     rank = suffix.suffix_ranks(data, 12)
