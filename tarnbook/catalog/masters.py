@@ -13,7 +13,7 @@ from tarnbook.plans.master import (
 )
 from tarnbook.plans.match import match, matched_detections, with_records
 from tarnbook.plans.status import area_status, enrich_catches, site_status
-from tarnbook.session import cut_lineage, scratch_path
+from tarnbook.session import bounded_tasks, cut_lineage, scratch_path
 from tarnbook.sources.kml import FOOTER, HEADER, INNER_CLOSE, INNER_OPEN, OUTER_CLOSE, OUTER_OPEN, TITLE
 
 _MEASURES = ", ".join(f"arg_min({c}, site_id) FILTER ({c} IS NOT NULL) AS {c}" for c in MORPHOLOGY)
@@ -73,6 +73,7 @@ def _(t):
 
 @query("site_coordinates", f"{MASTER_CTES} SELECT {SITE_SQL}, round(x, 6) AS x, round(y, 6) AS y FROM (SELECT * FROM places UNION ALL SELECT {SITE_SQL}, x, y FROM fallback f WHERE NOT EXISTS (SELECT 1 FROM places p WHERE {SAME_SITE.format(a='f', b='p')}))")
 def _(t):
+    bounded_tasks(t.spark)
     found = site_coordinates(sites(t), catches(t), ready(t), SITE, XY)
     return found.withColumns({c: F.round(c, 6) for c in XY})
 

@@ -31,12 +31,13 @@ def site_coordinates(
     """One coordinate per site: the mean of its places in the site table, else of those of its catches, else
     the place of its first record.
 
-    The sources are reduced to distinct places and stacked, so one aggregation decides; nothing fans out.
+    The sources are reduced to distinct places and stacked, so one aggregation decides; nothing fans out.  Nearly every row of the site
+    table is a place of its own: it is dealt evenly first, so that no task has as many places as a file has rows.
     """
     def places(df: DataFrame, rank: int) -> DataFrame:
         return df.select(*keys, *xy, F.lit(rank).alias("__rank"))
 
-    stacked = places(sites, 0).unionByName(places(catches, 1)).distinct()
+    stacked = places(sites, 0).hint("rebalance").unionByName(places(catches, 1)).distinct()
     if records is not None:
         first = top_row(records.select(*keys, *xy, "record_id"), keys, ["record_id"])
         stacked = stacked.unionByName(places(first, 2))

@@ -22,6 +22,7 @@ from tarnbook.plans.status import (
     status_crosstab,
     with_status,
 )
+from tarnbook.session import bounded_tasks
 from tarnbook.sources import schemas
 from tarnbook.sources.layers import as_layer
 
@@ -407,3 +408,23 @@ def test_harmonised_lists(spark):
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(
         map(str, [("G", "L", None, "S", "c", 44.0, -63.0, "d1"), ("H", None, "R", "S", "c", 45.0, None, "d2"), ("I", "M", None, "T", "e", 46.0, -63.0, "d3")])
     )
+
+
+def test_places_of_sites_are_dealt_before_they_are_reduced(spark):
+    """A file of many sites is not one task's hash table; repeated visits and null keys count as before."""
+    sites = spark.createDataFrame([("a", 1.0, 2.0)] * 3 + [("a", 3.0, 4.0), (None, 5.0, 6.0), ("b", None, 1.0)], "name string, lon double, lat double")
+    catches = spark.createDataFrame([("a", 9.0, 9.0), ("b", 7.0, 8.0), ("b", 7.0, 8.0), ("c", 1.0, 1.0)], "name string, lon double, lat double")
+    found = master.site_coordinates(sites, catches, keys=["name"])
+    assert {tuple(r) for r in found.collect()} == {("a", 2.0, 3.0), (None, 5.0, 6.0), ("b", 7.0, 1.0), ("c", 1.0, 1.0)}
+    assert "RebalancePartitions" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_stay_bounded_with_few_shuffle_partitions(spark):
+    names = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        bounded_tasks(spark)
+        assert [spark.conf.get(n) for n in names] == ["200", "16m"]
+    finally:
+        for n, value in before.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
