@@ -128,9 +128,12 @@ def site_species_year(
 
     group = [*keys, "species_name", "year"]
     carried = [c for c in stacked.columns if c not in group and c not in ("database", "row_id", *drop)]
-    rows = stacked.groupBy(*group).agg(
-        F.array_join(F.array_sort(F.collect_set("database")), "+").alias("database"),
-        F.min_by(F.struct(*carried), F.struct("__order", "row_id")).alias("__first"),
+    # With the hash in front rows are sorted by a number; two databases need no set, whose groups Spark keeps as objects.
+    few = stacked.select("database").where("database is not null").distinct().limit(3).count() < 3
+    low, high = F.min("database"), F.max("database")
+    label = F.concat_ws("+", low, F.when(high != low, high)) if few else F.array_join(F.array_sort(F.collect_set("database")), "+")
+    rows = stacked.groupBy(F.xxhash64(*group).alias("__hash"), *group).agg(
+        label.alias("database"), F.min_by(F.struct(*carried), F.struct("__order", "row_id")).alias("__first")
     ).select(*group, "database", "__first.*")
 
     # What is known of a site is put together on the small site table, so that the rows above are joined once.
@@ -139,7 +142,10 @@ def site_species_year(
     for key, name in (("primary_watershed", "ws_status"), ("county", "county_status")):
         known = left_lookup(known, area_status(site, key, rules, focal, name), key)
     place = top_row(sites.select(*keys, *xy, "site_id"), keys, ["site_id"]).select(*keys, *[F.col(c).alias(f"__{c}") for c in xy])
-    joined = left_lookup(rows, left_lookup(known, place, keys), keys)
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumn("__hash", F.xxhash64(*keys))
+
+    joined = left_lookup(hashed(rows), hashed(left_lookup(known, place, keys)), ["__hash", *keys]).drop("__hash")
     placed = joined.withColumns({c: F.when(F.col("__order") == 0, F.col(f"__{c}")).otherwise(F.col(c)) for c in xy})
     return relocate(placed.drop("__order", *[f"__{c}" for c in xy]), ["database"], after="county_status")
 

@@ -428,3 +428,21 @@ def test_tasks_stay_bounded_with_few_shuffle_partitions(spark):
     finally:
         for n, value in before.items():
             spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+
+
+@pytest.mark.parametrize("third", [False, True])
+def test_site_species_year_joins_databases_and_sorts_by_a_hash(spark, third):
+    """One or two databases need no set; with a third all are listed.  Null databases are left out."""
+    catches = spark.createDataFrame(
+        [("1", "a", "w", "c", "Smallmouth Bass", 2001, "main", "x"), ("2", "a", "w", "c", "Smallmouth Bass", 2001, None, "y"), ("3", None, "w", "c", "Eel", None, None, "z"), *[("4", "a", "w", "c", "Smallmouth Bass", 2001, "other", "v")] * third],
+        "row_id string, name string, primary_watershed string, county string, species_name string, year int, database string, note string",
+    )
+    matched = spark.createDataFrame([(5, "a", "w", "c", "Smallmouth Bass", 2001, "records", 1.0, 2.0)], "record_id long, name string, primary_watershed string, county string, species_name string, year int, database string, lon double, lat double")
+    sites = spark.createDataFrame([(1, "a", "w", "c", 3.0, 4.0)], "site_id long, name string, primary_watershed string, county string, lon double, lat double")
+    keys = ["county", "name", "primary_watershed"]
+    status = site_status(catches, keys, "primary_watershed", "species_name", "year", rules="v2")
+    found = master.site_species_year(catches.withColumns({c: F.lit(0.0) for c in ("lon", "lat")}), matched, sites, status, keys)
+    got = {(r["name"], r["year"]): (r["database"], r["note"], r["lon"], r["lat"]) for r in found.collect()}
+    assert got == {("a", 2001): ("main+other+records" if third else "main+records", "x", 3.0, 4.0), (None, None): ("", "z", None, None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and ("collect_set" in plan) == third
