@@ -420,11 +420,11 @@ def test_places_of_sites_are_dealt_before_they_are_reduced(spark):
 
 
 def test_tasks_stay_bounded_with_few_shuffle_partitions(spark):
-    names = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    names = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
     before = {n: spark.conf.get(n, None) for n in names}
     try:
         bounded_tasks(spark)
-        assert [spark.conf.get(n) for n in names] == ["200", "16m"]
+        assert [spark.conf.get(n) for n in names] == ["200", "16m", "16m"]
     finally:
         for n, value in before.items():
             spark.conf.unset(n) if value is None else spark.conf.set(n, value)
