@@ -346,6 +346,43 @@ def test_hot_windows_make_no_rows_of_their_own(spark, block, monkeypatch):
     assert max(stored) < 40 * 60
 
 
+@pytest.mark.parametrize("keep", ["smaller", "none", "first"])
+def test_segments_that_stand_once_are_stored_once(spark, keep, monkeypatch):
+    """Of texts of which two share a passage, little is stored or shuffled after the segments; the texts are shuffled once."""
+    stored = []
+
+    def counted(df, *args):
+        kept = cut_lineage(df, *args)
+        stored.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(segments, "cut_lineage", counted)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(11)
+        words = {i: [f"w{rng.randint(0, 10**9)}" for _ in range(300)] for i in range(40)}
+        words[30][100:180] = words[20][50:130]
+        words[35][7:70] = words[20][60:123]
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string")
+        docs = cut_lineage(docs)
+        if keep == "smaller":
+            out = rlz.removal_report(rlz.duplicate_factors(docs))
+            got = {r["doc_id"]: r["n_removed"] for r in out.collect()}
+            assert {i: n for i, n in got.items() if n} == {30: 80, 35: 63}
+        else:
+            out = suffix.removal_report(suffix.duplicate_spans(docs, width=240, keep=keep), 240)
+            got = {r["doc_id"]: r["n_removed"] for r in out.collect()}
+            raw = {i: " ".join(w).encode() for i, w in words.items()}
+            assert got == {i: sum(gone) for i, gone in repeated_bytes(raw, 240, keep).items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # The segments themselves are stored first; before, their classes were as many again.
+    assert max(stored[1:]) < stored[0] / 10
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
+
+
 def test_suffix_ranks_are_in_suffix_order():
     data = np.frombuffer(b"mississippi banana mississippi", dtype=np.uint8)
     rank = suffix.suffix_ranks(data, 12)
