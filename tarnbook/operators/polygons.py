@@ -9,7 +9,8 @@ their cell on each level in use; the exact test runs on what is left after the b
 edges are cut into cells of few edges, so that a point is never tested against a whole coast line.
 
 Whether a place lies in some polygon, or a polygon holds some place, is settled without a row for every pair, since both may be
-dense: polygons of few edges are sorted out cell by cell, and one that holds a whole cell holds all its points.
+dense: polygons of few edges are sorted out cell by cell, and one that holds a whole cell holds all its points.  Where all pairs are
+wanted and points have places of their own, the pairs are made in one join of points and such cells, and never moved.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnbook.operators.joins import lookup
-from tarnbook.session import cut_lineage
+from tarnbook.session import PIECES, cut_lineage
 
 RING_TYPE = "array<array<struct<x:double,y:double>>>"
 BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -33,6 +34,15 @@ _IN_VAIN = 4
 #: Cells are cut again while the pairs left to test are more than this many times the rows, but not more often than _CUTS.
 PAIRS_A_ROW = 8
 _CUTS = 6
+#: So many points of a cell are tested by a polygon's edges before it pays to cut the cell: a test that Spark compiles costs little.
+POINTS_A_CUT = 1000
+#: Edges that are tested by compiled code.
+SLOTS = 4
+PAIRS_A_TASK = 10_000_000
+#: Points a place from which on places are searched once for all their points.
+SHARED_PLACES = 4
+POINTS_A_BLOCK = 10_000
+BROADCAST_CELLS = 10_000  # crowded cells sent to all tasks are no more
 
 
 def flatten_rings(rings: Column) -> Column:
@@ -150,9 +160,9 @@ def _place_hits(places: DataFrame, layer: DataFrame, x: str, y: str) -> DataFram
     """
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     real = (F.abs(px) < F.lit(float("inf"))) & (F.abs(py) < F.lit(float("inf")))  # neither null, NaN nor infinite
-    asked = places.where(real).select(x, y).distinct()
-    # Many pairs come of few bytes, which would otherwise be searched in one task.
-    asked = asked.repartition(_tasks(layer), x, y)
+    # Many pairs come of few bytes, which would otherwise be searched in one task: Spark drops a second shuffle by the same columns,
+    # and puts together the pieces of the first.
+    asked = places.where(real).select(x, y).repartition(_tasks(layer), x, y).distinct()
     shapes = layer.where("xmin IS NOT NULL").select("layer_id", "rings", *BOX)
     levels, most = _profile(shapes)
     n_edges = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring))
@@ -407,7 +417,9 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
     rows = once(rows, "__edges", level)
     rows = once(rows, "__met", F.exists("__edges", meets))
     rows = rows.where(F.col("__met") | covers(F.col("__edges"), (x1 + x2) / 2, (y1 + y2) / 2))
-    near, beyond = F.filter("__edges", lambda e: ~passes(e)), F.filter("__edges", passes)
+    # An edge along x that is right of the cell tells nothing.
+    near = F.filter("__edges", lambda e: (low(e, "x") <= x2) | ((e["y1"] != e["y2"]) & ~passes(e)))
+    beyond = F.filter("__edges", passes)
     told = F.when(F.col("__met"), F.concat(near, F.slice(beyond, F.lit(1), F.size(beyond) % 2))).otherwise(F.slice("__edges", 1, 0))
     return rows.withColumns({"__edges": told, "__whole": ~F.col("__met")}).drop("__sides", "__met")
 
@@ -421,16 +433,17 @@ def _sides(cell: Column) -> Column:
     return sides(*_corner(cell))
 
 
-def _fine_cells(shapes: DataFrame) -> DataFrame:
+def _fine_cells(shapes: DataFrame, layer_id: str = "layer_id") -> DataFrame:
     """Polygons with their attributes, a row for every cell: ``__cell, __whole, __edges``; a box is up to sixteen cells wide.
 
     Cells are squares of side 2^lv here, as those of polygons of many edges.
     """
-    boxed = shapes.withColumn("__lv", F.greatest(_level(shapes) - 1, F.lit(_FINEST)))
-    cells = F.transform(_cells(*[F.col(c) for c in BOX], F.col("__lv")), lambda c: _cell(c["lv"] * 2, c["cx"], c["cy"]))
     # A polygon has many cells, so that few bytes are much work: they are spread over all tasks beforehand.
-    dealt = boxed.withColumns({"__cells": cells, "__edges": ring_edges(F.col("rings"))}).drop("rings", "__lv").repartition(_tasks(shapes), "layer_id", *BOX)
-    return _sorted_out(dealt.withColumn("__cell", F.explode("__cells")).drop("__cells", *BOX))
+    boxed = shapes.repartition(_tasks(shapes), layer_id, *BOX).withColumn("__lv", F.greatest(_level(shapes) - 1, F.lit(_FINEST)))
+    cells = F.transform(_cells(*[F.col(c) for c in BOX], F.col("__lv")), lambda c: _cell(c["lv"] * 2, c["cx"], c["cy"]))
+    dealt = boxed.withColumns({"__cells": cells, "__edges": ring_edges(F.col("rings"))}).drop("rings", "__lv")
+    # The outer form keeps Spark from computing the cells once more, before they are spread, for an inferred filter.
+    return _sorted_out(dealt.withColumn("__cell", F.explode_outer("__cells")).drop("__cells", *BOX))
 
 
 def _cut_again(rows: DataFrame) -> DataFrame:
@@ -514,16 +527,130 @@ def sampled_shapes(layer: DataFrame, points: DataFrame, xy: tuple[str, str] = ("
 def _point_hits(points: DataFrame, layer: DataFrame, x: str, y: str) -> DataFrame:
     """Columns of points and of polygons, without the geometry, for every (point, polygon holding it).
 
-    There may be as many rows as points times polygons.  So places get all columns of their polygons first, and the points of a
-    place come last: no row of the result is shuffled or joined again.
+    There may be as many rows as points times polygons, so no row of the result is shuffled or joined again.  Where points have places of
+    their own all rows are made in one join, by cell.  Where places are shared they are searched once and get all columns of
+    their polygons, and their points come last; so are polygons of more than :data:`CELL_EDGES` edges, and those that share their id.
     """
-    hits = _place_hits(points, layer, x, y).select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col("layer_id").alias("__layer"))
     told = [c for c in layer.columns if c not in ("rings", *BOX)]
     names = {c: f"__told_{i}" for i, c in enumerate(told)}
-    shown = layer.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    described = hits.join(shown, F.col("__layer") == F.col(names["layer_id"])).drop("__layer")
-    found = points.join(described, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")))
-    return found.select(*[F.col(f"`{c}`") for c in points.columns], *[F.col(n).alias(c) for c, n in names.items()])
+    places = cut_lineage(points.groupBy(x, y).agg(F.count(F.lit(1)).alias("__n")))
+    n_places, n_points = places.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    rest, found = layer, []
+    if n_points and n_points < SHARED_PLACES * n_places:
+        n_edges = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring))
+        boxed = layer.where("xmin IS NOT NULL AND layer_id IS NOT NULL")
+        by_id = boxed.groupBy("layer_id").agg(F.count(F.lit(1)).alias("n"), F.max(n_edges).alias("most"))
+        by_id = cut_lineage(by_id.where((F.col("n") > 1) | (F.col("most") > CELL_EDGES)).select("layer_id"))
+        rest = None if by_id.isEmpty() else lookup(layer, by_id, "layer_id", "left_semi")
+        few = boxed if rest is None else lookup(boxed, by_id, "layer_id", "left_anti")
+        shapes = few.select("rings", *BOX, *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+        found.append(_cell_pairs(points, shapes, x, y, names["layer_id"]))
+    if rest is not None:
+        hits = _place_hits(points, rest, x, y).select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col("layer_id").alias("__layer"))
+        shown = rest.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+        described = hits.join(shown, F.col("__layer") == F.col(names["layer_id"])).drop("__layer")
+        found.append(_place_pairs(points, places, n_points or 0, described, x, y))
+    columns = [F.col(f"`{c}`") for c in points.columns]
+    found = reduce(DataFrame.unionByName, [df.select(*columns, *names.values()) for df in found])
+    return found.select(*columns, *[F.col(n).alias(c) for c, n in names.items()])
+
+
+def _place_pairs(points: DataFrame, places: DataFrame, n_points: int, hits: DataFrame, x: str, y: str) -> DataFrame:
+    """Points joined to what was found for their places (``__x, __y`` and more); places of very many points are dealt in blocks of them.
+
+    By a merge, since Spark makes many rows of a key fastest that way.
+    """
+    block = max(POINTS_A_BLOCK, n_points // BROADCAST_CELLS)
+    # No more than BROADCAST_CELLS.
+    crowded = cut_lineage(places.where(F.col("__n") > block).select(F.col(x).alias("__cx"), F.col(y).alias("__cy"), F.ceil(F.col("__n") / block).alias("__blocks")))
+    keys, others = [x, y], ["__x", "__y"]
+    if not crowded.isEmpty():
+        own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), "__blocks")
+        points = points.join(F.broadcast(crowded), (F.col(x) == F.col("__cx")) & (F.col(y) == F.col("__cy")), "left")
+        points = points.withColumn("__block", F.coalesce(own, F.lit(0).cast("long"))).drop("__cx", "__cy", "__blocks")
+        hits = hits.join(F.broadcast(crowded), (F.col("__x") == F.col("__cx")) & (F.col("__y") == F.col("__cy")), "left")
+        every = F.sequence(F.lit(0).cast("long"), F.coalesce("__blocks", F.lit(1).cast("long")) - 1)
+        hits = hits.withColumn("__h_block", F.explode(every)).drop("__cx", "__cy", "__blocks")
+        keys, others = [*keys, "__block"], [*others, "__h_block"]
+    same = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in zip(keys, others)])
+    return points.join(hits.hint("merge"), same)
+
+
+def _cell_pairs(points: DataFrame, shapes: DataFrame, x: str, y: str, layer_id: str) -> DataFrame:
+    """Columns of points and attributes of polygons of few edges (``rings``, box and attributes), for every point in a polygon.
+
+    A cell's polygons either hold it whole, or are tested by the edges that tell.  Cells are cut again where a polygon's edges would be
+    tested for many points.  The cells of most pairs are dealt in blocks of points, so that no task has all pairs of a crowded spot.
+    """
+    attributes = [c for c in shapes.columns if c not in ("rings", *BOX)]
+    at, cell = [f"__{c}" for c in CELL], F.struct(*[F.col(f"__{c}").alias(c) for c in CELL]).alias("__cell")
+    left, done, in_use, total, lists = cut_lineage(_fine_cells(shapes, layer_id)), [], set(), 0, False
+    for again in range(_CUTS + 1):
+        crowds = _in_cells(points, _levels(left), x, y).groupBy(*at).agg(F.count(F.lit(1)).alias("__n")).select(cell, "__n")
+        # Cells without points go.
+        met_by = cut_lineage(left.join(crowds, "__cell"))
+        listed = F.size("__edges") > SLOTS
+        often = F.when(listed, POINTS_A_CUT // 10).otherwise(POINTS_A_CUT)
+        crowded = ~F.col("__whole") & (F.col("__n") > often) & (F.col("__cell.lv") > 2 * _FINEST)
+        crowded = F.lit(False) if again == _CUTS else crowded
+        done.append(met_by.where(~crowded))
+        lv, some_listed, n = done[-1].agg(F.collect_set("__cell.lv"), F.bool_or(listed), F.sum("__n")).first()
+        in_use, lists, total = in_use | set(lv), lists or bool(some_listed), total + (n or 0)
+        left = met_by.where(crowded).drop("__n")
+        if again == _CUTS or left.isEmpty():
+            break
+        left = cut_lineage(_cut_again(left))
+    cells, levels = reduce(DataFrame.unionByName, done), sorted(in_use)
+
+    tasks = max(_tasks(shapes), min(PIECES, total // PAIRS_A_TASK))
+    blocks = None
+    if total > PAIRS_A_TASK:
+        # The cells of so many pairs are no more than BROADCAST_CELLS.
+        most = max(PAIRS_A_TASK // 4, total // BROADCAST_CELLS)
+        sizes = cells.groupBy("__cell").agg(F.sum("__n").alias("__pairs")).where(F.col("__pairs") > most)
+        blocks = cut_lineage(sizes.select("__cell", F.ceil(F.col("__pairs") / most).alias("__blocks")))
+    placed, keys = _in_cells(points, levels, x, y), [*at]
+    if blocks is not None:
+        own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), "__blocks")
+        placed = placed.withColumn("__cell", cell).join(F.broadcast(blocks), "__cell", "left").withColumn("__block", F.coalesce(own, F.lit(0).cast("long")))
+        every = F.sequence(F.lit(0).cast("long"), F.coalesce("__blocks", F.lit(1).cast("long")) - 1)
+        cells = cells.join(F.broadcast(blocks), "__cell", "left").withColumn("__c_block", F.explode(every))
+        keys.append("__block")
+    placed = placed.select(*[F.col(f"`{c}`") for c in points.columns], "__px", "__py", *keys).repartition(tasks, *keys)
+
+    def met(rows: DataFrame, edges: list[Column]) -> DataFrame:
+        """Join of places and cells, sorted, since Spark makes many rows of a key fastest by a merge; as many tasks as asked for by number."""
+        named = [F.col(f"__cell.{c}").alias(f"__c_{c}") for c in CELL] + [F.col("__c_block")] * (len(keys) > len(at))
+        others = [f"__c_{c.removeprefix('__')}" for c in keys]
+        same = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in zip(keys, others)])
+        return placed.join(rows.select(*attributes, "__whole", *edges, *named).repartition(tasks, *others).hint("merge"), same)
+
+    def shown(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f"`{c}`") for c in points.columns], *attributes)
+
+    px, py = F.col("__px"), F.col("__py")
+    found = shown(met(cells.where(~listed), _slots(F.col("__edges"))).where(F.col("__whole") | _in_slots(px, py)))
+    if not lists:
+        return found
+    return found.unionByName(shown(met(cells.where(listed), [F.col("__edges")]).where(covers(F.col("__edges"), px, py))))
+
+
+def _slots(edges: Column) -> list[Column]:
+    """The first :data:`SLOTS` edges as plain numbers, none of them null; an edge that isn't there is NaN."""
+    nothing = F.lit(float("nan"))
+    return [F.coalesce(F.get(edges, F.lit(k))[c], nothing).alias(f"__{c}_{k}") for k in range(SLOTS) for c in ("x1", "y1", "x2", "y2")]
+
+
+def _in_slots(px: Column, py: Column) -> Column:
+    """:func:`covers` for the edges in slots, spelled out: short enough for the compiler, and nothing lies in NaN."""
+    on, odd = [], []
+    for k in range(SLOTS):
+        e = {c: F.col(f"__{c}_{k}") for c in ("x1", "y1", "x2", "y2")}
+        side = _side(px, py, e)
+        odd.append(((e["y1"] > py) != (e["y2"] > py)) & ((side > 0) == (e["y2"] > e["y1"])))
+        within = [F.signum(p - e[f"{c}1"]) * F.signum(p - e[f"{c}2"]) <= 0 for p, c in ((px, "x"), (py, "y"))]
+        on.append((side == 0) & within[0] & within[1])
+    return reduce(lambda a, b: a | b, on) | reduce(lambda a, b: a != b, odd)
 
 
 def spatial_join(

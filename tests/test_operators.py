@@ -575,6 +575,53 @@ def test_points_in_polygons_with_columns_of_one_name_and_repeated_ids(spark):
     assert {r.layer_id for r in spatial_join(twice, points, "semi").collect()} == {"a", "b"}
 
 
+def crowd(spark, n_places, a_place, n_shapes):
+    """Points around a few places, and slanting shapes around them, some with a hole, some of more edges than fit the slots in a cell."""
+    rng = random.Random(26)
+    shapes = {}
+    for i in range(n_shapes):
+        x, y, r = rng.uniform(0, 20), rng.uniform(0, 20), rng.uniform(20, 40)
+        comb = [(x + r * k / 9, y + r + (k % 2) * 3) for k in range(9, -1, -1)]
+        hole = [ring((x + 5, y + 5), (x + 8, y + 5), (x + 6, y + 9))] if i % 2 else []
+        shapes[f"s{i}"] = [ring((x, y), (x + r, y + 2), *comb), *hole]
+    places = [(rng.uniform(-10, 70), rng.uniform(-10, 70)) for _ in range(n_places)] + [(p["x"], p["y"]) for s in shapes.values() for p in s[0][:3]]
+    points = spark.createDataFrame([(len(places) * k + i, *p) for k in range(a_place) for i, p in enumerate(places)], "pid int, x double, y double")
+    layer = make_layer(spark, shapes)
+    edges = layer.select("layer_id", polygons.ring_edges(F.col("rings")).alias("e"))
+    plain = points.crossJoin(edges).where(polygons.covers(F.col("e"), F.col("x"), F.col("y")))
+    return points, layer, sorted((r.pid, r.layer_id) for r in plain.select("pid", "layer_id").collect())
+
+
+@pytest.mark.parametrize("a_place, block, cut", [(1, 10_000_000, 1000), (1, 40, 10), (polygons.SHARED_PLACES, 10_000, 1000), (polygons.SHARED_PLACES, 3, 1000)])
+def test_all_pairs_of_points_and_polygons(spark, monkeypatch, a_place, block, cut):
+    """Places of their own and shared places; crowded cells and places in blocks; cells that are cut again."""
+    points, layer, want = crowd(spark, 300, a_place, 30)
+    monkeypatch.setattr(polygons, "PAIRS_A_TASK", block)
+    monkeypatch.setattr(polygons, "POINTS_A_BLOCK", block)
+    monkeypatch.setattr(polygons, "POINTS_A_CUT", cut)
+    found = spatial_join(points, layer)
+    assert sorted((r.pid, r.layer_id) for r in found.collect()) == want and found.columns == ["pid", "x", "y", "layer_id"]
+
+
+def test_pairs_of_points_and_polygons_are_not_shuffled(spark):
+    """Where points have places of their own, no shuffle has as many rows as the result, and nothing is found in one task."""
+    points, layer, want = crowd(spark, 2000, 1, 80)
+    found = spatial_join(points.coalesce(1), layer.coalesce(1))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("SortMergeJoin") <= 2 and plan.count("Join [") == plan.count("SortMergeJoin")
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    sizes = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == len(want) and max(sizes) < len(want) / 2
+
+
+def test_shared_places_are_searched_in_many_tasks(spark):
+    layer = make_layer(spark, {f"b{i}": [ring((i, 0), (i + 50, 0), (i + 50, 50), (i, 50))] for i in range(40)}).coalesce(1)
+    points = spark.createDataFrame([(i, 45.0 + i % 4, float(i % 50)) for i in range(200)], "pid int, x double, y double").coalesce(1)
+    hits = polygons._place_hits(points, layer, "x", "y").withColumn("task", F.spark_partition_id()).collect()
+    sizes = [sum(r.task == task for r in hits) for task in {r.task for r in hits}]
+    assert len(hits) == 100 * 40 and len(sizes) > 1 and max(sizes) < len(hits) / 2
+
+
 def test_shapes_touching_a_boundary(spark):
     layer = make_layer(spark, SHAPES)
 
