@@ -139,9 +139,10 @@ LEFT JOIN ws ON g.primary_watershed = ws.primary_watershed LEFT JOIN counties c
 @query("site_species_year", YEARLY_SQL)
 def _(t):
     bounded_tasks(t.spark)
-    found = match(records(t), targets(t), "name_all", XY, SITE_COLUMNS)
+    visits = cut_lineage(sites(t).select("site_id", *SITE_COLUMNS, *XY, "assessment_date_raw", "visit_year"))
+    found = match(records(t), targets(t, visits), "name_all", XY, SITE_COLUMNS)
     matched = cut_lineage(matched_detections(found, "records", SITE_COLUMNS))
-    visits, rows = _stored(t, ["site_id", *SITE, *XY], [*_CATCH, "captured_date_raw", "row_id"])
+    rows = cut_lineage(catches(t, visits).select(*SITE_COLUMNS, "species_name", "year", "database", "captured_date_raw", "row_id"))
     status = site_status(_all_detections(rows, matched), SITE, "primary_watershed", "species_name", "year", FOCAL, "v2")
     yearly = site_species_year(rows, matched, visits, status, SITE, XY, FOCAL, "v2")
     return yearly.select(*_YEARLY.split(", "))

@@ -17,8 +17,9 @@ from tarnbook.session import cut_lineage
 XY = ("x", "y")
 
 
-def targets(t: Tables) -> DataFrame:
-    return sites(t).select("site_id", *SITE_COLUMNS, *XY)
+def targets(t: Tables, visits: DataFrame | None = None) -> DataFrame:
+    """Sites to match; made from ``visits``, if these are stored already."""
+    return (sites(t) if visits is None else visits).select("site_id", *SITE_COLUMNS, *XY)
 
 
 def banded(t: Tables) -> DataFrame:

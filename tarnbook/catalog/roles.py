@@ -67,17 +67,16 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 JOIN region ON n_regionkey = r_regionkey"""
 
 
-def catches(t: Tables) -> DataFrame:
-    """One row per order line."""
-    visits = sites(t)
-    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        "l_orderkey", F.col("p_brand").alias("species_name"),
-        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"),
-    )
+def catches(t: Tables, visits: DataFrame | None = None) -> DataFrame:
+    """One row per order line; ``visits`` are the sites, if these are stored already."""
+    visits = sites(t) if visits is None else visits
+    # Ids are put together after the join: as numbers they take less room in a shuffle.
+    numbers = ("l_linenumber", "l_partkey", "l_suppkey")
+    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("p_brand").alias("species_name"), *numbers)
     return visits.join(lines, F.col("site_id") == F.col("l_orderkey")).select(
         *SITE_COLUMNS, "species_name", F.col("assessment_date_raw").alias("captured_date_raw"),
         F.col("visit_year").alias("year"), F.lit("main").alias("database"), "x", "y",
-        F.concat_ws("-", "l_orderkey", "line_id").alias("row_id"),
+        F.concat_ws("-", "l_orderkey", F.concat_ws("-", *numbers)).alias("row_id"),
     )
 
 

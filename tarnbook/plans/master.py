@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnbook.functions.dates import first_of_january
 from tarnbook.operators.groups import first_non_null, top_row
 from tarnbook.operators.joins import left_lookup
+from tarnbook.operators.nearest import BROADCAST_ROWS
 from tarnbook.operators.tidy import relocate
 from tarnbook.plans.status import WATCHED, Focal, area_status, site_status
 from tarnbook.session import cut_lineage
@@ -124,32 +125,44 @@ def site_species_year(
     """
     main = catches.drop(*xy).withColumn("__order", F.lit(0)).withColumn("row_id", F.col("row_id").cast("string"))
     second = matched.withColumn("__order", F.lit(1)).withColumn("row_id", F.col("record_id").cast("string")).drop("record_id")
-    stacked = main.unionByName(second, allowMissingColumns=True)
+    stacked = _numbered(main.unionByName(second, allowMissingColumns=True), keys)
 
-    group = [*keys, "species_name", "year"]
-    carried = [c for c in stacked.columns if c not in group and c not in ("database", "row_id", *drop)]
-    # With the hash in front rows are sorted by a number; two databases need no set, whose groups Spark keeps as objects.
+    group = ["species_name", "year"]
+    carried = [c for c in stacked.columns if c not in (*_NUMBER, *keys, *group, "database", "row_id", *drop)]
+    # Two databases need no set, whose groups Spark keeps as objects.
     few = stacked.select("database").where("database is not null").distinct().limit(3).count() < 3
     low, high = F.min("database"), F.max("database")
     label = F.concat_ws("+", low, F.when(high != low, high)) if few else F.array_join(F.array_sort(F.collect_set("database")), "+")
-    rows = stacked.groupBy(F.xxhash64(*group).alias("__hash"), *group).agg(
+    # Rows are moved once, by their site's number and without its names; grouping and joins below find them where they are.
+    dealt = stacked.select(*_NUMBER, *group, "database", "row_id", *carried).repartition(*_NUMBER)
+    rows = dealt.groupBy(*_NUMBER, *group).agg(
         label.alias("database"), F.min_by(F.struct(*carried), F.struct("__order", "row_id")).alias("__first")
-    ).select(*group, "database", "__first.*")
+    ).select(*_NUMBER, *group, "database", "__first.*")
 
     # What is known of a site is put together on the small site table, so that the rows above are joined once.
     site = cut_lineage(status.select(*keys, "status_a", "status_b", "site_status"))
     known = site
     for key, name in (("primary_watershed", "ws_status"), ("county", "county_status")):
-        known = left_lookup(known, area_status(site, key, rules, focal, name), key)
-    place = top_row(sites.select(*keys, *xy, "site_id"), keys, ["site_id"]).select(*keys, *[F.col(c).alias(f"__{c}") for c in xy])
-    def hashed(df: DataFrame) -> DataFrame:
-        return df.withColumn("__hash", F.xxhash64(*keys))
+        areas = cut_lineage(area_status(site, key, rules, focal, name))
+        known = left_lookup(known, F.broadcast(areas) if areas.count() <= BROADCAST_ROWS else areas, key)
+    place = top_row(_numbered(sites.select(*keys, *xy, "site_id"), keys).drop(*keys), _NUMBER, ["site_id"]).select(*_NUMBER, *[F.col(c).alias(f"__{c}") for c in xy])
+    named = stacked.groupBy(*_NUMBER).agg(*[F.any_value(c).alias(c) for c in keys])
+    told = left_lookup(left_lookup(named, _numbered(known, keys).drop(*keys), _NUMBER), place, _NUMBER)
 
-    joined = left_lookup(hashed(rows), hashed(left_lookup(known, place, keys)), ["__hash", *keys]).drop("__hash")
+    joined = rows.join(told, list(_NUMBER)).select(*keys, *rows.columns[len(_NUMBER):], *[c for c in told.columns if c not in (*_NUMBER, *keys)])
     placed = joined.withColumns({c: F.when(F.col("__order") == 0, F.col(f"__{c}")).otherwise(F.col(c)) for c in xy})
     return relocate(placed.drop("__order", *[f"__{c}" for c in xy]), ["database"], after="county_status")
 
 
+_NUMBER = ("__site", "__site_too")
+
+
+def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A site's keys as 128 bits (two hashes), so that its names needn't move with every row; a null is a value, in its own place."""
+    told = [*keys, *[F.col(c).isNull() for c in keys]]
+    return df.withColumns({_NUMBER[0]: F.xxhash64(*told), _NUMBER[1]: F.xxhash64(F.lit("too"), *told)})
+
+
 def _map_rows(master: DataFrame, xy: tuple[str, str], keys: Sequence[str]) -> DataFrame:
     shown = {c: F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in ("site_code", "last_sampled_year")}
     county = F.coalesce("county", F.lit("Unknown_County"))

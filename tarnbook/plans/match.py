@@ -98,10 +98,13 @@ def match(
         records, targets, "record_id", "site_id", ("county", "site_county"), ("name", "site_name"),
         {"name_all": "all", "name_best": "best"}[policy], regex,
     ))
-    by_name = records.join(named, "record_id").join(targets.drop(*xy), "site_id")
+    by_name = records.join(named, "record_id").withColumn("matched_by", F.lit("name"))
     rest = cut_lineage(left_unmatched(records, named))
-    by_place = nearest_join(rest, targets, "site_id", xy, max_distance_m=tolerance_m, how="inner")
-    return stack(by_name.withColumn("matched_by", F.lit("name")), by_place.withColumn("matched_by", F.lit("distance")))
+    by_place = nearest_join(rest, targets.select("site_id", *xy), "site_id", xy, max_distance_m=tolerance_m, how="inner")
+    # The sites' columns are joined once to both, since there are far more sites than records.
+    found = stack(by_name, by_place.withColumn("matched_by", F.lit("distance"))).join(targets.drop(*xy), "site_id")
+    told = [c for c in targets.columns if c not in ("site_id", *xy)]
+    return found.select("site_id", "record_id", *[c for c in records.columns if c != "record_id"], *told, "matched_by", "distance_m")
 
 
 def left_unmatched(records: DataFrame, named: DataFrame) -> DataFrame:

@@ -446,3 +446,23 @@ def test_site_species_year_joins_databases_and_sorts_by_a_hash(spark, third):
     assert got == {("a", 2001): ("main+other+records" if third else "main+records", "x", 3.0, 4.0), (None, None): ("", "z", None, None)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64" in plan and ("collect_set" in plan) == third
+
+
+def test_site_species_year_moves_rows_once_and_without_names(spark):
+    """Rows go to their site's number and stay; nulls are told apart by their column, and sites without a status keep their rows."""
+    kind = "row_id string, name string, primary_watershed string, county string, species_name string, year int, database string, note string"
+    rows = [("1", "a", "w", None, "Eel", 2001, "main", "x"), ("2", None, "w", "a", "Eel", 2001, "main", "y"), ("3", "a", "w", None, "Eel", 2001, "main", "z"), ("4", "b", None, "c", "Eel", None, "main", "v")]
+    catches = spark.createDataFrame(rows, kind).withColumns({c: F.lit(0.0) for c in ("lon", "lat")})
+    matched = spark.createDataFrame([(5, "a", "w", None, "Eel", 2002, "records", 1.0, 2.0)], "record_id long, name string, primary_watershed string, county string, species_name string, year int, database string, lon double, lat double")
+    sites = spark.createDataFrame([(2, "a", "w", None, 3.0, 4.0), (1, "a", "w", None, 5.0, 6.0), (3, None, "w", "a", 7.0, 8.0)], "site_id long, name string, primary_watershed string, county string, lon double, lat double")
+    keys = ["county", "name", "primary_watershed"]
+    status = site_status(catches.where("row_id <> '4'"), keys, "primary_watershed", "species_name", "year", rules="v2")
+    found = master.site_species_year(catches, matched, sites, status, keys)
+    assert found.columns == [*keys, "species_name", "year", "note", "lon", "lat", "status_a", "status_b", "site_status", "ws_status", "county_status", "database"]
+    moved = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    got = sorted((str(r["county"]), str(r["name"]), str(r["year"]), r["note"], r["lon"], r["lat"], r["site_status"] is None, r["database"]) for r in found.collect())
+    assert got == [
+        ("None", "a", "2001", "x", 5.0, 6.0, False, "main"), ("None", "a", "2002", None, 1.0, 2.0, False, "records"),
+        ("a", "None", "2001", "y", 7.0, 8.0, False, "main"), ("c", "b", "None", "v", None, None, True, "main"),
+    ]
+    assert moved and not any("species_name" in line for line in moved) and sum("REPARTITION_BY_COL" in line for line in moved) == 1
