@@ -41,6 +41,7 @@ SLOTS = 4
 PAIRS_A_TASK = 10_000_000
 #: Points a place from which on places are searched once for all their points.
 SHARED_PLACES = 4
+FEW_PAIRS = 20_000_000
 POINTS_A_BLOCK = 10_000
 BROADCAST_CELLS = 10_000  # crowded cells sent to all tasks are no more
 
@@ -529,14 +530,15 @@ def _point_hits(points: DataFrame, layer: DataFrame, x: str, y: str) -> DataFram
 
     There may be as many rows as points times polygons, so no row of the result is shuffled or joined again.  Where points have places of
     their own all rows are made in one join, by cell.  Where places are shared they are searched once and get all columns of
-    their polygons, and their points come last; so are polygons of more than :data:`CELL_EDGES` edges, and those that share their id.
+    their polygons, and their points come last; so are polygons of more than :data:`CELL_EDGES` edges, those that share their id, and
+    tables so small that there are no more than :data:`FEW_PAIRS` pairs in any case.
     """
     told = [c for c in layer.columns if c not in ("rings", *BOX)]
     names = {c: f"__told_{i}" for i, c in enumerate(told)}
     places = cut_lineage(points.groupBy(x, y).agg(F.count(F.lit(1)).alias("__n")))
     n_places, n_points = places.agg(F.count(F.lit(1)), F.sum("__n")).first()
     rest, found = layer, []
-    if n_points and n_points < SHARED_PLACES * n_places:
+    if n_points and n_points < SHARED_PLACES * n_places and n_places * layer.count() > FEW_PAIRS:
         n_edges = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring))
         boxed = layer.where("xmin IS NOT NULL AND layer_id IS NOT NULL")
         by_id = boxed.groupBy("layer_id").agg(F.count(F.lit(1)).alias("n"), F.max(n_edges).alias("most"))
@@ -563,7 +565,11 @@ def _place_pairs(points: DataFrame, places: DataFrame, n_points: int, hits: Data
     block = max(POINTS_A_BLOCK, n_points // BROADCAST_CELLS)
     # No more than BROADCAST_CELLS.
     crowded = cut_lineage(places.where(F.col("__n") > block).select(F.col(x).alias("__cx"), F.col(y).alias("__cy"), F.ceil(F.col("__n") / block).alias("__blocks")))
-    keys, others = [x, y], ["__x", "__y"]
+
+    def dealt(df: DataFrame, x: str, y: str, to: str) -> DataFrame:
+        return df.withColumn(to, F.xxhash64(*[F.col(c).cast("double") + 0.0 for c in (x, y)]))
+
+    points, hits, keys, others = dealt(points, x, y, "__deal"), dealt(hits, "__x", "__y", "__h_deal"), ["__deal"], ["__h_deal"]
     if not crowded.isEmpty():
         own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), "__blocks")
         points = points.join(F.broadcast(crowded), (F.col(x) == F.col("__cx")) & (F.col(y) == F.col("__cy")), "left")
@@ -573,7 +579,11 @@ def _place_pairs(points: DataFrame, places: DataFrame, n_points: int, hits: Data
         hits = hits.withColumn("__h_block", F.explode(every)).drop("__cx", "__cy", "__blocks")
         keys, others = [*keys, "__block"], [*others, "__h_block"]
     same = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in zip(keys, others)])
-    return points.join(hits.hint("merge"), same)
+    # Not written as equalities, which Spark would shuffle by: it takes no partitions by number for columns of floating point.
+    for a, b in ((x, "__x"), (y, "__y")):
+        same = same & (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
+    tasks = max(_tasks(hits), min(PIECES, n_points // POINTS_A_BLOCK))
+    return points.repartition(tasks, *keys).join(hits.repartition(tasks, *others).hint("merge"), same)
 
 
 def _cell_pairs(points: DataFrame, shapes: DataFrame, x: str, y: str, layer_id: str) -> DataFrame:

@@ -596,6 +596,7 @@ def crowd(spark, n_places, a_place, n_shapes):
 def test_all_pairs_of_points_and_polygons(spark, monkeypatch, a_place, block, cut):
     """Places of their own and shared places; crowded cells and places in blocks; cells that are cut again."""
     points, layer, want = crowd(spark, 300, a_place, 30)
+    monkeypatch.setattr(polygons, "FEW_PAIRS", 0)
     monkeypatch.setattr(polygons, "PAIRS_A_TASK", block)
     monkeypatch.setattr(polygons, "POINTS_A_BLOCK", block)
     monkeypatch.setattr(polygons, "POINTS_A_CUT", cut)
@@ -603,8 +604,9 @@ def test_all_pairs_of_points_and_polygons(spark, monkeypatch, a_place, block, cu
     assert sorted((r.pid, r.layer_id) for r in found.collect()) == want and found.columns == ["pid", "x", "y", "layer_id"]
 
 
-def test_pairs_of_points_and_polygons_are_not_shuffled(spark):
+def test_pairs_of_points_and_polygons_are_not_shuffled(spark, monkeypatch):
     """Where points have places of their own, no shuffle has as many rows as the result, and nothing is found in one task."""
+    monkeypatch.setattr(polygons, "FEW_PAIRS", 0)
     points, layer, want = crowd(spark, 2000, 1, 80)
     found = spatial_join(points.coalesce(1), layer.coalesce(1))
     plan = found._jdf.queryExecution().executedPlan().toString()
