@@ -616,6 +616,17 @@ def test_pairs_of_points_and_polygons_are_not_shuffled(spark, monkeypatch):
     assert sum(sizes) == len(want) and max(sizes) < len(want) / 2
 
 
+def test_pairs_with_repeated_ids_and_many_edges_beside_cells(spark, monkeypatch):
+    """What is not found by cell is found by place, with the same rows either way."""
+    points, layer, _ = crowd(spark, 200, 1, 12)
+    star = [(30 + (20 + k % 2) * math.cos(k / 100 * 2 * math.pi), 30 + (20 + k % 2) * math.sin(k / 100 * 2 * math.pi)) for k in range(100)]
+    mixed = layer.unionByName(layer.where("layer_id = 's1'")).unionByName(make_layer(spark, {"star": [ring(*star)]}))
+    by_place = sorted((r.pid, r.layer_id) for r in spatial_join(points, mixed).collect())
+    monkeypatch.setattr(polygons, "FEW_PAIRS", 0)
+    assert by_place and sorted((r.pid, r.layer_id) for r in spatial_join(points, mixed).collect()) == by_place
+    assert {s for _, s in by_place} >= {"s0", "s1", "star"}
+
+
 def test_shared_places_are_searched_in_many_tasks(spark):
     layer = make_layer(spark, {f"b{i}": [ring((i, 0), (i + 50, 0), (i + 50, 50), (i, 50))] for i in range(40)}).coalesce(1)
     points = spark.createDataFrame([(i, 45.0 + i % 4, float(i % 50)) for i in range(200)], "pid int, x double, y double").coalesce(1)
